@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinforge.llm import media, mixing, urls
+from kinforge.llm import media, mixing, simhash, urls
 from kinforge.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    out = simhash.components(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a PNG and read back."""
     out = media.read_media(media.store_texts(table(spark, sf_dir, "documents")))
@@ -35,6 +41,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_url_filter"] = op4_url_filter
+QUERIES["op6_simhash_dedup"] = op6_simhash_dedup
 QUERIES["op7_media_columns"] = op7_media_columns
 QUERIES["op10_mix_sources"] = op10_mix_sources
 ORACLES["op4_url_filter"] = urls.oracle()
