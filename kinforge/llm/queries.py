@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinforge.llm import media, mixing, simhash, urls
+from kinforge.llm import langid, media, mixing, simhash, urls
 from kinforge.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,14 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs)
+    out = langid.predict(docs, model)
+    return out.select("doc_id", F.coalesce(langid.remainder() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document in the mix of sources."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
@@ -43,5 +51,6 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op4_url_filter"] = op4_url_filter
 QUERIES["op6_simhash_dedup"] = op6_simhash_dedup
 QUERIES["op7_media_columns"] = op7_media_columns
+QUERIES["op9_language_id"] = op9_language_id
 QUERIES["op10_mix_sources"] = op10_mix_sources
 ORACLES["op4_url_filter"] = urls.oracle()
