@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinforge.llm import langid, media, mixing, simhash, urls
+from kinforge.llm import decontam, langid, media, mixing, simhash, urls
 from kinforge.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds, as (doc_id, item_id)."""
+    found = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("share", 6).alias("share"), "how")
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     out = simhash.components(table(spark, sf_dir, "documents"))
@@ -49,6 +55,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_url_filter"] = op4_url_filter
+QUERIES["op5_decontaminate"] = op5_decontaminate
 QUERIES["op6_simhash_dedup"] = op6_simhash_dedup
 QUERIES["op7_media_columns"] = op7_media_columns
 QUERIES["op9_language_id"] = op9_language_id
