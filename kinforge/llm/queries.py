@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinforge.llm import decontam, langid, media, mixing, simhash, urls
+from kinforge.llm import decontam, langid, media, mixing, secrets, simhash, urls
 from kinforge.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", *(c.alias(n) for n, c in secrets.digest().items()))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's address."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -54,6 +59,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs)
 
 
+QUERIES["op1_secret_scan"] = op1_secret_scan
 QUERIES["op4_url_filter"] = op4_url_filter
 QUERIES["op5_decontaminate"] = op5_decontaminate
 QUERIES["op6_simhash_dedup"] = op6_simhash_dedup
