@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinforge.llm import decontam, langid, media, mixing, secrets, simhash, urls
+from kinforge.llm import decontam, langid, media, mixing, pii, secrets, simhash, urls
 from kinforge.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.detect(table(spark, sf_dir, "documents")).select("doc_id", *(c.alias(n) for n, c in pii.digest().items()))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -64,6 +69,7 @@ QUERIES["op4_url_filter"] = op4_url_filter
 QUERIES["op5_decontaminate"] = op5_decontaminate
 QUERIES["op6_simhash_dedup"] = op6_simhash_dedup
 QUERIES["op7_media_columns"] = op7_media_columns
+QUERIES["op8_pii"] = op8_pii
 QUERIES["op9_language_id"] = op9_language_id
 QUERIES["op10_mix_sources"] = op10_mix_sources
 ORACLES["op4_url_filter"] = urls.oracle()
