@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinforge.llm import decontam, langid, media, mixing, pii, secrets, simhash, urls
+from kinforge.llm import decontam, html, langid, media, mixing, pii, secrets, simhash, urls
 from kinforge.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", *(c.alias(n) for n, c in secrets.digest().items()))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's address."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -65,6 +70,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_secret_scan"] = op1_secret_scan
+QUERIES["op2_html_extract"] = op2_html_extract
 QUERIES["op4_url_filter"] = op4_url_filter
 QUERIES["op5_decontaminate"] = op5_decontaminate
 QUERIES["op6_simhash_dedup"] = op6_simhash_dedup
