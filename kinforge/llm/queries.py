@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinforge.llm import decontam, html, langid, media, mixing, pii, secrets, simhash, urls
+from kinforge.llm import decontam, html, langid, media, mixing, pii, secrets, simhash, toxicity, urls
 from kinforge.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,14 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the chain finds toxic, with all its probabilities."""
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.predict(docs, chain).where("toxic")
+    return found.select("doc_id", F.round("p_toxic", 6).alias("p_toxic"), F.round("p_low_quality", 6).alias("p_low_quality"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's address."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -71,6 +79,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op1_secret_scan"] = op1_secret_scan
 QUERIES["op2_html_extract"] = op2_html_extract
+QUERIES["op3_toxicity"] = op3_toxicity
 QUERIES["op4_url_filter"] = op4_url_filter
 QUERIES["op5_decontaminate"] = op5_decontaminate
 QUERIES["op6_simhash_dedup"] = op6_simhash_dedup
