@@ -29,7 +29,7 @@ from kinforge.llm import tokens
 from kinforge.llm.common import byte_blocks
 
 BITS = 20
-PREFIX = 5
+PREFIX = 4
 PER_CLASS = 1200
 FOLDS, FEATURES, Z = 3, 256, 4.0
 RIDGE = 0.3
