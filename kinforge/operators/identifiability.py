@@ -55,7 +55,7 @@ def duplicate_profile(df: DataFrame, key: str, changing: list[str]) -> DataFrame
     return per_key.agg(
         F.count("*").alias("n_keys"),
         F.sum("rows").alias("n_rows"),
-        F.count_if("rows > 1").alias("n_multi"),
+        F.count_if(F.col("rows") > 1).alias("n_multi"),
         F.max("rows").alias("max_rows"),
         *[F.count_if(F.col(c) > 1).alias(f"n_change_{c}") for c in changing],
     )

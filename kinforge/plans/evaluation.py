@@ -1 +1,447 @@
-"""To be filled."""
+"""Fellegi-Sunter, rules, calibration, operating points, resampling, labels."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kinforge.operators import blocking, bootstrap, calibrate, fs, identifiability, label, metrics, operating, power, rules, truth
+from kinforge.plans.common import BASE, CELLS, CLUSTERS, PAIRS, SCORES, clustered, people, r6, scored_pairs, with_sql
+from kinforge.plans.registry import query
+from kinforge.session import materialize, table
+
+FS_ROLES = ["given_name", "family_name", "dob", "zip", "phone", "email"]
+G_ROLES = ["given_name", "family_name", "dob", "zip", "phone"]
+
+
+def _g_sql(role: str) -> str:
+    out = "0"
+    for rank, (kind, bound) in enumerate(reversed(fs.COMPARISONS[role]), 1):
+        a, b = f"l.{role}", f"r.{role}"
+        test = {"exact": f"{a} = {b}", "lev": f"levenshtein({a}, {b}) <= {int(bound)}", "jw": f"jaro_winkler_similarity({a}, {b}) >= {bound}"}[kind]
+        out = f"CASE WHEN {test} THEN {rank} ELSE {out} END"
+    return f"(CASE WHEN l.{role} IS NULL OR r.{role} IS NULL THEN -1 ELSE {out} END)::INTEGER AS g_{role}"
+
+
+GAMMA_SQL = "gam AS (SELECT a, b, " + ", ".join(_g_sql(r) for r in G_ROLES) + " FROM pairs JOIN persons l ON a = l.record_id JOIN persons r ON b = r.record_id)"
+
+
+@query("fs_gammas", with_sql(*PAIRS, GAMMA_SQL, select="SELECT * FROM gam"))
+def fs_gammas(spark, sf_dir):
+    rows = people(spark, sf_dir)
+    return fs.gammas(blocking.candidates(rows), rows, G_ROLES).select("a", "b", *[f"g_{r}" for r in G_ROLES])
+
+
+@query("fs_patterns", with_sql(*PAIRS, GAMMA_SQL, select="SELECT " + ", ".join(f"g_{r}" for r in G_ROLES) + ", count(*) AS n FROM gam GROUP BY ALL"))
+def fs_patterns(spark, sf_dir):
+    rows = people(spark, sf_dir)
+    return fs.gammas(blocking.candidates(rows), rows, G_ROLES).groupBy(*[f"g_{r}" for r in G_ROLES]).agg(F.count("*").alias("n"))
+
+
+@query(
+    "fs_tf_tables",
+    with_sql(
+        *BASE,
+        select="""SELECT 'given_name' AS role, given_name AS value, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 9) AS tf FROM persons WHERE nullif(given_name, '') IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'family_name', family_name, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 9) FROM persons WHERE nullif(family_name, '') IS NOT NULL GROUP BY 2""",
+    ),
+)
+def fs_tf_tables(spark, sf_dir):
+    rows = people(spark, sf_dir)
+    parts = [fs.term_frequencies(rows, r).select(F.lit(r).alias("role"), "value", r6("tf", 9).alias("tf")) for r in ("given_name", "family_name")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("fs_u_probabilities")
+def fs_u_probabilities(spark, sf_dir):
+    rows = people(spark, sf_dir)
+    pairs = fs.random_pairs(rows, 200_000)
+    u = fs.u_probabilities(fs.patterns(fs.gammas(pairs, rows, FS_ROLES), FS_ROLES), FS_ROLES)
+    return spark.createDataFrame([(r, k, float(p)) for r in FS_ROLES for k, p in enumerate(u[r])], "role string, level int, u double")
+
+
+def _model(spark, sf_dir):
+    rows = people(spark, sf_dir)
+    return rows, fs.fit(rows, FS_ROLES, 200_000)
+
+
+@query("fs_em_fit")
+def fs_em_fit(spark, sf_dir):
+    _, model = _model(spark, sf_dir)
+    out = [(r, k, float(model.m[r][k]), float(model.u[r][k])) for r in model.roles for k in range(len(model.m[r]))]
+    return spark.createDataFrame(out, "role string, level int, m double, u double")
+
+
+@query("fs_pair_scores")
+def fs_pair_scores(spark, sf_dir):
+    rows, model = _model(spark, sf_dir)
+    return fs.score(blocking.candidates(rows), rows, model)
+
+
+RULE_SQL = """ruled AS (SELECT a, b, prob,
+  coalesce(lower(trim(l.given_name)) = lower(trim(r.given_name)) AND lower(trim(l.family_name)) = lower(trim(r.family_name))
+    AND (coalesce(lower(trim(l.dob)) = lower(trim(r.dob)), false) OR coalesce(abs(yl - yr) <= 1, false)), false) AS override,
+  coalesce(abs(yl - yr) > 2, false) AS guard, prob < 0.2 AS under_floor
+  FROM scored JOIN (SELECT *, TRY_CAST(regexp_extract(dob, '^(\\d{4})', 1) AS INTEGER) AS yl FROM persons) l ON a = l.record_id
+  JOIN (SELECT *, TRY_CAST(regexp_extract(dob, '^(\\d{4})', 1) AS INTEGER) AS yr FROM persons) r ON b = r.record_id)"""
+
+
+@query("rules_fire", with_sql(*SCORES, RULE_SQL, select="SELECT override, guard, under_floor, count(*) AS n FROM ruled GROUP BY ALL"))
+def rules_fire(spark, sf_dir):
+    rows = people(spark, sf_dir)
+    return rules.fires(scored_pairs(rows).select("a", "b", "prob"), rows).groupBy("override", "guard", "under_floor").agg(F.count("*").alias("n"))
+
+
+@query(
+    "rules_hybrid_scores",
+    with_sql(*SCORES, RULE_SQL, select="SELECT a, b, round(CASE WHEN override THEN 1.0 WHEN guard OR under_floor THEN 0.0 ELSE prob END, 6)::DOUBLE AS prob FROM ruled"),
+)
+def rules_hybrid_scores(spark, sf_dir):
+    rows = people(spark, sf_dir)
+    return rules.apply_rules(rules.fires(scored_pairs(rows).select("a", "b", "prob"), rows)).select("a", "b", r6("prob").alias("prob"))
+
+
+@query(
+    "rules_ranked_scores",
+    with_sql(*SCORES, RULE_SQL, select="SELECT a, b, round(prob + CASE WHEN override THEN 2.0 WHEN guard OR under_floor THEN -2.0 ELSE 0.0 END, 6)::DOUBLE AS prob FROM ruled"),
+)
+def rules_ranked_scores(spark, sf_dir):
+    rows = people(spark, sf_dir)
+    return rules.apply_rules_ranked(rules.fires(scored_pairs(rows).select("a", "b", "prob"), rows)).select("a", "b", r6("prob").alias("prob"))
+
+
+def _labelled(spark, sf_dir):
+    """(a, b, score, label, stratum): score at four places, truth as label."""
+    rows = people(spark, sf_dir)
+    ids = rows.select("record_id", "entity_id", "sex")
+    out = scored_pairs(rows).select("a", "b", F.round("prob", 4).alias("score"))
+    out = out.join(ids.select(F.col("record_id").alias("a"), F.col("entity_id").alias("ea"), F.col("sex").alias("stratum")), "a")
+    out = out.join(ids.select(F.col("record_id").alias("b"), F.col("entity_id").alias("eb")), "b")
+    return out.select("a", "b", "score", (F.col("ea") == F.col("eb")).cast("int").alias("label"), "stratum")
+
+
+LABELLED_SQL = """lab AS (SELECT a, b, round(prob, 4) AS score, (l.entity_id = r.entity_id)::INTEGER AS label, l.sex AS stratum
+  FROM scored JOIN persons l ON a = l.record_id JOIN persons r ON b = r.record_id)"""
+
+#: Isotonic value at x: max over starts below of min over ends above of the mean.
+PAV_SQL = """grp AS (SELECT score AS x, sum(label)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM lab GROUP BY 1),
+cum AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(pos) OVER (ORDER BY x) AS cp, sum(n) OVER (ORDER BY x) AS cn FROM grp),
+ends AS (SELECT s.i AS i, e.i AS j, (e.cp - coalesce(p.cp, 0)) / (e.cn - coalesce(p.cn, 0)) AS mean FROM cum s JOIN cum e ON e.i >= s.i LEFT JOIN cum p ON p.i = s.i - 1),
+lows AS (SELECT i, j, min(mean) OVER (PARTITION BY i ORDER BY j DESC) AS low FROM ends),
+iso AS (SELECT c.x, max(l.low) AS y FROM cum c JOIN lows l ON l.j = c.i GROUP BY c.x)"""
+
+
+@query("isotonic_calibration", with_sql(*SCORES, LABELLED_SQL, PAV_SQL, select="SELECT x AS score, round(y, 6) AS prob FROM iso"))
+def isotonic_calibration(spark, sf_dir):
+    rows = materialize(_labelled(spark, sf_dir), "labelled")
+    model = calibrate.fit_calibrator(rows)
+    return rows.select("score").distinct().select("score", r6(model.transform(F.col("score"))).alias("prob"))
+
+
+@query("platt_calibration")
+def platt_calibration(spark, sf_dir):
+    rows = materialize(_labelled(spark, sf_dir), "labelled")
+    model = calibrate.fit_calibrator(rows, "platt", "stratum")
+    return rows.select("a", "b", r6(model.transform(F.col("score"), F.col("stratum"))).alias("prob"))
+
+
+@query(
+    "ece_by_stratum",
+    with_sql(
+        *SCORES,
+        LABELLED_SQL,
+        select="""SELECT stratum, round(sum(n * gap) / sum(n), 6) AS ece, sum(n)::BIGINT AS n FROM (
+  SELECT stratum, least(floor(score * 10), 9) AS bin, count(*) AS n, abs(avg(score) - avg(label)) AS gap FROM lab GROUP BY 1, 2) GROUP BY 1""",
+    ),
+)
+def ece_by_stratum(spark, sf_dir):
+    return calibrate.expected_calibration_error(_labelled(spark, sf_dir), ["stratum"]).select("stratum", r6("ece").alias("ece"), "n")
+
+
+@query(
+    "reliability_bins",
+    with_sql(
+        *SCORES,
+        LABELLED_SQL,
+        select="SELECT least(floor(score * 10), 9)::INTEGER AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(label), 6) AS rate FROM lab GROUP BY 1",
+    ),
+)
+def reliability_bins(spark, sf_dir):
+    return calibrate.reliability(_labelled(spark, sf_dir)).select("bin", "n", r6("mean_score").alias("mean_score"), r6("rate").alias("rate"))
+
+
+AUC_SQL = """ranked AS (SELECT stratum, label, rank() OVER (PARTITION BY stratum ORDER BY score) + (count(*) OVER (PARTITION BY stratum, score) - 1) / 2.0::DOUBLE AS rk FROM lab)
+SELECT stratum, round((sum(CASE WHEN label = 1 THEN rk ELSE 0 END) - p * (p + 1) / 2.0::DOUBLE) / (p * q), 6)::DOUBLE AS auc, p AS n_pos, q AS n_neg FROM (
+  SELECT *, sum(label) OVER (PARTITION BY stratum)::BIGINT AS p, sum(1 - label) OVER (PARTITION BY stratum)::BIGINT AS q FROM ranked) GROUP BY stratum, p, q"""
+
+
+@query("auc_by_rank", with_sql(*SCORES, LABELLED_SQL, select="").rstrip() + ",\n" + AUC_SQL)
+def auc_by_rank(spark, sf_dir):
+    return operating.auc(_labelled(spark, sf_dir), ["stratum"]).select("stratum", r6("auc").alias("auc"), "n_pos", "n_neg")
+
+
+CURVE_SQL = """cumulative AS (SELECT score, sum(pos) OVER (ORDER BY score DESC)::BIGINT AS tp, sum(n) OVER (ORDER BY score DESC)::BIGINT AS passed FROM (
+  SELECT score, sum(label) AS pos, count(*) AS n FROM lab GROUP BY 1))"""
+
+
+@query(
+    "pairwise_precision_threshold",
+    with_sql(*SCORES, LABELLED_SQL, CURVE_SQL, select="SELECT min(score) AS threshold, max(tp) AS tp, max(passed) AS passed FROM cumulative WHERE tp >= 0.95 * passed"),
+)
+def pairwise_precision_threshold(spark, sf_dir):
+    return operating.pairwise_precision_threshold(_labelled(spark, sf_dir), 0.95)
+
+
+@query(
+    "best_f1_threshold",
+    with_sql(
+        *SCORES,
+        LABELLED_SQL,
+        CURVE_SQL,
+        select="SELECT score AS threshold, round(f1, 6) AS f1 FROM (SELECT score, 2.0::DOUBLE * tp / (passed + (SELECT sum(label) FROM lab)) AS f1 FROM cumulative) ORDER BY f1 DESC, score DESC LIMIT 1",
+    ),
+)
+def best_f1_threshold(spark, sf_dir):
+    return operating.best_f1_threshold(_labelled(spark, sf_dir)).select("threshold", r6("f1").alias("f1"))
+
+
+def _curve(spark, sf_dir):
+    rows = people(spark, sf_dir)
+    scored = materialize(scored_pairs(rows).select("a", "b", F.round("prob", 2).alias("score")).where("score >= 0.8"), "scored")
+    return materialize(operating.threshold_curve(scored, rows.select("record_id", "entity_id")), "curve")
+
+
+#: Components at each hundredth from .80 up by recursion, then both metrics.
+SWEEP_SQL = """grid AS (SELECT DISTINCT round(prob, 2) AS th FROM scored WHERE round(prob, 2) >= 0.8),
+sweep_edges AS (SELECT th, a AS x, b AS y FROM grid JOIN scored ON round(prob, 2) >= th UNION SELECT th, b, a FROM grid JOIN scored ON round(prob, 2) >= th),
+sweep_reach AS (SELECT th, x, y FROM sweep_edges UNION SELECT r.th, r.x, e.y FROM sweep_reach r JOIN sweep_edges e ON r.th = e.th AND r.y = e.x),
+sweep AS (SELECT g.th, p.entity_id AS t, coalesce(least(p.record_id, m.low), p.record_id) AS p FROM grid g CROSS JOIN persons p
+  LEFT JOIN (SELECT th, x, min(y) AS low FROM sweep_reach GROUP BY 1, 2) m ON m.th = g.th AND m.x = p.record_id),
+sweep_cells AS (SELECT th, p, t, count(*) AS n FROM sweep GROUP BY ALL),
+sweep_full AS (SELECT *, sum(n) OVER (PARTITION BY th, p) AS np, sum(n) OVER (PARTITION BY th, t) AS nt FROM sweep_cells),
+sweep_pred AS (SELECT th, sum(np * (np - 1) // 2)::BIGINT AS pp FROM (SELECT DISTINCT th, p, np FROM sweep_full) GROUP BY 1),
+sweep_true AS (SELECT th, sum(nt * (nt - 1) // 2)::BIGINT AS tt FROM (SELECT DISTINCT th, t, nt FROM sweep_full) GROUP BY 1),
+points AS (SELECT th AS threshold, round(sum(n * n / np::DOUBLE) / sum(n), 6) AS precision, round(sum(n * n / nt::DOUBLE) / sum(n), 6) AS recall,
+  sum(n * (n - 1) // 2)::BIGINT AS tp, any_value(pp) - sum(n * (n - 1) // 2)::BIGINT AS fp, any_value(tt) - sum(n * (n - 1) // 2)::BIGINT AS fn
+  FROM sweep_full JOIN sweep_pred USING (th) JOIN sweep_true USING (th) GROUP BY th)"""
+
+
+@query("threshold_curve", with_sql(*SCORES, SWEEP_SQL, select="SELECT * FROM points"))
+def threshold_curve(spark, sf_dir):
+    return _curve(spark, sf_dir).select("threshold", r6("precision").alias("precision"), r6("recall").alias("recall"), "tp", "fp", "fn")
+
+
+@query(
+    "precision_operating_point",
+    with_sql(*SCORES, SWEEP_SQL, select="SELECT threshold, precision, recall, true AS met FROM points WHERE precision >= 0.95 ORDER BY recall DESC, precision DESC, threshold DESC LIMIT 1"),
+)
+def precision_operating_point(spark, sf_dir):
+    best = operating.precision_point(_curve(spark, sf_dir), 0.95)
+    return best.select("threshold", r6("precision").alias("precision"), r6("recall").alias("recall"), "met")
+
+
+@query("cost_operating_point", with_sql(*SCORES, SWEEP_SQL, select="SELECT threshold, (10.0 * fp + fn)::DOUBLE AS cost FROM points ORDER BY 10.0 * fp + fn, threshold DESC LIMIT 1"))
+def cost_operating_point(spark, sf_dir):
+    return operating.cost_point(_curve(spark, sf_dir), 10.0, 1.0)
+
+
+@query(
+    "fp_budget_threshold",
+    with_sql(
+        *SCORES,
+        """passes AS (SELECT prob, sum(count(*)) OVER (ORDER BY prob DESC) AS passed FROM scored GROUP BY prob)""",
+        select="SELECT round(min(prob), 6) AS threshold FROM passes WHERE passed <= floor(1.0 * (SELECT count(*) FROM persons))",
+    ),
+)
+def fp_budget_threshold(spark, sf_dir):
+    rows = people(spark, sf_dir)
+    t = operating.fp_budget_threshold(scored_pairs(rows).select(F.col("prob").alias("score")), 1.0, rows.count())
+    return spark.range(1).select(r6(F.lit(t)).alias("threshold"))
+
+
+UNRESOLVED_SQL = """marked AS (SELECT source, min(entity_id) OVER w <> max(entity_id) OVER w AS unresolvable FROM persons WINDOW w AS (PARTITION BY given_name, family_name, zip))"""
+
+
+@query(
+    "unresolvable_report",
+    with_sql(
+        *BASE,
+        UNRESOLVED_SQL,
+        select="""SELECT 'overall' AS level, NULL::VARCHAR AS value, count(*) AS n, count(*) FILTER (unresolvable) AS n_unresolvable, round(avg(unresolvable::INTEGER), 6) AS rate FROM marked
+UNION ALL SELECT 'source', source, count(*), count(*) FILTER (unresolvable), round(avg(unresolvable::INTEGER), 6) FROM marked GROUP BY source""",
+    ),
+)
+def unresolvable_report(spark, sf_dir):
+    out = identifiability.report(people(spark, sf_dir), ["given_name", "family_name", "zip"], "source")
+    return out.select("level", "value", "n", "n_unresolvable", r6("rate").alias("rate"))
+
+
+COND_SQL = """mask AS (SELECT record_id, min(entity_id) OVER w <> max(entity_id) OVER w AS bad FROM persons WINDOW w AS (PARTITION BY given_name, family_name, zip)),
+cells0 AS (SELECT cluster AS p, entity_id AS t, count(*) AS n FROM clusters JOIN persons USING (record_id) JOIN mask USING (record_id) WHERE NOT bad GROUP BY 1, 2),
+cells AS (SELECT *, sum(n) OVER (PARTITION BY p)::BIGINT AS np, sum(n) OVER (PARTITION BY t)::BIGINT AS nt FROM cells0)"""
+
+
+@query(
+    "conditioned_metrics",
+    with_sql(
+        *CLUSTERS,
+        COND_SQL,
+        select="""SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1
+FROM (SELECT sum(n * n / np::DOUBLE) / sum(n) AS p, sum(n * n / nt::DOUBLE) / sum(n) AS r FROM cells)""",
+    ),
+)
+def conditioned_metrics(spark, sf_dir):
+    rows = people(spark, sf_dir)
+    marked = materialize(identifiability.unresolvable(rows, ["given_name", "family_name", "zip"]).select("record_id", "unresolvable"), "mask")
+    pred = identifiability.conditioned(clustered(rows)[1], marked)
+    real = identifiability.conditioned(rows.select("record_id", "entity_id"), marked)
+    out = metrics.bcubed(metrics.contingency(metrics.aligned(pred, real)))
+    return out.select(*[r6(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(
+    "dup_profile",
+    with_sql(
+        *BASE,
+        select="""SELECT count(*) AS n_keys, sum(rows)::BIGINT AS n_rows, count(*) FILTER (rows > 1) AS n_multi, max(rows) AS max_rows,
+  count(*) FILTER (g > 1) AS n_change_given_name, count(*) FILTER (d > 1) AS n_change_dob
+FROM (SELECT entity_id, count(*) AS rows, count(DISTINCT given_name) AS g, count(DISTINCT dob) AS d FROM persons GROUP BY 1)""",
+    ),
+)
+def dup_profile(spark, sf_dir):
+    return identifiability.duplicate_profile(people(spark, sf_dir), "entity_id", ["given_name", "dob"])
+
+
+POISSON_SQL = "CASE " + " ".join(f"WHEN u < {int(p * bootstrap.SPAN)} THEN {k}" for k, p in enumerate(bootstrap.POISSON)) + " ELSE 7 END"
+
+
+def boot_sql(units: str, stat: str, n_boot: int, seed: int) -> str:
+    """SQL of the replicate values of ``units`` (unit and sums), as ``boots``."""
+    return f"""
+unit_sums AS ({units}),
+drawn AS (SELECT rep, unit_sums.*, CASE WHEN rep = 0 THEN 1 ELSE {POISSON_SQL} END AS w FROM (
+  SELECT unnest(range(0, {n_boot} + 1)) AS rep, unit AS unit0 FROM unit_sums) k JOIN unit_sums ON unit0 = unit,
+  LATERAL (SELECT ('0x' || substr(md5(unit || '|' || rep::VARCHAR || '|boot{seed}'), 1, 8))::BIGINT AS u)),
+boots AS (SELECT rep, {stat} AS value FROM drawn GROUP BY rep)"""
+
+
+UNIT_SQL = "SELECT t AS unit, sum(n)::DOUBLE AS n, sum(n * n / np::DOUBLE) AS p, sum(n * n / nt::DOUBLE) AS r FROM cells GROUP BY 1"
+F1_SQL = "2 * sum(w * p) * sum(w * r) / (sum(w * n) * (sum(w * p) + sum(w * r)))"
+CI_SQL = """SELECT round(max(value) FILTER (rep = 0), 6) AS point, round(quantile_cont(value, 0.025) FILTER (rep > 0), 6) AS lo,
+  round(quantile_cont(value, 0.975) FILTER (rep > 0), 6) AS hi FROM boots"""
+
+
+@query("bootstrap_percentile", with_sql(*CELLS, boot_sql(UNIT_SQL, F1_SQL, 200, 7), select=CI_SQL))
+def bootstrap_percentile(spark, sf_dir):
+    rows = people(spark, sf_dir)
+    units = bootstrap.bcubed_units(clustered(rows)[1], rows)
+    ci = bootstrap.percentile_ci(bootstrap.replicates(units, "bcubed_f1", 200, 7))
+    return ci.select(*[r6(c).alias(c) for c in ci.columns])
+
+
+@query("bootstrap_bca")
+def bootstrap_bca(spark, sf_dir):
+    rows = people(spark, sf_dir)
+    units = materialize(bootstrap.bcubed_units(clustered(rows)[1], rows), "units")
+    out = [(m, *(float(x) for x in bootstrap.bootstrap_ci(units, m, 200, 7, "bca").values())) for m in ("bcubed_precision", "bcubed_recall", "bcubed_f1")]
+    return spark.createDataFrame(out, "metric string, point double, lo double, hi double")
+
+
+PC_UNITS = """SELECT t.entity_id AS unit, count(*)::DOUBLE AS n_true, count(p.a)::DOUBLE AS n_found FROM (
+  SELECT l.record_id AS a, r.record_id AS b, l.entity_id FROM persons l JOIN persons r ON l.entity_id = r.entity_id AND l.record_id < r.record_id) t
+  LEFT JOIN pairs p USING (a, b) GROUP BY 1"""
+
+
+@query("pair_completeness_ci", with_sql(*PAIRS, boot_sql(PC_UNITS, "sum(w * n_found) / sum(w * n_true)", 200, 3), select=CI_SQL))
+def pair_completeness_ci(spark, sf_dir):
+    rows = people(spark, sf_dir)
+    ci = bootstrap.percentile_ci(bootstrap.replicates(bootstrap.pair_units(blocking.candidates(rows), rows), "pair_completeness", 200, 3))
+    return ci.select(*[r6(c).alias(c) for c in ci.columns])
+
+
+@query("paired_delta")
+def paired_delta(spark, sf_dir):
+    rows = people(spark, sf_dir)
+    full = bootstrap.pair_units(blocking.candidates(rows), rows)
+    near = bootstrap.pair_units(blocking.candidates(rows, window=1), rows)
+    return bootstrap.paired_delta(full, near, "pair_completeness", 200, 3)
+
+
+@query("variance_components")
+def variance_components(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    cell = orders.groupBy(F.col("o_orderpriority").alias("seed"), F.year("o_orderdate").alias("noise_draw")).agg(F.avg("o_totalprice").alias("value"))
+    found = power.variance_components(materialize(cell, "cells"), ["seed", "noise_draw"])
+    return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "component string, variance double")
+
+
+@query("power_table")
+def power_table(spark, sf_dir):
+    return power.power_table(spark, [0.005, 0.01, 0.02, 0.05], {"seed": 4e-4, "noise_draw": 5e-4})
+
+
+@query("corrected_precision_recall")
+def corrected_precision_recall(spark, sf_dir):
+    row = truth.corrected_precision_recall(0.9, 0.8, 0.03, 0.02, (0.02, 0.04), (0.01, 0.03))
+    return spark.createDataFrame([tuple(map(float, row.values()))], ", ".join(f"{k} double" for k in row))
+
+
+#: Two annotators of documents: quality, and absence of toxicity.
+LABEL_SQL = """qa AS (SELECT doc_id::VARCHAR AS pair_id, quality::VARCHAR AS label FROM labels),
+qb AS (SELECT doc_id::VARCHAR AS pair_id, (1 - toxic)::VARCHAR AS label FROM labels)"""
+
+
+@query(
+    "cohens_kappa",
+    f"""WITH {LABEL_SQL}, j AS (SELECT qa.label AS la, qb.label AS lb FROM qa JOIN qb USING (pair_id)),
+m AS (SELECT count(*) AS n, avg((la = lb)::INTEGER) AS po FROM j),
+e AS (SELECT sum(x * y) AS s FROM (SELECT la AS v, count(*) AS x FROM j GROUP BY 1) JOIN (SELECT lb AS v, count(*) AS y FROM j GROUP BY 1) USING (v))
+SELECT n, round(po, 6) AS observed, round(s / (n * n)::DOUBLE, 6) AS expected, round((po - s / (n * n)::DOUBLE) / (1 - s / (n * n)::DOUBLE), 6) AS kappa FROM m, e""",
+)
+def cohens_kappa(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels").withColumn("pair_id", F.col("doc_id").cast("string"))
+    out = label.cohens_kappa(lab.select("pair_id", F.col("quality").cast("string").alias("label")), lab.select("pair_id", (1 - F.col("toxic")).cast("string").alias("label")))
+    return out.select("n", *[r6(c).alias(c) for c in ("observed", "expected", "kappa")])
+
+
+@query(
+    "latest_labels",
+    """SELECT pair_id, annotator, label, "at" FROM (SELECT user_id::VARCHAR AS annotator, event_type AS pair_id, value::VARCHAR AS label, ts::VARCHAR AS "at",
+  row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""",
+)
+def latest_labels(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    rows = ev.select(F.col("event_type").alias("pair_id"), F.col("user_id").cast("string").alias("annotator"), F.col("value").cast("string").alias("label"), F.col("ts").cast("string").alias("at"), "ts", "event_id")
+    return label.latest_labels(rows, ["ts", "event_id"]).select("pair_id", "annotator", "label", "at")
+
+
+QUEUE_SQL = """SELECT least(a, b) || '||' || greatest(a, b) AS pair_id, least(a, b) AS a, greatest(a, b) AS b FROM (SELECT DISTINCT a, b FROM scored WHERE prob BETWEEN 0.8 AND 0.95)"""
+
+
+@query("pair_queue", with_sql(*SCORES, select=QUEUE_SQL))
+def pair_queue(spark, sf_dir):
+    rows = people(spark, sf_dir)
+    return label.pair_queue(scored_pairs(rows).where("prob BETWEEN 0.8 AND 0.95").select("a", "b"), rows)
+
+
+DISAGREE_SQL = """la AS (SELECT a, b, prob >= 0.9 AS label, l.source FROM scored JOIN persons l ON a = l.record_id),
+lb AS (SELECT a, b, override AS label FROM ruled)
+SELECT a, b, la.label::VARCHAR AS la, lb.label::VARCHAR AS lb FROM la FULL JOIN lb USING (a, b) WHERE la.label IS DISTINCT FROM lb.label"""
+
+
+def _labelings(spark, sf_dir):
+    rows = people(spark, sf_dir)
+    scored = materialize(scored_pairs(rows).select("a", "b", "prob"), "scored")
+    src = rows.select(F.col("record_id").alias("a"), "source")
+    first = scored.join(src, "a").select("a", "b", (F.col("prob") >= 0.9).cast("string").alias("label"), "source")
+    second = rules.fires(scored, rows).join(src, "a").select("a", "b", F.col("override").cast("string").alias("label"), "source")
+    return first, second
+
+
+@query("label_disagreements", with_sql(*SCORES, RULE_SQL, select="").rstrip() + ",\n" + DISAGREE_SQL)
+def label_disagreements(spark, sf_dir):
+    return truth.disagreements(*_labelings(spark, sf_dir)).select("a", "b", "la", "lb")
+
+
+@query("disagreement_sample")
+def disagreement_sample(spark, sf_dir):
+    return truth.disagreement_sample(*_labelings(spark, sf_dir), n=50, seed=5, strata=["source"])

@@ -1 +1,192 @@
-"""To be filled."""
+"""Snapshot audits, exposure, noise channels and generated corpora."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kinforge.operators import audit, channels, exposure, generate
+from kinforge.plans.common import BASE, people, r6, with_sql
+from kinforge.plans.registry import query
+from kinforge.session import materialize
+
+FIELDS = ["given_name", "family_name", "dob", "zip", "phone"]
+
+
+def _snapshots(spark, sf_dir):
+    """First record of each customer against the second one, by entity."""
+    rows = people(spark, sf_dir).select(F.col("entity_id").alias("ncid"), "record_id", *FIELDS, "source")
+    first = rows.where("record_id LIKE '%-0'").drop("record_id")
+    later = rows.where("record_id NOT LIKE '%-0'").drop("record_id")
+    return first, later
+
+
+ALIGN_SQL = """later AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY entity_id) AS k FROM persons WHERE record_id NOT LIKE '%-0') WHERE k = 1),
+aligned AS (SELECT f.entity_id AS ncid, """ + ", ".join(f"f.{c} AS {c}_a, l.{c} AS {c}_b" for c in [*FIELDS, "source"]) + """
+  FROM persons f JOIN later l ON f.entity_id = l.entity_id WHERE f.record_id LIKE '%-0')"""
+
+
+@query("align_pair", with_sql(*BASE, ALIGN_SQL, select="SELECT * FROM aligned"))
+def align_pair(spark, sf_dir):
+    return audit.align(*_snapshots(spark, sf_dir))
+
+
+@query(
+    "align_stats",
+    with_sql(
+        *BASE,
+        ALIGN_SQL,
+        select="""SELECT 0::BIGINT AS dup_keys_a, (SELECT count(*) FROM (SELECT entity_id FROM persons WHERE record_id NOT LIKE '%-0' GROUP BY 1 HAVING count(*) > 1)) AS dup_keys_b,
+  (SELECT count(*) FROM aligned) AS n_aligned""",
+    ),
+)
+def align_stats(spark, sf_dir):
+    return audit.align_stats(*_snapshots(spark, sf_dir))
+
+
+def _category_sql(f: str) -> str:
+    a, b = f"{f}_a", f"{f}_b"
+    swap = "false"
+    if f in ("given_name", "family_name"):
+        o = "family_name" if f == "given_name" else "given_name"
+        swap = f"coalesce({a} = {o}_b AND {o}_a = {b} AND trim({o}_a) <> '' AND trim({o}_b) <> '', false)"
+    def day(c):
+        return f"coalesce(try_strptime({c}, '%Y-%m-%d'), try_strptime({c}, '%m/%d/%Y'), try_strptime({c}, '%Y%m%d'))"
+    def skel(c):
+        return f"regexp_replace(lower({c}), '[^a-z0-9]', '', 'g')"
+    return f"""CASE WHEN (coalesce(trim({a}), '') = '' AND coalesce(trim({b}), '') = '') OR coalesce({a} = {b}, false) THEN 'identical'
+    WHEN coalesce(trim({a}), '') = '' THEN 'missing_gain' WHEN coalesce(trim({b}), '') = '' THEN 'missing_loss' WHEN {swap} THEN 'swap'
+    WHEN {skel(a)} = {skel(b)} OR coalesce({day(a)} = {day(b)}, false) THEN 'format_drift'
+    WHEN levenshtein(lower({a}), lower({b})) <= 2 THEN 'typo' ELSE 'wholesale' END"""
+
+
+LONG_SQL = "long AS (" + " UNION ALL ".join(f"SELECT ncid, source_a, '{f}' AS field, {_category_sql(f)} AS category FROM aligned" for f in FIELDS) + ")"
+
+
+@query("audit_long", with_sql(*BASE, ALIGN_SQL, LONG_SQL, select="SELECT ncid, field, category FROM long"))
+def audit_long(spark, sf_dir):
+    return audit.classify(audit.align(*_snapshots(spark, sf_dir)), FIELDS)
+
+
+Z = audit.Z95
+PREV_SQL = f"""prev AS (SELECT source_a, field, category, n, total, n / total AS rate,
+  greatest(0, (n / total + {Z * Z} / (2 * total) - {Z} * sqrt(n / total * (1 - n / total) / total + {Z * Z} / (4 * total * total))) / (1 + {Z * Z} / total)) AS lo,
+  least(1, (n / total + {Z * Z} / (2 * total) + {Z} * sqrt(n / total * (1 - n / total) / total + {Z * Z} / (4 * total * total))) / (1 + {Z * Z} / total)) AS hi
+  FROM (SELECT *, sum(n) OVER (PARTITION BY source_a, field) AS total FROM (SELECT source_a, field, category, count(*)::DOUBLE AS n FROM long GROUP BY 1, 2, 3)))"""
+
+
+@query(
+    "audit_prevalence",
+    with_sql(
+        *BASE,
+        ALIGN_SQL,
+        LONG_SQL,
+        PREV_SQL,
+        select="SELECT source_a, field, category, n::BIGINT AS n, total::BIGINT AS total, round(rate, 6) AS rate, round(lo, 6)::DOUBLE AS lo, round(hi, 6)::DOUBLE AS hi FROM prev",
+    ),
+)
+def audit_prevalence(spark, sf_dir):
+    out = audit.report(audit.align(*_snapshots(spark, sf_dir)), FIELDS, by=["source_a"])
+    return out.select("source_a", "field", "category", "n", "total", *[r6(c).alias(c) for c in ("rate", "lo", "hi")])
+
+
+@query(
+    "category_mix",
+    with_sql(
+        *BASE,
+        ALIGN_SQL,
+        LONG_SQL,
+        select="SELECT field, " + ", ".join(f"round(count(*) FILTER (category = '{c}') / count(*)::DOUBLE, 6) AS {c}" for c in audit.CATEGORIES) + " FROM long GROUP BY 1",
+    ),
+)
+def category_mix(spark, sf_dir):
+    mix = audit.category_mix(audit.classify(audit.align(*_snapshots(spark, sf_dir)), FIELDS))
+    return mix.select("field", *[r6(c).alias(c) for c in audit.CATEGORIES])
+
+
+def _js_sql() -> str:
+    m = {c: f"((g.{c} + f.{c}) / 2)" for c in audit.CATEGORIES}
+    return " + ".join(f"CASE WHEN g.{c} > 0 THEN g.{c} * log2(g.{c} / {m[c]}) / 2 ELSE 0 END + CASE WHEN f.{c} > 0 THEN f.{c} * log2(f.{c} / {m[c]}) / 2 ELSE 0 END" for c in audit.CATEGORIES)
+
+
+@query(
+    "js_divergence",
+    with_sql(
+        *BASE,
+        ALIGN_SQL,
+        LONG_SQL,
+        "mix AS (SELECT field, " + ", ".join(f"count(*) FILTER (category = '{c}') / count(*)::DOUBLE AS {c}" for c in audit.CATEGORIES) + " FROM long GROUP BY 1)",
+        select=f"SELECT g.field AS field_a, f.field AS field_b, round({_js_sql()}, 6) AS js FROM mix g JOIN mix f ON g.field < f.field",
+    ),
+)
+def js_divergence(spark, sf_dir):
+    mix = materialize(audit.category_mix(audit.classify(audit.align(*_snapshots(spark, sf_dir)), FIELDS)), "mix")
+    left = mix.select(F.col("field").alias("field_a"), *[F.col(c).alias(f"p_{c}") for c in audit.CATEGORIES])
+    right = mix.select(F.col("field").alias("field_b"), *[F.col(c).alias(f"q_{c}") for c in audit.CATEGORIES])
+    js = audit.jensen_shannon([F.col(f"p_{c}") for c in audit.CATEGORIES], [F.col(f"q_{c}") for c in audit.CATEGORIES])
+    return left.join(right, F.col("field_a") < F.col("field_b")).select("field_a", "field_b", r6(js).alias("js"))  # a row a field
+
+
+EXPO_SQL = """rates AS (SELECT city, avg((phone IS NULL)::INTEGER) AS rate, count(*) AS n FROM persons GROUP BY 1)
+SELECT city, round(rate / (SELECT sum(rate * n) / sum(n) FROM rates), 6) AS multiplier FROM rates WHERE city IS NOT NULL"""
+
+
+@query("exposure_multipliers", with_sql(*BASE, select="").rstrip() + ",\n" + EXPO_SQL)
+def exposure_multipliers(spark, sf_dir):
+    rates = people(spark, sf_dir).groupBy("city").agg(F.avg(F.col("phone").isNull().cast("int")).alias("rate"), F.count("*").alias("n"))
+    return exposure.ExposureModel.fit(rates).table.select("city", r6("multiplier").alias("multiplier"))
+
+
+def _clean(spark, sf_dir):
+    rows = people(spark, sf_dir).where("record_id LIKE '%-0'")
+    none = F.lit(None).cast("string")
+    return rows.withColumns({"middle_name": none, "name_suffix": none, "full_name": F.concat_ws(" ", "given_name", "family_name")})
+
+
+def _u(salt: str) -> str:
+    return f"('0x' || substr(md5(record_id || '|{salt}'), 1, 8))::BIGINT"
+
+
+SWAP_CHANNEL_SQL = f"""SELECT record_id, 'name_order_swap' AS channel, unnest(['given_name', 'family_name']) AS field,
+  unnest([given_name, family_name]) AS before, unnest([family_name, given_name]) AS after FROM persons
+  WHERE record_id LIKE '%-0' AND {_u("3:name_order_swap:hit")} / 4294967296.0::DOUBLE < 0.3 AND given_name <> family_name"""
+
+
+def _channel(name: str, sql: str | None = None):
+    @query(f"noise_{name}", sql)
+    def run(spark, sf_dir):
+        return channels.REGISTRY[name]().apply(_clean(spark, sf_dir), 0.3, seed=3)[1]
+
+
+for _name in channels.REGISTRY:
+    _channel(_name, with_sql(*BASE, select=SWAP_CHANNEL_SQL) if _name == "name_order_swap" else None)
+
+
+@query("noise_pool_redraw")
+def noise_pool_redraw(spark, sf_dir):
+    channel = channels.pool_redraw(["street", "zip"], [("1 Oak Street", "10001"), ("2 Elm Drive", "10002"), ("3 Mill Road", "10003")])
+    return channel.apply(_clean(spark, sf_dir), 0.3, seed=3)[1]
+
+
+RATES = {"typo": 0.3, "nickname": 0.1, "field_dropout": 0.2, "field_format_drift": 0.2, "hub_value": 0.05}
+
+
+@query("generated_corpus")
+def generated_corpus(spark, sf_dir):
+    return generate.generate_corpus(_clean(spark, sf_dir), RATES, seed=11)[0]
+
+
+@query("ops_log")
+def ops_log(spark, sf_dir):
+    return generate.generate_corpus(_clean(spark, sf_dir), RATES, seed=11)[1]
+
+
+@query("household_confusables")
+def household_confusables(spark, sf_dir):
+    return generate.household_confusables(_clean(spark, sf_dir), 0.2, seed=5)[0]
+
+
+@query("generated_audit")
+def generated_audit(spark, sf_dir):
+    corpus = materialize(generate.generate_corpus(_clean(spark, sf_dir), RATES, seed=11)[0], "corpus")
+    pairs = generate.originals_with_duplicates(corpus, FIELDS)
+    return audit.report(pairs, FIELDS, channels.NICKNAMES, key="record_id")
