@@ -140,11 +140,8 @@ def train(labelled: tuple[tuple[str, int], ...] = LABELLED, epochs: int = 400, r
 
 
 def _score(part: Column, weights: Column, shift: int) -> Column:
-    codes = F.transform(F.split(F.concat(F.lit("^"), part, F.lit("$")), ""), F.ascii)
-    total = F.lit(0).cast("long")
-    for n in SIZES:
-
-        def gram(i: Column, n: int = n) -> Column:
+    def weighed(codes: Column, n: int) -> Column:
+        def gram(i: Column) -> Column:
             code = F.lit(0).cast("long")
             for k in range(n):
                 code = code * 31 + F.get(codes, i + k)
@@ -152,8 +149,11 @@ def _score(part: Column, weights: Column, shift: int) -> Column:
 
         last = F.size(codes) - n
         index = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        total = total + F.aggregate(index, F.lit(0).cast("long"), lambda a, i: a + gram(i))  # noqa: B023
-    return total
+        return F.aggregate(index, F.lit(0).cast("long"), lambda a, i: a + gram(i))
+
+    # The character codes are bound once; a lambda's body is evaluated anew for each n-gram.
+    codes = F.transform(F.split(F.concat(F.lit("^"), part, F.lit("$")), ""), F.ascii)
+    return F.get(F.transform(F.array(codes), lambda c: sum((weighed(c, n) for n in SIZES), F.lit(0).cast("long"))), F.lit(0))
 
 
 def judge_urls(
