@@ -157,7 +157,12 @@ def fit_chain(names: list[str], row: np.ndarray, bucket: np.ndarray, labels: np.
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the best F1 on out-of-fold predictions, 0.5 at least."""
+    """The cut with the best F1 on out-of-fold predictions, 0.5 at least.
+
+    A category without enough rows of both classes is never reported.
+    """
+    if min(y.sum(), len(y) - y.sum()) < FOLDS:
+        return float("inf")
     best, cut = -1.0, 0.5
     for t in np.arange(0.5, 0.96, 0.05):
         hit = p >= t
