@@ -198,13 +198,14 @@ def plan_probes(distinct: DataFrame, radius: int) -> list[int]:
 def link_group(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the links within one probe group."""
     fps = np.unique(fps)
+    bits = fps.view(np.uint64)  # bitwise_count takes a signed number's absolute value
     left = np.arange(len(fps))
     a, b = [], []
     while len(left) > 1:
         root, left = left[0], left[1:]
         front = [root]
         while front and len(left):
-            near = np.bitwise_count(fps[left] ^ fps[front.pop()]) <= radius
+            near = np.bitwise_count(bits[left] ^ bits[front.pop()]) <= radius
             if near.any():
                 found = left[near]
                 left = left[~near]
