@@ -89,11 +89,13 @@ def many_fingerprints(hashes: list[int], copies: int) -> np.ndarray:
     if not hashes:
         return np.zeros(copies, np.int64)
     h = np.array(hashes, np.uint64)
-    salts = np.arange(1, copies, dtype=np.uint64) * np.uint64(_STRIDE)
-    rows = np.concatenate([h[None, :], mix(h[None, :] ^ salts[:, None])])
-    bits = np.unpackbits(rows.astype(">u8").view(np.uint8).reshape(copies, len(h), 8), axis=2)
-    on = bits.sum(axis=1, dtype=np.uint32) * 2 > len(h)
-    return np.packbits(on, axis=1).view(">u8").reshape(-1).astype(np.uint64).view(np.int64)
+    out = np.empty(copies, np.uint64)
+    for k in range(copies):  # one at a time: memory does not grow with the number of copies
+        remixed = mix(h ^ np.uint64(k * _STRIDE & FULL)) if k else h
+        bits = np.unpackbits(remixed.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        on = bits.sum(axis=0, dtype=np.uint32) * 2 > len(h)
+        out[k] = np.packbits(on).view(">u8")[0]
+    return out.view(np.int64)
 
 
 def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:
@@ -266,7 +268,7 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", width: in
     return fps.join(classes, "fp").select(key, "fp", "component_id")
 
 
-def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, copies: int = 16) -> DataFrame:
+def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, copies: int = 32) -> DataFrame:
     """(key, component_id) where texts link if any of ``copies`` fingerprints do.
 
     One fingerprint within two bits catches only very close copies. Remixing the
