@@ -273,8 +273,8 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", widt
 
     One fingerprint within two bits catches only very close copies. Remixing the
     shingle hashes gives independent fingerprints; linking on any of them keeps
-    the probes lossless and exact while the chance to link copies whose
-    five-word similarity is 0.9 rises to 0.99, and falls off below 0.8.
+    the probes lossless while more near copies are reached (see the README for
+    the measured shares). Rows with a null key are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
