@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -43,6 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get().rstrip("/")
     made = tempfile.mkdtemp(prefix="kinforge-", dir=os.environ.get("KINFORGE_TMP"))
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
