@@ -268,29 +268,63 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", width: in
     return fps.join(classes, "fp").select(key, "fp", "component_id")
 
 
-def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, copies: int = 32) -> DataFrame:
-    """(key, component_id) where texts link if any of ``copies`` fingerprints do.
-
-    One fingerprint within two bits catches only very close copies. Remixing the
-    shingle hashes gives independent fingerprints; linking on any of them keeps
-    the probes lossless while more near copies are reached (see the README for
-    the measured shares). Rows with a null key are left out.
+def most_differing(similarity: float, bits: int) -> int:
+    """Bits in which fingerprints of that Jaccard similarity differ, with 1.5 standard deviations on top."""
+    odds = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * odds + 1.5 * math.sqrt(bits * odds * (1 - odds)))
+
+
+def candidate_edges(bits: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most three edges a member, as positions: forests grown from both ends and neighbours in order."""
+    order = np.argsort(bits)
+    step = np.bitwise_count(bits[order[1:]] ^ bits[order[:-1]]) <= radius
+    a, b = [order[:-1][step]], [order[1:][step]]
+    for left in (order, order[::-1]):
+        while len(left) > 1:
+            front, left = [left[0]], left[1:]
+            while front and len(left):
+                at = front.pop()
+                near = np.bitwise_count(bits[left] ^ bits[at]) <= radius
+                if near.any():
+                    found = left[near]
+                    left = left[~near]
+                    front.extend(found.tolist())
+                    a.append(np.full(len(found), at))
+                    b.append(found)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def near_components(
+    df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 2,
+    copies: int = 24, probe_width: int = 3, loose: int = 14, sketch: int = 16,
+) -> DataFrame:
+    """(key, component_id) where texts link whose ``width``-word shingles are similar.
+
+    Remixing the shingle hashes gives ``copies`` independent fingerprints, each
+    probed by the plan for ``radius`` bits. Members of a probe group within
+    ``loose`` bits become candidates, up to three a member, and a candidate links
+    if its ``sketch`` fingerprints of ``width``-word shingles differ in no more
+    bits than texts of that similarity do (see the README for the measured
+    shares). Rows with a null key are left out.
     """
+    kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            raw = batch.column(text).cast(pa.large_binary()).to_pylist()
-            fps = np.array([many_fingerprints(shingle_hashes(x or b"", width), copies) for x in raw], np.int64).reshape(-1)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1) * copies, pa.int32()), pa.array(fps))
-            yield pa.RecordBatch.from_arrays([batch.column(key), lists], names=[key, "fps"])
-
-    kind = df.schema[key].dataType.simpleString()
-    marked = materialize(df.select(key, text).mapInArrow(run, f"`{key}` {kind}, fps array<bigint>").where(F.col(key).isNotNull()), "fps")
-    exact = materialize(marked.groupBy("fps").agg(F.min(key).alias("least")), "exact")
+            raw = [x or b"" for x in batch.column(text).cast(pa.large_binary()).to_pylist()]
+            lists = []
+            for words, many in ((probe_width, copies), (width, sketch)):
+                fps = np.array([many_fingerprints(shingle_hashes(x, words), many) for x in raw], np.int64).reshape(-1)
+                lists.append(pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1) * many, pa.int32()), pa.array(fps)))
+            yield pa.RecordBatch.from_arrays([batch.column(key), *lists], names=[key, "fps", "sketch"])
+
+    marks = df.select(key, text).mapInArrow(run, f"`{key}` {kind}, fps array<bigint>, sketch array<bigint>")
+    marked = materialize(marks.where(F.col(key).isNotNull()), "fps")
+    exact = materialize(marked.groupBy("fps", "sketch").agg(F.min(key).alias("least")), "exact")
     each = exact.select("least", F.posexplode("fps").alias("copy", "fp"))
     heads = materialize(each.groupBy("copy", "fp").agg(F.min("least").alias("head"), F.count("*").alias("n")), "heads")
     shared = heads.where("n > 1").select("copy", "fp", "head")
-    same = each.join(shared, ["copy", "fp"]).where("least <> head").select(F.col("least").alias("a"), F.col("head").alias("b"))
+    edges = each.join(shared, ["copy", "fp"]).where("least <> head").select(F.col("least").alias("a"), F.col("head").alias("b"))
 
     masks = plan_probes(heads.select("fp"), radius)
     fp = F.col("fp")
@@ -298,35 +332,30 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     keyed = heads.select("copy", "fp", "head", probe)
     keys = ["copy", "probe", "v"]
     hot = materialize(keyed.groupBy(*keys).agg(F.count("*").alias("c")).where(F.col("c") > GROUP_LIMIT).select(*keys), "hot")
-    found = []
     if not hot.isEmpty():
         crowd = keyed.join(hot, keys, "left_semi").select("copy", "fp", "head").distinct()
         blanks = [signed(FULL ^ mask_of(list(c))) for c in itertools.combinations(range(BITS), radius)]
         near = crowd.select("copy", "head", F.posexplode(F.transform(F.lit(blanks), lambda m: fp.bitwiseAND(m))).alias("probe", "v"))
         sets = near.groupBy(*keys).agg(F.collect_set("head").alias("heads")).where(F.size("heads") > 1)
-        found.append(sets.select(F.array_min("heads").alias("a"), F.explode("heads").alias("b")).where("a <> b").distinct())
+        edges = edges.unionByName(sets.select(F.array_min("heads").alias("a"), F.explode("heads").alias("b")).where("a <> b"))
         keyed = keyed.join(hot, keys, "left_anti")
     grouped = keyed.groupBy(*keys).agg(F.collect_list(F.struct("fp", "head")).alias("xs")).where(F.size("xs") > 1)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, heads_ = batch.column(0), batch.column(1)
-            at, flat, ids = fps.offsets.to_numpy(), fps.values.to_numpy(), heads_.values
-            a, b = [], []
-            for i in range(len(fps)):
-                mine = flat[at[i] : at[i + 1]]
-                x, y = link_group(mine, radius)
-                if len(x):
-                    order = np.argsort(mine)
-                    for side, out in ((x, a), (y, b)):
-                        out.append(at[i] + order[np.searchsorted(mine[order], side)])
-            if a:
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(a))), ids.take(pa.array(np.concatenate(b)))], names=["a", "b"])
-
-    found.append(grouped.select(F.col("xs.fp").alias("fps"), F.col("xs.head").alias("heads")).mapInArrow(link, f"a {kind}, b {kind}"))
-    edges = same
-    for more in found:
-        edges = edges.unionByName(more)
-    joined = connected_components(edges)
-    classes = exact.join(joined, exact["least"] == joined["node"], "left").select("fps", F.coalesce("component", "least").alias("component_id"))
-    return marked.join(materialize(classes, "classes"), "fps").select(key, "component_id")
+            fps, ids = batch.column(0), batch.column(1).values
+            at, flat = fps.offsets.to_numpy(), fps.values.to_numpy().view(np.uint64)
+            pairs = [np.stack(candidate_edges(flat[s:e], loose)) + s for s, e in itertools.pairwise(at.tolist())]
+            a, b = np.concatenate([np.empty((2, 0), np.int64), *pairs], axis=1)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], names=["a", "b"])
+
+    columns = grouped.select(F.col("xs.fp").alias("fps"), F.col("xs.head").alias("heads"))
+    edges = edges.unionByName(columns.mapInArrow(link, f"a {kind}, b {kind}"))
+    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    sides = [exact.select(F.col("least").alias(c), F.col("sketch").alias("sketch_" + c)) for c in ("a", "b")]
+    differing = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    verified = edges.join(sides[0], "a").join(sides[1], "b").where(differing <= most_differing(similarity, BITS * sketch)).select("a", "b")
+    joined = connected_components(materialize(verified, "verified"))
+    classes = exact.join(joined, exact["least"] == joined["node"], "left").select("fps", "sketch", F.coalesce("component", "least").alias("component_id"))
+    return marked.join(materialize(classes, "classes"), ["fps", "sketch"]).select(key, "component_id")
