@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -274,23 +275,24 @@ def most_differing(similarity: float, bits: int) -> int:
     return math.floor(bits * odds + 1.5 * math.sqrt(bits * odds * (1 - odds)))
 
 
-def candidate_edges(bits: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most three edges a member, as positions: forests grown from both ends and neighbours in order."""
-    order = np.argsort(bits)
-    step = np.bitwise_count(bits[order[1:]] ^ bits[order[:-1]]) <= radius
-    a, b = [order[:-1][step]], [order[1:][step]]
-    for left in (order, order[::-1]):
-        while len(left) > 1:
-            front, left = [left[0]], left[1:]
-            while front and len(left):
-                at = front.pop()
-                near = np.bitwise_count(bits[left] ^ bits[at]) <= radius
-                if near.any():
-                    found = left[near]
-                    left = left[~near]
-                    front.extend(found.tolist())
-                    a.append(np.full(len(found), at))
-                    b.append(found)
+def candidate_edges(bits: np.ndarray, ids: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """One edge a member at most, as positions: a forest grown from the least id.
+
+    Groups that share their least member give the same edges, which merge later.
+    """
+    left = np.argsort(ids, kind="stable")
+    a, b = [left[:0]], [left[:0]]
+    while len(left) > 1:
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            at = front.pop(0)
+            near = np.bitwise_count(bits[left] ^ bits[at]) <= radius
+            if near.any():
+                found = left[near]
+                left = left[~near]
+                front.extend(found.tolist())
+                a.append(np.full(len(found), at))
+                b.append(found)
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -302,7 +304,7 @@ def near_components(
 
     Remixing the shingle hashes gives ``copies`` independent fingerprints, each
     probed by the plan for ``radius`` bits. Members of a probe group within
-    ``loose`` bits become candidates, up to three a member, and a candidate links
+    ``loose`` bits become candidates, one a member and group, and a candidate links
     if its ``sketch`` fingerprints of ``width``-word shingles differ in no more
     bits than texts of that similarity do (see the README for the measured
     shares). Rows with a null key are left out.
@@ -345,7 +347,8 @@ def near_components(
         for batch in batches:
             fps, ids = batch.column(0), batch.column(1).values
             at, flat = fps.offsets.to_numpy(), fps.values.to_numpy().view(np.uint64)
-            pairs = [np.stack(candidate_edges(flat[s:e], loose)) + s for s, e in itertools.pairwise(at.tolist())]
+            rank = pc.rank(ids, sort_keys="ascending", tiebreaker="min").to_numpy()
+            pairs = [np.stack(candidate_edges(flat[s:e], rank[s:e], loose)) + s for s, e in itertools.pairwise(at.tolist())]
             a, b = np.concatenate([np.empty((2, 0), np.int64), *pairs], axis=1)
             if len(a):
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], names=["a", "b"])
