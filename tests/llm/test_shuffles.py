@@ -90,6 +90,33 @@ def test_near_copies_join_and_others_stay(spark, no_docs):
     assert simhash.near_components(no_docs).count() == 0
 
 
+def test_near_copies_join_in_hot_groups_too(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP_LIMIT", 1)
+    base = prose(1, 300).split()
+    near = base.copy()
+    near[50] = "changed"
+    rows = [(1, " ".join(base), 0), (3, " ".join(near), 0), (4, prose(77, 300), 0), (6, "", 0), (7, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(docs).collect()}
+    assert got == {1: 1, 3: 1, 4: 4, 6: 6, 7: 6}
+
+
+def test_candidate_forest_spans_the_links():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 60):
+        bits = rng.integers(0, 1 << 12, n).astype(np.uint64)
+        a, b = simhash.candidate_edges(bits, rng.permutation(n), 2)
+        full = [(i, j) for i in range(n) for j in range(i) if (int(bits[i]) ^ int(bits[j])).bit_count() <= 2]
+        assert len(a) <= max(n - 1, 0)
+        assert {(max(i, j), min(i, j)) for i, j in zip(a.tolist(), b.tolist())} <= set(full)
+        assert components_of(range(n), zip(a.tolist(), b.tolist())) == components_of(range(n), full)
+
+
+def test_verification_line():
+    assert simhash.most_differing(1.0, 1024) == 0
+    assert 155 < simhash.most_differing(0.8, 1024) < simhash.most_differing(0.7, 1024) < 512
+
+
 # --- PII ---------------------------------------------------------------------
 def luhn(s):
     d = [int(c) for c in re.sub(r"\D", "", s)][::-1]
