@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinforge.llm.common import slices
@@ -39,6 +39,10 @@ from kinforge.session import materialize
 BITS = 64
 FULL = (1 << BITS) - 1
 GROUP_LIMIT = 32_768
+#: Shingles of one set of near-copy candidates that a task compares.
+SET_SHINGLES = 2_000_000
+#: Rows that tell common shingles from rare ones, and how many of them are kept.
+ORDER_DOCS, ORDER_SHINGLES = 20_000, 200_000
 #: Relative cost of moving one probe value and of verifying one candidate pair.
 PROBE_COST, PAIR_COST = 20.0, 1.0
 
@@ -296,69 +300,150 @@ def candidate_edges(bits: np.ndarray, ids: np.ndarray, radius: int) -> tuple[np.
     return np.concatenate(a), np.concatenate(b)
 
 
-def near_components(
-    df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 2,
-    copies: int = 24, probe_width: int = 3, loose: int = 14, sketch: int = 16,
-) -> DataFrame:
-    """(key, component_id) where texts link whose ``width``-word shingles are similar.
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """Distinct hashes of the ``width``-word shingles, ascending."""
+    return np.unique(np.array(shingle_hashes(text, width), np.uint64).view(np.int64))
 
-    Remixing the shingle hashes gives ``copies`` independent fingerprints, each
-    probed by the plan for ``radius`` bits. Members of a probe group within
-    ``loose`` bits become candidates, one a member and group, and a candidate links
-    if its ``sketch`` fingerprints of ``width``-word shingles differ in no more
-    bits than texts of that similarity do (see the README for the measured
-    shares). Rows with a null key are left out.
+
+def common_shingles(df: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of about ``ORDER_DOCS`` hashed rows hold, ascending, with their counts.
+
+    They come last in the order of the prefixes. Any order finds the same links, so
+    the sample decides on the work only.
+    """
+    n = df.count()
+    rows = df.select(text)
+    if n > ORDER_DOCS:
+        rows = rows.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int(ORDER_DOCS / n * (1 << 30)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            raw = batch.column(text).cast(pa.large_binary()).to_pylist()
+            found = np.concatenate([np.empty(0, np.int64), *(shingle_set(x or b"", width) for x in raw)])
+            yield pa.RecordBatch.from_arrays([pa.array(found)], names=["s"])
+
+    counts = rows.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("c")).where("c > 2")
+    top = counts.orderBy(F.desc("c"), "s").limit(ORDER_SHINGLES).collect()
+    found = np.array([(r["s"], r["c"]) for r in top], np.int64).reshape(-1, 2)
+    found = found[np.argsort(found[:, 0])]
+    return found[:, 0].copy(), found[:, 1].copy()
+
+
+def prefix_length(n: Column, similarity: float) -> Column:
+    """Shingles of which two sets of that similarity share one, whatever the common order."""
+    return (n - F.ceil(n * F.lit(similarity) - 1e-9) + 1).cast("int")
+
+
+def similar_edges(ids: np.ndarray, flat: np.ndarray, at: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the links within one set of candidates.
+
+    ``flat`` cut by ``at`` holds the distinct shingles; a member leaves the
+    candidates only by a link of exact Jaccard similarity.
+    """
+    numbers, codes = np.unique(flat, return_inverse=True)
+    sizes = np.diff(at)
+    mark = np.zeros(len(numbers), bool)
+    left, pool, starts = np.arange(len(ids)), codes, at[:-1]  # the pool may still hold members that left
+    slot = np.arange(len(ids))
+    a, b = [ids[:0]], [ids[:0]]
+    while len(left) > 1:
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            one = front.pop()
+            if 2 * len(left) < len(starts):
+                pool = np.concatenate([codes[at[i] : at[i + 1]] for i in left])
+                starts = np.concatenate([[0], np.cumsum(sizes[left])[:-1]])
+                slot[left] = np.arange(len(left))
+            mine = codes[at[one] : at[one + 1]]
+            mark[mine] = True
+            both = np.add.reduceat(mark[pool], starts, dtype=np.int64)[slot[left]]
+            mark[mine] = False
+            near = both >= similarity * (sizes[left] + sizes[one] - both) - 1e-9
+            if near.any():
+                found = left[near]
+                left = left[~near]
+                front.extend(found.tolist())
+                a.append(np.full(len(found), ids[one]))
+                b.append(ids[found])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(key, component_id) where texts link at a Jaccard similarity of their sets of ``width``-word shingles.
+
+    Two sets that similar share a shingle of their prefixes under any common order
+    of all shingles. Texts that share one are candidates; each set of candidates is
+    filed under its least member, and links are decided by the exact similarity. A
+    set over ``GROUP_LIMIT`` members or ``SET_SHINGLES`` shingles is dealt into
+    tiles of which every two meet. Rows with a null key are left out.
     """
     kind = df.schema[key].dataType.simpleString()
+    df = df.select(key, text).where(F.col(key).isNotNull())
+    common, counts = common_shingles(df, text, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            raw = [x or b"" for x in batch.column(text).cast(pa.large_binary()).to_pylist()]
-            lists = []
-            for words, many in ((probe_width, copies), (width, sketch)):
-                fps = np.array([many_fingerprints(shingle_hashes(x, words), many) for x in raw], np.int64).reshape(-1)
-                lists.append(pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1) * many, pa.int32()), pa.array(fps)))
-            yield pa.RecordBatch.from_arrays([batch.column(key), *lists], names=[key, "fps", "sketch"])
-
-    marks = df.select(key, text).mapInArrow(run, f"`{key}` {kind}, fps array<bigint>, sketch array<bigint>")
-    marked = materialize(marks.where(F.col(key).isNotNull()), "fps")
-    exact = materialize(marked.groupBy("fps", "sketch").agg(F.min(key).alias("least")), "exact")
-    each = exact.select("least", F.posexplode("fps").alias("copy", "fp"))
-    heads = materialize(each.groupBy("copy", "fp").agg(F.min("least").alias("head"), F.count("*").alias("n")), "heads")
-    shared = heads.where("n > 1").select("copy", "fp", "head")
-    edges = each.join(shared, ["copy", "fp"]).where("least <> head").select(F.col("least").alias("a"), F.col("head").alias("b"))
-
-    masks = plan_probes(heads.select("fp"), radius)
-    fp = F.col("fp")
-    probe = F.posexplode(F.array(*[fp.bitwiseAND(F.lit(signed(m))) for m in masks])).alias("probe", "v")
-    keyed = heads.select("copy", "fp", "head", probe)
-    keys = ["copy", "probe", "v"]
-    hot = materialize(keyed.groupBy(*keys).agg(F.count("*").alias("c")).where(F.col("c") > GROUP_LIMIT).select(*keys), "hot")
-    if not hot.isEmpty():
-        crowd = keyed.join(hot, keys, "left_semi").select("copy", "fp", "head").distinct()
-        blanks = [signed(FULL ^ mask_of(list(c))) for c in itertools.combinations(range(BITS), radius)]
-        near = crowd.select("copy", "head", F.posexplode(F.transform(F.lit(blanks), lambda m: fp.bitwiseAND(m))).alias("probe", "v"))
-        sets = near.groupBy(*keys).agg(F.collect_set("head").alias("heads")).where(F.size("heads") > 1)
-        edges = edges.unionByName(sets.select(F.array_min("heads").alias("a"), F.explode("heads").alias("b")).where("a <> b"))
-        keyed = keyed.join(hot, keys, "left_anti")
-    grouped = keyed.groupBy(*keys).agg(F.collect_list(F.struct("fp", "head")).alias("xs")).where(F.size("xs") > 1)
+            sigs, lists = [], []
+            for x in batch.column(text).cast(pa.large_binary()).to_pylist():
+                found = shingle_set(x or b"", width)
+                sigs.append(xxhash.xxh3_64_intdigest(found.tobytes()))
+                if len(common):
+                    where = np.minimum(np.searchsorted(common, found), len(common) - 1)
+                    found = found[np.argsort(np.where(common[where] == found, counts[where], 0), kind="stable")]
+                lists.append(found)
+            at = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+            flat = np.concatenate([np.empty(0, np.int64), *lists])
+            shingles = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.array(sigs, np.uint64).view(np.int64)), shingles], names=[key, "sig", "shingles"])
+
+    marked = materialize(df.mapInArrow(run, f"`{key}` {kind}, sig long, shingles array<bigint>"), "shingles")
+    prefix = F.slice("shingles", F.lit(1), prefix_length(F.size("shingles"), similarity))
+    tokens = marked.where(F.size("shingles") > 0).select("sig", F.explode(prefix).alias("token"))
+    shared = tokens.groupBy("token").agg(F.min("sig").alias("root"), F.max("sig").alias("last")).where("root <> last").select("token", "root")
+    stars = materialize(tokens.join(shared, "token").select("root", "sig").distinct(), "stars")
+    wanted = stars.select("sig").distinct()
+    sets = materialize(marked.join(wanted, "sig", "left_semi").select("sig", "shingles").dropDuplicates(["sig"]), "sets")
+
+    weights = stars.join(sets.select("sig", F.size("shingles").alias("n")), "sig").groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    tiles = F.greatest(F.ceil(F.col("c") / GROUP_LIMIT), F.ceil(F.col("n") / SET_SHINGLES))
+    hot = materialize(weights.where((F.col("c") > GROUP_LIMIT) | (F.col("n") > SET_SHINGLES)).select("root", tiles.alias("tiles")), "hot")
+    stars = stars.withColumn("tile", F.lit("")) if hot.isEmpty() else (
+        stars.join(hot, "root", "left").withColumn("mine", F.pmod(F.xxhash64("sig"), F.coalesce("tiles", F.lit(1))))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("tiles", F.lit(1)) - 1)))
+        .select("root", "sig", F.concat_ws("-", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"))
+    )
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the rows of a set that may go on in the next batch
+
+        def edges(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            lists = [x.column("shingles") for x in rows]
+            sizes = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists])
+            flat = np.concatenate([x.flatten().to_numpy() for x in lists])
+            ids = np.concatenate([x.column("sig").to_numpy() for x in rows])
+            a, b = similar_edges(ids, flat, np.concatenate([[0], np.cumsum(sizes)]), similarity)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        def name(batch: pa.RecordBatch, i: int) -> tuple:
+            return batch.column("root")[i].as_py(), batch.column("tile")[i].as_py()
+
         for batch in batches:
-            fps, ids = batch.column(0), batch.column(1).values
-            at, flat = fps.offsets.to_numpy(), fps.values.to_numpy().view(np.uint64)
-            rank = pc.rank(ids, sort_keys="ascending", tiebreaker="min").to_numpy()
-            pairs = [np.stack(candidate_edges(flat[s:e], rank[s:e], loose)) + s for s, e in itertools.pairwise(at.tolist())]
-            a, b = np.concatenate([np.empty((2, 0), np.int64), *pairs], axis=1)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], names=["a", "b"])
-
-    columns = grouped.select(F.col("xs.fp").alias("fps"), F.col("xs.head").alias("heads"))
-    edges = edges.unionByName(columns.mapInArrow(link, f"a {kind}, b {kind}"))
-    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    sides = [exact.select(F.col("least").alias(c), F.col("sketch").alias("sketch_" + c)) for c in ("a", "b")]
-    differing = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    verified = edges.join(sides[0], "a").join(sides[1], "b").where(differing <= most_differing(similarity, BITS * sketch)).select("a", "b")
-    joined = connected_components(materialize(verified, "verified"))
-    classes = exact.join(joined, exact["least"] == joined["node"], "left").select("fps", "sketch", F.coalesce("component", "least").alias("component_id"))
-    return marked.join(materialize(classes, "classes"), ["fps", "sketch"]).select(key, "component_id")
+            if not batch.num_rows:
+                continue
+            root, tile = batch.column("root"), batch.column("tile")
+            new = pc.or_(pc.not_equal(root[1:], root[:-1]), pc.not_equal(tile[1:], tile[:-1])).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+            for s, e in itertools.pairwise(cuts):
+                if held and name(held[-1], 0) != name(batch, s):
+                    yield edges(held)
+                    held = []
+                held.append(batch.slice(s, e - s))
+        if held:
+            yield edges(held)
+
+    members = stars.join(sets, "sig").repartition("root", "tile").sortWithinPartitions("root", "tile").select("root", "tile", "sig", "shingles")
+    joined = connected_components(members.mapInArrow(link, "a long, b long"))
+    labelled = marked.select(key, "sig").join(joined, F.col("sig") == F.col("node"), "left").select(key, F.coalesce("component", "sig").alias("component"))
+    labelled = materialize(labelled, "labelled")
+    least = labelled.groupBy("component").agg(F.min(key).alias("component_id"))
+    return labelled.join(least, "component").select(key, "component_id")

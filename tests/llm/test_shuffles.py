@@ -117,6 +117,49 @@ def test_verification_line():
     assert 155 < simhash.most_differing(0.8, 1024) < simhash.most_differing(0.7, 1024) < 512
 
 
+def five_word_similarity(a, b):
+    x, y = ({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def near_groups(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    return {r["doc_id"]: r["component_id"] for r in simhash.near_components(df).collect()}
+
+
+def exact_groups(texts, at=0.8):
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    shared = [x for x, n in Counter(x for s in sets for x in s).items() if n > 1]
+    column = {x: c for c, x in enumerate(shared)}
+    holds = np.zeros((len(texts), len(shared)), np.float32)
+    for i, s in enumerate(sets):
+        holds[i, [column[x] for x in s if x in column]] = 1
+    both, sizes = holds @ holds.T, np.array([len(s) for s in sets])
+    linked = np.argwhere(both >= at * (sizes[:, None] + sizes - both) - 1e-9).tolist()
+    return components_of(range(len(texts)), linked)
+
+
+def test_pairs_are_kept_in_a_family_of_looser_variants(spark):
+    """Variants 0.6 to 0.7 alike do not link, whoever opens their group; planted closer pairs do."""
+    rng = np.random.default_rng(11)
+    base = np.array([f"w{i}" for i in rng.integers(0, 5000, 200)], dtype=object)
+    texts = []
+    for k in range(2000):
+        one = base.copy()
+        spots = rng.choice(40, 4, replace=False) * 5
+        one[spots] = [f"v{k}x{j}" for j in range(4)]
+        texts.append(" ".join(one))
+    for k in range(0, 2000, 20):
+        one = texts[k].split()
+        one[2] = f"twin{k}"
+        texts.append(" ".join(one))
+    alike = [five_word_similarity(texts[0], t) for t in texts[1:200]]
+    assert 0.6 < np.median(alike) < 0.8
+    got = near_groups(spark, texts)
+    assert got == exact_groups(texts)
+    assert all(got[2000 + i] == got[20 * i] for i in range(100))
+
+
 # --- PII ---------------------------------------------------------------------
 def luhn(s):
     d = [int(c) for c in re.sub(r"\D", "", s)][::-1]
