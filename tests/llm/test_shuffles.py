@@ -160,6 +160,24 @@ def test_pairs_are_kept_in_a_family_of_looser_variants(spark):
     assert all(got[2000 + i] == got[20 * i] for i in range(100))
 
 
+@pytest.mark.parametrize("limit", [1, 32_768])
+def test_hot_sets_give_the_same_links(spark, monkeypatch, limit):
+    """Pairs at 0.80 to 0.85 link whether sets of candidates are dealt into tiles or not."""
+    monkeypatch.setattr(simhash, "GROUP_LIMIT", limit)
+    texts = []
+    for k in range(12):
+        words = prose(300 + k, 200).split()
+        other = words.copy()
+        for spot in (20, 70, 120, 170):
+            other[spot] = f"other{k}"
+        texts += [" ".join(words), " ".join(other)]
+    alike = [five_word_similarity(a.lower(), b.lower()) for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    assert all(0.8 <= x < 0.85 for x in alike)
+    got = near_groups(spark, texts)
+    assert got == exact_groups([t.lower() for t in texts])
+    assert all(got[2 * k + 1] == 2 * k for k in range(12))
+
+
 # --- PII ---------------------------------------------------------------------
 def luhn(s):
     d = [int(c) for c in re.sub(r"\D", "", s)][::-1]
