@@ -178,6 +178,19 @@ def test_hot_sets_give_the_same_links(spark, monkeypatch, limit):
     assert all(got[2 * k + 1] == 2 * k for k in range(12))
 
 
+def test_repeated_lines_and_short_texts_link_by_their_sets(spark):
+    texts = []
+    for k, times in enumerate((5, 10, 20)):
+        words = [f"r{k}x{i}" for i in range(200)]
+        texts += [" ".join(words), " ".join(words + words[40:60] * times)]
+    for k in range(20):
+        words = [f"s{k}x{i}" for i in range(8)]
+        texts += [" ".join(words), " ".join([*words, "more"])]
+    got = near_groups(spark, texts)
+    assert got == exact_groups(texts)
+    assert all(got[i] == i - i % 2 for i in range(len(texts)))
+
+
 # --- PII ---------------------------------------------------------------------
 def luhn(s):
     d = [int(c) for c in re.sub(r"\D", "", s)][::-1]
