@@ -191,6 +191,17 @@ def test_repeated_lines_and_short_texts_link_by_their_sets(spark):
     assert all(got[i] == i - i % 2 for i in range(len(texts)))
 
 
+def test_links_end_at_the_similarity(spark):
+    """At 0.8 exactly a pair links, a shingle less and it does not."""
+    texts = []
+    for k in range(20):
+        words = [f"t{k}x{i}" for i in range(84)]
+        texts += [" ".join(words), " ".join([*words, *(f"u{k}x{i}" for i in range(20 + k % 2))])]
+    got = near_groups(spark, texts)
+    assert got == exact_groups(texts)
+    assert all((got[2 * k + 1] == 2 * k) == (k % 2 == 0) for k in range(20))
+
+
 # --- PII ---------------------------------------------------------------------
 def luhn(s):
     d = [int(c) for c in re.sub(r"\D", "", s)][::-1]
