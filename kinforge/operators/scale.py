@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinforge.functions.strings import soundex
+from kinforge.session import materialize
 
 
 def t_cdf(t: float, df: int) -> float:
@@ -91,16 +94,22 @@ def validate_extrapolation(fit: ScalingFit, x: float, y: float, alpha: float = 0
 # --- tails -------------------------------------------------------------------
 
 
+def _gpd_grid(top: float, mean: float) -> np.ndarray:
+    return np.concatenate([np.linspace(-0.999 / top, -1e-6 / mean, 200), np.geomspace(1e-6 / mean, 50 / mean, 300)])
+
+
+def _gpd_loss(theta: float, xi: float) -> float:
+    """Profile loss, where ``xi`` is the mean of log1p(theta * excess)."""
+    scale = xi / theta
+    return math.log(scale) + xi + 1 if scale > 0 else math.inf
+
+
 def gpd_fit(excess: np.ndarray) -> tuple[float, float]:
     """(shape, scale) by profile likelihood over theta = shape / scale."""
-    top, mean = excess.max(), excess.mean()
-    grid = np.concatenate([np.linspace(-0.999 / top, -1e-6 / mean, 200), np.geomspace(1e-6 / mean, 50 / mean, 300)])
+    grid = _gpd_grid(excess.max(), excess.mean())
 
     def loss(theta: float) -> float:
-        z = np.log1p(theta * excess)
-        xi = z.mean()
-        scale = xi / theta
-        return math.log(scale) + xi + 1 if scale > 0 else math.inf
+        return _gpd_loss(theta, np.log1p(theta * excess).mean())
 
     values = [loss(t) for t in grid]
     i = int(np.argmin(values))
@@ -113,6 +122,48 @@ def gpd_fit(excess: np.ndarray) -> tuple[float, float]:
     return xi, float(xi / theta)
 
 
+def gpd_fit_rows(over: DataFrame, n: int, rounds: int = 7) -> tuple[float, float, float]:
+    """(shape, scale, qq_r2) of all excesses ``e``, by sums over the executors.
+
+    The grid of ``gpd_fit``, then ever finer ones between the neighbours of the
+    best value; ranks are those within a range of values plus the rows before it.
+    """
+    ranged = over.repartitionByRange("e").withColumn("part", F.spark_partition_id())
+    rows = materialize(ranged.select("part", F.col("e").cast("double").alias("e")), "excess")
+
+    def means(thetas: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(thetas))
+            for batch in batches:
+                e = batch.column(0).to_numpy()
+                total += [np.log1p(t * e).sum() for t in thetas]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(thetas)), pa.int32()), pa.array(total)], names=["cell", "v"])
+
+        sums = rows.select("e").mapInArrow(run, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).orderBy("cell").collect()
+        return np.array([r["v"] for r in sums]) / n
+
+    ends = rows.agg(F.max("e").alias("top"), F.avg("e").alias("mean")).first()
+    grid = _gpd_grid(ends["top"], ends["mean"])
+    for _ in range(rounds):
+        xis = means(grid)
+        i = int(np.argmin([_gpd_loss(t, x) for t, x in zip(grid, xis, strict=True)]))
+        theta, xi = float(grid[i]), float(xis[i])
+        # a middle between the neighbours, never zero, where shape and theta are both 0
+        grid = np.linspace(grid[max(0, i - 1)], grid[min(len(grid) - 1, i + 1)], 40)
+        grid = grid[grid != 0]
+    scale = xi / theta
+    before, starts = 0, []
+    for part, many in sorted(rows.groupBy("part").count().collect()):
+        starts.append((part, before))
+        before += many
+    shift = over.sparkSession.createDataFrame(starts, "part int, before long")
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("e")) + F.col("before")
+    placed = rows.join(F.broadcast(shift), "part").select("e", ((rank - 0.5) / n).alias("p"))  # one row a partition
+    z = F.log1p(F.greatest(F.lit(xi) * F.col("e") / scale, F.lit(-1 + 1e-12))) / xi if abs(xi) > 1e-9 else F.col("e") / scale
+    r = placed.agg(F.corr(-F.log1p(-F.col("p")), z)).first()[0]
+    return xi, scale, float(r * r)
+
+
 def gpd_survival(x: float, xi: float, scale: float) -> float:
     if abs(xi) < 1e-9:
         return math.exp(-x / scale)
@@ -120,18 +171,21 @@ def gpd_survival(x: float, xi: float, scale: float) -> float:
     return base ** (-1 / xi) if base > 0 else 0.0
 
 
-def fit_gpd_tail(scores: DataFrame, column: str = "score", quantiles: tuple[float, ...] = (0.95, 0.99, 0.995), sample: int = 200_000) -> list[dict[str, float]]:
+def fit_gpd_tail(scores: DataFrame, column: str = "score", quantiles: tuple[float, ...] = (0.95, 0.99, 0.995), local: int = 200_000) -> list[dict[str, float]]:
     """Fit excesses above each quantile; thresholds come from all rows.
 
-    At most about ``sample`` excesses (hashed) reach the driver for a fit.
+    Every fit is of all excesses: up to ``local`` are fitted on the driver, more
+    of them by sums over the executors.
     """
     cuts = scores.agg(F.percentile(column, F.array(*map(F.lit, quantiles))).alias("c"), F.count("*").alias("n")).first()
     out = []
     for q, u in zip(quantiles, cuts["c"], strict=True):
         over = scores.where(F.col(column) > u).select((F.col(column) - u).alias("e"))
         n = over.count()
-        if n > sample:
-            over = over.where(F.pmod(F.xxhash64("e"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+        if n > local:
+            xi, scale, r2 = gpd_fit_rows(over, n)
+            out.append({"quantile": q, "threshold": u, "n": n, "xi": xi, "scale": scale, "qq_r2": r2, "rate": n / cuts["n"]})
+            continue
         excess = np.sort(np.array([r["e"] for r in over.toLocalIterator()], float))
         if len(excess) < 2 or excess.max() <= 0:
             out.append({"quantile": q, "threshold": u, "n": n, "xi": math.nan, "scale": math.nan, "qq_r2": math.nan, "rate": n / cuts["n"]})
@@ -223,8 +277,6 @@ def zipf_slope(table: DataFrame) -> DataFrame:
     Ranks come from the counts of equal shares (values that occur once share a
     run of ranks), so no task orders all values.
     """
-    from pyspark.sql import Window
-
     runs = table.groupBy("share").agg(F.count("*").alias("k"))
     down = Window.orderBy(F.desc("share")).rowsBetween(Window.unboundedPreceding, -1)  # distinct shares are few
     runs = runs.withColumn("before", F.coalesce(F.sum("k").over(down), F.lit(0)))

@@ -23,6 +23,7 @@ from kinforge.operators import (
     exposure,
     fs,
     generate,
+    geometry,
     graph_qa,
     identifiability,
     label,
@@ -437,6 +438,25 @@ def test_scaling_and_tails(spark):
         scale.cost_breakdown(spark, 10**9, dict.fromkeys(("serialise", "encode", "block", "cluster"), 1.0), {"gpu_h": 1, "core_h": 1}, single_node=True)
 
 
+def test_tail_fits_cover_all_excesses(spark):
+    """The fit by sums over the executors is that of the driver, ties and all."""
+    rng = np.random.default_rng(4)
+    for draws in (0.2 / 0.25 * (rng.random(3000) ** -0.25 - 1), 0.2 / 0.1 * (1 - rng.random(3000) ** 0.1), rng.exponential(2, 3000).round(1)):
+        df = spark.createDataFrame([(float(x),) for x in draws], "score double")
+        mine, there = (scale.fit_gpd_tail(df, quantiles=(0.5, 0.9), local=n) for n in (10**6, 10))
+        for a, b in zip(mine, there, strict=True):
+            assert (a["n"], a["threshold"], a["rate"]) == (b["n"], b["threshold"], b["rate"])
+            assert b["xi"] == pytest.approx(a["xi"], abs=1e-4) and b["scale"] == pytest.approx(a["scale"], rel=1e-4)
+            assert b["qq_r2"] == pytest.approx(a["qq_r2"], abs=1e-4)
+
+
+def test_hubness_covers_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "neighbours", lambda df, k, rid, vector: df.select(F.col(rid).alias("q"), F.lit(0).cast("long").alias("d")))
+    vectors = spark.range(30_000).select(F.col("id").alias("record_id"), F.array(F.lit(1.0)).alias("embedding"))
+    found = geometry.hubness(vectors).first()
+    assert (found["n"], found["max_count"]) == (30_000, 30_000)
+
+
 def test_churn_and_attach(spark):
     before = part(spark, {"a": "a", "b": "a", "c": "c", "d": "d", "e": "d"})
     after = part(spark, {"a": "a", "b": "a", "c": "c", "d": "c", "e": "e"})
