@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinforge.llm.common import slices
@@ -42,7 +42,7 @@ GROUP_LIMIT = 32_768
 #: Shingles of one set of near-copy candidates that a task compares.
 SET_SHINGLES = 2_000_000
 #: Rows that tell common shingles from rare ones, and how many of them are kept.
-ORDER_DOCS, ORDER_SHINGLES = 20_000, 200_000
+ORDER_DOCS, ORDER_SHINGLES = 4_000, 200_000
 #: Relative cost of moving one probe value and of verifying one candidate pair.
 PROBE_COST, PAIR_COST = 20.0, 1.0
 
@@ -399,8 +399,9 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     marked = materialize(df.mapInArrow(run, f"`{key}` {kind}, sig long, shingles array<bigint>"), "shingles")
     prefix = F.slice("shingles", F.lit(1), prefix_length(F.size("shingles"), similarity))
     tokens = marked.where(F.size("shingles") > 0).select("sig", F.explode(prefix).alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("sig").alias("root"), F.max("sig").alias("last")).where("root <> last").select("token", "root")
-    stars = materialize(tokens.join(shared, "token").select("root", "sig").distinct(), "stars")
+    same = Window.partitionBy("token")  # one shuffle; the least and the greatest differ where texts share a token
+    shared = tokens.select("sig", F.min("sig").over(same).alias("root"), F.max("sig").over(same).alias("last"))
+    stars = materialize(shared.where("root <> last").select("root", "sig").distinct(), "stars")
     wanted = stars.select("sig").distinct()
     sets = materialize(marked.join(wanted, "sig", "left_semi").select("sig", "shingles").dropDuplicates(["sig"]), "sets")
 
