@@ -26,23 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinforge.llm.common import slices
-from kinforge.llm.tokens import mix
 from kinforge.operators.graph import connected_components
 from kinforge.session import materialize
 
 BITS = 64
 FULL = (1 << BITS) - 1
 GROUP_LIMIT = 32_768
-#: Shingles of one set of near-copy candidates that a task compares.
-SET_SHINGLES = 2_000_000
-#: Rows that tell common shingles from rare ones, and how many of them are kept.
-ORDER_DOCS, ORDER_SHINGLES = 4_000, 200_000
 #: Relative cost of moving one probe value and of verifying one candidate pair.
 PROBE_COST, PAIR_COST = 20.0, 1.0
 
@@ -62,12 +56,12 @@ def shingle_hashes(text: bytes, width: int, seed: int = 42) -> list[int]:
     return [hashed(line[s:e], seed) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)]
 
 
-def fingerprint(hashes: list[int]) -> int:
+def fingerprint(hashes: list[int] | np.ndarray) -> int:
     """Bits set in over half of the hashes; 0 without any."""
-    if not hashes:
+    if not len(hashes):
         return 0
     if len(hashes) == 1:
-        return hashes[0]
+        return int(hashes[0])
     bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
     return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)).tobytes(), "big")
 
@@ -85,24 +79,6 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", width:
     return df.select(key, *keep, text).mapInArrow(run, head + ", fp long")
 
 
-#: Multipliers' seed of the further fingerprints.
-_STRIDE = 0x9E3779B97F4A7C15
-
-
-def many_fingerprints(hashes: list[int], copies: int) -> np.ndarray:
-    """Fingerprints under ``copies`` remixed hash functions; the first is the plain one."""
-    if not hashes:
-        return np.zeros(copies, np.int64)
-    h = np.array(hashes, np.uint64)
-    out = np.empty(copies, np.uint64)
-    for k in range(copies):  # one at a time: memory does not grow with the number of copies
-        remixed = mix(h ^ np.uint64(k * _STRIDE & FULL)) if k else h
-        bits = np.unpackbits(remixed.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        on = bits.sum(axis=0, dtype=np.uint32) * 2 > len(h)
-        out[k] = np.packbits(on).view(">u8")[0]
-    return out.view(np.int64)
-
-
 def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:
     """Rows and the 64 x 64 counts of bits set together, over all fingerprints."""
 
@@ -271,180 +247,3 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", width: in
         distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "classes"
     )
     return fps.join(classes, "fp").select(key, "fp", "component_id")
-
-
-def most_differing(similarity: float, bits: int) -> int:
-    """Bits in which fingerprints of that Jaccard similarity differ, with 1.5 standard deviations on top."""
-    odds = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * odds + 1.5 * math.sqrt(bits * odds * (1 - odds)))
-
-
-def candidate_edges(bits: np.ndarray, ids: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """One edge a member at most, as positions: a forest grown from the least id.
-
-    Groups that share their least member give the same edges, which merge later.
-    """
-    left = np.argsort(ids, kind="stable")
-    a, b = [left[:0]], [left[:0]]
-    while len(left) > 1:
-        front, left = [left[0]], left[1:]
-        while front and len(left):
-            at = front.pop(0)
-            near = np.bitwise_count(bits[left] ^ bits[at]) <= radius
-            if near.any():
-                found = left[near]
-                left = left[~near]
-                front.extend(found.tolist())
-                a.append(np.full(len(found), at))
-                b.append(found)
-    return np.concatenate(a), np.concatenate(b)
-
-
-def shingle_set(text: bytes, width: int) -> np.ndarray:
-    """Distinct hashes of the ``width``-word shingles, ascending."""
-    return np.unique(np.array(shingle_hashes(text, width), np.uint64).view(np.int64))
-
-
-def common_shingles(df: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of about ``ORDER_DOCS`` hashed rows hold, ascending, with their counts.
-
-    They come last in the order of the prefixes. Any order finds the same links, so
-    the sample decides on the work only.
-    """
-    n = df.count()
-    rows = df.select(text)
-    if n > ORDER_DOCS:
-        rows = rows.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int(ORDER_DOCS / n * (1 << 30)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            raw = batch.column(text).cast(pa.large_binary()).to_pylist()
-            found = np.concatenate([np.empty(0, np.int64), *(shingle_set(x or b"", width) for x in raw)])
-            yield pa.RecordBatch.from_arrays([pa.array(found)], names=["s"])
-
-    counts = rows.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("c")).where("c > 2")
-    top = counts.orderBy(F.desc("c"), "s").limit(ORDER_SHINGLES).collect()
-    found = np.array([(r["s"], r["c"]) for r in top], np.int64).reshape(-1, 2)
-    found = found[np.argsort(found[:, 0])]
-    return found[:, 0].copy(), found[:, 1].copy()
-
-
-def prefix_length(n: Column, similarity: float) -> Column:
-    """Shingles of which two sets of that similarity share one, whatever the common order."""
-    return (n - F.ceil(n * F.lit(similarity) - 1e-9) + 1).cast("int")
-
-
-def similar_edges(ids: np.ndarray, flat: np.ndarray, at: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links within one set of candidates.
-
-    ``flat`` cut by ``at`` holds the distinct shingles; a member leaves the
-    candidates only by a link of exact Jaccard similarity.
-    """
-    numbers, codes = np.unique(flat, return_inverse=True)
-    sizes = np.diff(at)
-    mark = np.zeros(len(numbers), bool)
-    left, pool, starts = np.arange(len(ids)), codes, at[:-1]  # the pool may still hold members that left
-    slot = np.arange(len(ids))
-    a, b = [ids[:0]], [ids[:0]]
-    while len(left) > 1:
-        front, left = [left[0]], left[1:]
-        while front and len(left):
-            one = front.pop()
-            if 2 * len(left) < len(starts):
-                pool = np.concatenate([codes[at[i] : at[i + 1]] for i in left])
-                starts = np.concatenate([[0], np.cumsum(sizes[left])[:-1]])
-                slot[left] = np.arange(len(left))
-            mine = codes[at[one] : at[one + 1]]
-            mark[mine] = True
-            both = np.add.reduceat(mark[pool], starts, dtype=np.int64)[slot[left]]
-            mark[mine] = False
-            near = both >= similarity * (sizes[left] + sizes[one] - both) - 1e-9
-            if near.any():
-                found = left[near]
-                left = left[~near]
-                front.extend(found.tolist())
-                a.append(np.full(len(found), ids[one]))
-                b.append(ids[found])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(key, component_id) where texts link at a Jaccard similarity of their sets of ``width``-word shingles.
-
-    Two sets that similar share a shingle of their prefixes under any common order
-    of all shingles. Texts that share one are candidates; each set of candidates is
-    filed under its least member, and links are decided by the exact similarity. A
-    set over ``GROUP_LIMIT`` members or ``SET_SHINGLES`` shingles is dealt into
-    tiles of which every two meet. Rows with a null key are left out.
-    """
-    kind = df.schema[key].dataType.simpleString()
-    df = df.select(key, text).where(F.col(key).isNotNull())
-    common, counts = common_shingles(df, text, width)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            sigs, lists = [], []
-            for x in batch.column(text).cast(pa.large_binary()).to_pylist():
-                found = shingle_set(x or b"", width)
-                sigs.append(xxhash.xxh3_64_intdigest(found.tobytes()))
-                if len(common):
-                    where = np.minimum(np.searchsorted(common, found), len(common) - 1)
-                    found = found[np.argsort(np.where(common[where] == found, counts[where], 0), kind="stable")]
-                lists.append(found)
-            at = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-            flat = np.concatenate([np.empty(0, np.int64), *lists])
-            shingles = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.array(sigs, np.uint64).view(np.int64)), shingles], names=[key, "sig", "shingles"])
-
-    marked = materialize(df.mapInArrow(run, f"`{key}` {kind}, sig long, shingles array<bigint>"), "shingles")
-    prefix = F.slice("shingles", F.lit(1), prefix_length(F.size("shingles"), similarity))
-    tokens = marked.where(F.size("shingles") > 0).select("sig", F.explode(prefix).alias("token"))
-    same = Window.partitionBy("token")  # one shuffle; the least and the greatest differ where texts share a token
-    shared = tokens.select("sig", F.min("sig").over(same).alias("root"), F.max("sig").over(same).alias("last"))
-    stars = materialize(shared.where("root <> last").select("root", "sig").distinct(), "stars")
-    wanted = stars.select("sig").distinct()
-    sets = materialize(marked.join(wanted, "sig", "left_semi").select("sig", "shingles").dropDuplicates(["sig"]), "sets")
-
-    weights = stars.join(sets.select("sig", F.size("shingles").alias("n")), "sig").groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
-    tiles = F.greatest(F.ceil(F.col("c") / GROUP_LIMIT), F.ceil(F.col("n") / SET_SHINGLES))
-    hot = materialize(weights.where((F.col("c") > GROUP_LIMIT) | (F.col("n") > SET_SHINGLES)).select("root", tiles.alias("tiles")), "hot")
-    stars = stars.withColumn("tile", F.lit("")) if hot.isEmpty() else (
-        stars.join(hot, "root", "left").withColumn("mine", F.pmod(F.xxhash64("sig"), F.coalesce("tiles", F.lit(1))))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("tiles", F.lit(1)) - 1)))
-        .select("root", "sig", F.concat_ws("-", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"))
-    )
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # the rows of a set that may go on in the next batch
-
-        def edges(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-            lists = [x.column("shingles") for x in rows]
-            sizes = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists])
-            flat = np.concatenate([x.flatten().to_numpy() for x in lists])
-            ids = np.concatenate([x.column("sig").to_numpy() for x in rows])
-            a, b = similar_edges(ids, flat, np.concatenate([[0], np.cumsum(sizes)]), similarity)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        def name(batch: pa.RecordBatch, i: int) -> tuple:
-            return batch.column("root")[i].as_py(), batch.column("tile")[i].as_py()
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            root, tile = batch.column("root"), batch.column("tile")
-            new = pc.or_(pc.not_equal(root[1:], root[:-1]), pc.not_equal(tile[1:], tile[:-1])).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
-            for s, e in itertools.pairwise(cuts):
-                if held and name(held[-1], 0) != name(batch, s):
-                    yield edges(held)
-                    held = []
-                held.append(batch.slice(s, e - s))
-        if held:
-            yield edges(held)
-
-    members = stars.join(sets, "sig").repartition("root", "tile").sortWithinPartitions("root", "tile").select("root", "tile", "sig", "shingles")
-    joined = connected_components(members.mapInArrow(link, "a long, b long"))
-    labelled = marked.select(key, "sig").join(joined, F.col("sig") == F.col("node"), "left").select(key, F.coalesce("component", "sig").alias("component"))
-    labelled = materialize(labelled, "labelled")
-    least = labelled.groupBy("component").agg(F.min(key).alias("component_id"))
-    return labelled.join(least, "component").select(key, "component_id")

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from kinforge.llm import mixing, pii, simhash
+from kinforge.llm import mixing, nearcopies, pii, simhash
 
 from .conftest import prose
 
@@ -85,36 +85,34 @@ def test_near_copies_join_and_others_stay(spark, no_docs):
     near = base.copy()
     near[50] = "changed"
     rows = [(1, " ".join(base)), (2, " ".join(base)), (3, " ".join(near)), (4, prose(77, 300)), (5, prose(78, 300)), (None, " ".join(base))]
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
-    assert simhash.near_components(no_docs).count() == 0
+    assert nearcopies.near_components(no_docs).count() == 0
 
 
 def test_near_copies_join_in_hot_groups_too(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "GROUP_LIMIT", 1)
+    monkeypatch.setattr(nearcopies, "SET_MEMBERS", 1)
     base = prose(1, 300).split()
     near = base.copy()
     near[50] = "changed"
     rows = [(1, " ".join(base), 0), (3, " ".join(near), 0), (4, prose(77, 300), 0), (6, "", 0), (7, None, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(docs).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_components(docs).collect()}
     assert got == {1: 1, 3: 1, 4: 4, 6: 6, 7: 6}
 
 
-def test_candidate_forest_spans_the_links():
-    rng = np.random.default_rng(5)
-    for n in (0, 1, 2, 60):
-        bits = rng.integers(0, 1 << 12, n).astype(np.uint64)
-        a, b = simhash.candidate_edges(bits, rng.permutation(n), 2)
-        full = [(i, j) for i in range(n) for j in range(i) if (int(bits[i]) ^ int(bits[j])).bit_count() <= 2]
-        assert len(a) <= max(n - 1, 0)
-        assert {(max(i, j), min(i, j)) for i, j in zip(a.tolist(), b.tolist())} <= set(full)
-        assert components_of(range(n), zip(a.tolist(), b.tolist())) == components_of(range(n), full)
-
-
-def test_verification_line():
-    assert simhash.most_differing(1.0, 1024) == 0
-    assert 155 < simhash.most_differing(0.8, 1024) < simhash.most_differing(0.7, 1024) < 512
+def test_parity_sketches_rule_out_no_link():
+    """Whatever the sizes, differing sketch bits never exceed differing shingles."""
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 1 << 62, n)) for n in (1, 3, 31, 32, 33, 300)]
+    for s in list(sets):
+        for cut in (0, 1, len(s) // 10):
+            sets.append(np.unique(np.concatenate([s[cut:], rng.integers(0, 1 << 62, cut)])))
+    a, b = nearcopies.possible_edges(np.array([len(s) for s in sets]), [nearcopies.parity_sketch(s) for s in sets], 0.8)
+    exact = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))]
+    possible = components_of(range(len(sets)), zip(a.tolist(), b.tolist(), strict=True))
+    assert all(possible[i] == possible[j] for i, j in exact)
+    assert len(set(possible.values())) > 4
 
 
 def five_word_similarity(a, b):
@@ -124,7 +122,7 @@ def five_word_similarity(a, b):
 
 def near_groups(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    return {r["doc_id"]: r["component_id"] for r in simhash.near_components(df).collect()}
+    return {r["doc_id"]: r["component_id"] for r in nearcopies.near_components(df).collect()}
 
 
 def exact_groups(texts, at=0.8):
@@ -163,7 +161,8 @@ def test_pairs_are_kept_in_a_family_of_looser_variants(spark):
 @pytest.mark.parametrize("limit", [1, 32_768])
 def test_hot_sets_give_the_same_links(spark, monkeypatch, limit):
     """Pairs at 0.80 to 0.85 link whether sets of candidates are dealt into tiles or not."""
-    monkeypatch.setattr(simhash, "GROUP_LIMIT", limit)
+    monkeypatch.setattr(nearcopies, "SET_MEMBERS", limit)
+    monkeypatch.setattr(nearcopies, "PIVOTS", min(limit, 64))
     texts = []
     for k in range(12):
         words = prose(300 + k, 200).split()
