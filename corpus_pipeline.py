@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinforge.llm import decontam, langid, mixing, secrets, simhash
+from kinforge.llm import decontam, langid, mixing, nearcopies, secrets
 from kinforge.session import materialize, table
 
 MIN_SCORE = 0.5
@@ -26,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the least doc_id, of each near-duplicate group."""
-    groups = simhash.near_components(docs)
+    groups = nearcopies.near_components(docs)
     gone = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
