@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -101,6 +102,72 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+STORY = "The story of the town is this and that. " * 8
+
+
+def test_prose_outweighs_a_class_that_contains_a_listed_word():
+    page = f'<article><p>{STORY}</p><div class="market-share"><p>{STORY}</p><p>Short.</p></div><div class="share-box"><p>{STORY}</p></div></article>'
+    assert html.main_text(page) == "\n".join([STORY.strip()] * 2 + ["Short."])
+    links = "<a href=/x/>eight menu words stand here</a> " * 8
+    assert html.main_text(f"<div>{links}</div><p>{STORY}</p>") == STORY.strip()
+
+
+def slow_second_pass(blocks):
+    """Each open block looks at every decided one."""
+    labels = [b.label for b in blocks]
+    own = [i for i, b in enumerate(blocks) if b.label and b.evidence < 2]
+    for i, b in enumerate(blocks):
+        if not b.label:
+            near = [j for j in own if blocks[j].scope == b.scope] if b.scope else [j for j, x in enumerate(blocks) if x.label]
+            if not near or not b.scope and not own:
+                labels[i] = 1 if b.scope or not own else -1
+            else:
+                labels[i] = blocks[min(near, key=lambda j: (abs(j - i), (j < i) == b.head))].label
+    return labels
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([-1, 0, 0, 1]), st.integers(0, 2), st.integers(0, 2), st.booleans()), max_size=14))
+def test_second_pass_takes_the_nearest_label(rows):
+    blocks = [html.Block("x", 0, e, s, h, label) for label, e, s, h in rows]
+    expected = slow_second_pass(blocks)
+    html.second_pass(blocks)
+    assert [b.label for b in blocks] == expected
+
+
+@pytest.mark.parametrize(
+    ("text", "linked", "evidence", "scope", "scoped", "expected"),
+    [
+        (STORY, 0, 0, 0, False, 1),
+        ("xyz " * 60, 0, 0, 0, False, 1),
+        ("xyz " * 20, 0, 0, 0, False, 0),
+        ("xyz " * 20 + "the of " * 3, 0, 0, 0, False, 1),
+        ("Short.", 0, 0, 1, True, 0),
+        (STORY, 200, 0, 1, True, -1),
+        (STORY, 0, 2, 1, True, -1),
+        (STORY, 0, 1, 1, True, 1),
+        (STORY, 0, 0, 0, True, -1),
+        ("Short.", 0, 1, 0, False, -1),
+    ],
+)
+def test_first_pass_goes_by_length_stop_words_and_links(text, linked, evidence, scope, scoped, expected):
+    blocks = [html.Block(text.strip(), linked, evidence, scope, False)]
+    if scoped and not scope:
+        blocks.append(html.Block(STORY, 0, 0, 1, False))
+    html.first_pass(blocks)
+    assert blocks[0].label == expected
+
+
+@pytest.mark.parametrize("page", ["<p>short</p><a href='u'>link</a>", "<b>", "</i><b>", "<li>x", "<div class=ad><article>", "<td>y<dt>z", "<a '", "&amp", "<!-", "<i"])
+def test_html_takes_linear_time(page):
+    times = []
+    for n in (60_000, 480_000):
+        begun = time.process_time()
+        html.main_text("<div>" + page * (n // len(page)))
+        times.append(time.process_time() - begun)
+    assert times[1] < 24 * times[0] + 0.5
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", "<p>Hello there</p>", "z"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html.extract(df).collect()}
