@@ -64,6 +64,24 @@ def test_trigram_query_holds_for_every_match(text):
             assert 0 in secrets.candidates(query, postings, 1)
 
 
+HOSTILE = ["eyJ", "eyJa.", "eyJ.eyJ", "a", "a://", "a://b:", "a://b:c", "password ", "token=", "secret:' ", "-----BEGIN ", "-----BEGIN PRIVATE ", "xoxb-", "ghp_", "AIza", "AKIA", "f", "api_key"]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_long_hostile_texts_take_linear_time(piece):
+    text = pa.array([piece * (1_000_000 // len(piece)), "password" + " " * 1_000_000])
+    begun = time.process_time()
+    secrets.Scanner().spans(text)
+    assert time.process_time() - begun < 5
+
+
+def test_added_rules_find_tokens():
+    text = "x eyJhbGci.eyJzdWI.sig-na https://user:pass99@host -----BEGIN RSA PRIVATE KEY----- xoxb-123456789-abc"
+    kinds = [secrets.RULES[k].kind for _, k, _ in secrets.Scanner().spans(pa.array([text]))[0]]
+    assert kinds == ["jwt", "basicauth", "pem", "slack"]
+    assert b"eyj" in secrets._grams(secrets.trigram_query(secrets.RULES[4].pattern))
+
+
 def test_rules_without_trigram_scan_fully():
     assert secrets.trigram_query("[0-9a-f]+") is True
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == ("and", b"aki", b"kia")
