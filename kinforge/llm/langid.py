@@ -8,8 +8,10 @@ probabilities are fitted by expectation maximisation (forward-backward) on the
 word counts of a bounded sample of labelled documents.
 
 Words are runs of letters of the lower-cased text, with the vocabulary's word
-mark in front; runs over ``SPAN`` letters are scored in spans of that length,
-and a letter outside the vocabulary has a small fixed probability.
+mark in front, and pieces are those of letters, of any length; a letter outside
+the vocabulary has a small fixed probability. Words over ``SPAN`` letters are
+scored one by one with running rescaling, by the same sum; the fit counts the
+sample's words of up to that length.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
 without any training row every text with letters is ``und`` with score 0; equal
@@ -34,8 +36,9 @@ from kinforge.llm.common import slices
 VOCABULARY = os.environ.get("KINFORGE_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
-SPAN = 20
-LONGEST = 6
+SPAN = 40
+#: Positions of a long word that are looked up at once.
+STRETCH = 1 << 15
 OUTSIDE = 1e-7
 #: Labelled documents for the fit, whole, at most about this many a language.
 SAMPLE_DOCS = 400
@@ -43,13 +46,13 @@ CACHE_WORDS = 300_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def read_pieces(path: str = VOCABULARY, longest: int = LONGEST) -> list[str]:
-    """Pieces of letters (with or without the word mark) of up to ``longest`` letters."""
+def read_pieces(path: str = VOCABULARY) -> list[str]:
+    """All pieces of letters, with or without the word mark."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in found if LETTERS.fullmatch(p.removeprefix(MARK)) and len(p) <= longest)
+    return sorted(p for p in found if LETTERS.fullmatch(p.removeprefix(MARK)))
 
 
 def _mix(code: np.ndarray, char: np.ndarray) -> np.ndarray:
@@ -73,22 +76,22 @@ class Lattice:
     keys: np.ndarray  # sorted hashes of the pieces
     order: np.ndarray  # piece numbers in that order
     n_pieces: int
+    longest: int
 
     @classmethod
     def of(cls, pieces: list[str]) -> Lattice:
         keys = _keys(pieces)
         order = np.argsort(keys)
-        return cls(keys[order], order, len(pieces))
+        return cls(keys[order], order, len(pieces), max(map(len, pieces), default=1))
 
     def pieces_of(self, chars: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """(words, positions, LONGEST) piece number, n_pieces for none of that length,
-        n_pieces + 1 for a single character outside the vocabulary."""
+        """(words, positions, piece lengths) piece number, n_pieces for none of that
+        length, n_pieces + 1 for a single character outside the vocabulary."""
         words, width = chars.shape
-        out = np.full((words, width, LONGEST), self.n_pieces, np.int32)
+        deep = min(self.longest, width)
+        out = np.full((words, width, deep), self.n_pieces, np.int32)
         code = np.zeros((words, width), np.uint64)
-        for k in range(LONGEST):
-            if k >= width:
-                break
+        for k in range(deep):
             span = width - k
             code[:, :span] = _mix(code[:, :span], chars[:, k:])
             look = code[:, :span].reshape(-1)
@@ -112,11 +115,11 @@ def _pack(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _forward(ids: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.ndarray:
     """(width + 1, words, languages) sums over the segmentations of each prefix."""
-    words, width, _ = ids.shape
+    words, width, deep = ids.shape
     alpha = np.zeros((width + 1, words, table.shape[1]))
     alpha[0] = 1.0
     for i in range(1, width + 1):
-        for k in range(min(i, LONGEST)):
+        for k in range(min(i, deep)):
             piece = ids[:, i - 1 - k, k]
             some = np.flatnonzero(piece != table.shape[0] - 2)
             if len(some):
@@ -136,10 +139,13 @@ class Model:
     _lattice: Lattice | None = field(default=None, repr=False)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        """Log probability of each word (at most SPAN letters) under each language."""
+        """Log probability of each word under each language."""
         self._lattice = self._lattice or Lattice.of(self.pieces)
         out = np.empty((len(words), len(self.languages)))
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        while order and len(words[order[-1]]) > SPAN:
+            at = order.pop()
+            out[at] = self.long_word_score(words[at])
         for lo in range(0, len(order), 8192):
             part = order[lo : lo + 8192]
             chars, sizes = _pack([words[i] for i in part])
@@ -147,6 +153,29 @@ class Model:
             out[part] = np.log(alpha[sizes, np.arange(len(part))])
         return out
 
+    def long_word_score(self, word: str) -> np.ndarray:
+        """The same for one word of any length: sums are rescaled before they vanish."""
+        self._lattice = self._lattice or Lattice.of(self.pieces)
+        chars, sizes = _pack([word])
+        n, deep = int(sizes[0]), self._lattice.longest
+        ring = np.zeros((deep + 1, len(self.languages)))  # sums of the next positions
+        ring[0] = 1.0
+        scale = np.zeros(len(self.languages))
+        for lo in range(0, n, STRETCH):
+            part = chars[:, lo : lo + STRETCH + deep - 1]
+            ids = self._lattice.pieces_of(part, np.array([part.shape[1]]))[0]
+            for i in range(min(STRETCH, n - lo)):
+                mine = ring[0].copy()
+                if mine.min() < 1e-200:
+                    ring /= mine
+                    scale += np.log(mine)
+                    mine = ring[0].copy()
+                ring[:-1] = ring[1:]
+                ring[-1] = 0.0
+                found = np.flatnonzero(ids[i] != self._lattice.n_pieces)
+                ring[found] += mine * self.table[ids[i][found]]
+        return np.log(ring[0]) + scale
+
     def posteriors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Posterior of each language for each text, and whether it has letters."""
         counts, flat = [], []
@@ -167,9 +196,10 @@ class Model:
         n = np.array(counts)
         if flat:
             ids = np.fromiter(map(self._cache.__getitem__, flat), np.int64, len(flat))
-            sums = np.concatenate([np.zeros((1, total.shape[1])), np.cumsum(self._scores[ids], axis=0)])
-            ends = np.cumsum(n)
-            total = sums[ends] - sums[ends - n]
+            scores, at = self._scores[ids], 0
+            for i, size in enumerate(counts):  # a text's sum does not depend on its neighbours
+                total[i] = scores[at : at + size].sum(axis=0)
+                at += size
         total -= total.max(axis=1, keepdims=True)
         p = np.exp(total)
         return p / p.sum(axis=1, keepdims=True), n > 0
@@ -179,11 +209,8 @@ class Model:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Letter runs of the lower-cased text, cut into spans of at most SPAN letters."""
-    words = LETTERS.findall(text.lower()) if text else []
-    if words and max(map(len, words)) > SPAN:
-        words = [w[i : i + SPAN] for w in words for i in range(0, len(w), SPAN)]
-    return words
+    """Letter runs of the lower-cased text."""
+    return LETTERS.findall(text.lower()) if text else []
 
 
 def fit(counts: dict[str, Counter], pieces: list[str], rounds: int = 4, smooth: float = 0.05) -> Model:
@@ -193,7 +220,7 @@ def fit(counts: dict[str, Counter], pieces: list[str], rounds: int = 4, smooth:
     size = len(pieces)
     table = np.zeros((size + 2, len(languages)))
     for at, language in enumerate(languages):
-        words = sorted(counts[language], key=lambda w: (len(w), w))
+        words = sorted((w for w in counts[language] if len(w) <= SPAN), key=lambda w: (len(w), w))
         n = np.array([counts[language][w] for w in words], float)
         blocks = []
         for lo in range(0, len(words), 8192):
@@ -206,12 +233,12 @@ def fit(counts: dict[str, Counter], pieces: list[str], rounds: int = 4, smooth:
             expected = np.zeros(size + 2)
             for ids, sizes, weight in blocks:
                 alpha = _forward(ids, sizes, p)[:, :, 0]
-                words_n, width, _ = ids.shape
+                words_n, width, deep = ids.shape
                 beta = np.zeros((width + 1, words_n))
                 beta[sizes, np.arange(words_n)] = 1.0
                 full = alpha[sizes, np.arange(words_n)]
                 for i in range(width - 1, -1, -1):
-                    for k in range(min(width - i, LONGEST)):
+                    for k in range(min(width - i, deep)):
                         flow = p[ids[:, i, k], 0] * beta[i + k + 1]
                         beta[i] += flow
                         expected += np.bincount(ids[:, i, k], alpha[i] * flow * weight / full, minlength=size + 2)

@@ -343,6 +343,25 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [total("▁" + w) for w in words])
 
 
+def test_long_words_and_neighbours(monkeypatch):
+    """A long word's sum is the same by either route, and equal texts score alike whatever stands before them."""
+    pieces = langid.read_pieces()
+    assert max(map(len, pieces)) > 6
+    rng = np.random.default_rng(2)
+    table = rng.random((len(pieces) + 2, 3)) / len(pieces)
+    table[-2:] = [[0.0] * 3, [langid.OUTSIDE] * 3]
+    model = langid.Model(["a", "b", "c"], pieces, table)
+    words = ["internationalisation", "überraschung" * 3, "x", "ж" * 30]
+    assert np.allclose(model.word_scores(words), [model.long_word_score(w) for w in words], rtol=1e-12)
+    monkeypatch.setattr(langid, "STRETCH", 7)
+    assert np.allclose(model.word_scores(words), [model.long_word_score(w) for w in words], rtol=1e-12)
+    long = model.word_scores(["house" * 4000])
+    assert np.isfinite(long).all() and (long < -10_000).all()
+    texts = [" ".join(rng.choice(words[:3] + ["the", "house", "und", "la"], 40)) for _ in range(50)]
+    alone = [langid.Model(["a", "b", "c"], pieces, table).posteriors([t])[0][0] for t in texts]
+    assert (model.posteriors(texts)[0] == np.array(alone)).all()
+
+
 def test_language_frame(edge_docs, no_docs):
     model = langid.train(edge_docs)
     got = {}
