@@ -14,7 +14,10 @@ domain are first replaced by one private-use character of the same length.
 
 Defined results: a null text is empty; positions are code points, end exclusive;
 equal texts have equal spans; rows with null or repeated keys keep their own
-row; contexts need two words, so the first tokens of a text have none.
+row. A context is the last two words with letters before the token, however far
+back; an instance between them counts as one word of its own, and the members of
+a list share the context of the first. The first tokens of a text, with fewer
+than two words before them, have none.
 """
 
 from __future__ import annotations
@@ -38,6 +41,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 SPAN = "array<struct<start:bigint,stop:bigint,txt:string,gap:string>>"
 CHUNK = 256
+#: What stands for an instance within a context, and what is between the members of a list.
+INSTANCE = "#"
+LISTED = r"^(?:and|or|et|ou|und|oder|y|o|e|u)?$"
 
 ROUNDS, CONFIDENCE, SCORE, SUPPORT = 3, 0.5, 0.5, 3
 
@@ -47,29 +53,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _closed(fn: Callable, *given: object) -> Callable[[Column], Column]:
-    return lambda x: fn(x, *given)
+def _closed(fn: Callable, *given: object) -> Callable:
+    return (lambda x, y: fn(x, y, *given)) if fn.__code__.co_argcount - len(given) == 2 else (lambda x: fn(x, *given))
 
 
-def located(text: Column, pattern: str) -> Column:
-    """Matches with their places, from the matches and the gaps between them.
+def running(items: Column, zero: Column, step: Callable, emit: Callable, state: str, kind: str) -> Column:
+    """``emit(s, x)`` of each item, where s is ``step`` folded over the items before it.
 
-    Running sums are taken in chunks, so a text with many matches costs little
-    more than their number.
+    Taken in chunks, so a long array costs little more than its length.
     """
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.array().cast(SPAN)
-
-    def pairs(hits: Column) -> Column:
-        return F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
-
-    def size(x: Column) -> Column:
-        return (F.length(x["g"]) + F.length(x["h"])).cast("long")
 
     def put(a: Column, x: Column) -> Column:
-        start = a["pos"] + F.length(x["g"])
-        one = F.struct(start.alias("start"), (a["pos"] + size(x)).alias("stop"), x["h"].alias("txt"), x["g"].alias("gap"))
-        return F.struct((a["pos"] + size(x)).alias("pos"), F.concat(a["out"], F.array(one)).alias("out"))
+        return F.struct(step(a["s"], x).alias("s"), F.concat(a["out"], F.array(emit(a["s"], x))).alias("out"))
 
     def chunked(all_: Column) -> Column:
         last = F.floor((F.size(all_) - 1) / CHUNK).cast("int")
@@ -78,15 +73,31 @@ def located(text: Column, pattern: str) -> Column:
     def placed(chunks: Column) -> Column:
         starts = F.aggregate(
             chunks,
-            F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<bigint>").alias("out")),
-            lambda a, c: F.struct(F.aggregate(c, a["pos"], lambda s, x: s + size(x)).alias("pos"), F.concat(a["out"], F.array(a["pos"])).alias("out")),
+            F.struct(zero.alias("s"), F.array().cast(f"array<{state}>").alias("out")),
+            lambda a, c: F.struct(F.aggregate(c, a["s"], step).alias("s"), F.concat(a["out"], F.array(a["s"])).alias("out")),
             lambda a: a["out"],
         )
-        return F.flatten(
-            F.zip_with(chunks, starts, lambda c, s: F.aggregate(c, F.struct(s.alias("pos"), empty.alias("out")), put, lambda a: a["out"]))
-        )
+        none = F.array().cast(f"array<{kind}>")
+        return F.flatten(F.zip_with(chunks, starts, lambda c, s: F.aggregate(c, F.struct(s.alias("s"), none.alias("out")), put, lambda a: a["out"])))
+
+    return let(items, lambda x: F.when(F.size(x) > 0, chunked(x)).otherwise(F.array().cast(f"array<{kind}>")))
+
+
+def located(text: Column, pattern: str) -> Column:
+    """Matches with their places, from the matches and the gaps between them."""
+    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+
+    def pairs(hits: Column) -> Column:
+        return F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
 
-    return let(hits, lambda h: F.when(F.size(h) > 0, let(pairs(h), chunked)).otherwise(empty))
+    def step(pos: Column, x: Column) -> Column:
+        return pos + (F.length(x["g"]) + F.length(x["h"])).cast("long")
+
+    def emit(pos: Column, x: Column) -> Column:
+        return F.struct((pos + F.length(x["g"])).alias("start"), step(pos, x).alias("stop"), x["h"].alias("txt"), x["g"].alias("gap"))
+
+    spans = let(hits, lambda h: running(pairs(h), F.lit(0).cast("long"), step, emit, "bigint", SPAN.removeprefix("array<")[:-1]))
+    return F.coalesce(spans, F.array().cast(SPAN))
 
 
 def _digits(x: Column) -> Column:
@@ -123,11 +134,18 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def _pattern(gap: Column) -> Column:
-    """The last two words of the text in front, lowered, without signs and digits."""
-    pair = F.regexp_extract(gap, r"(?<!\S)(\S++\s++\S++)\s++$", 1)
-    words = F.trim(F.regexp_replace(F.regexp_replace(F.lower(pair), r"[^\p{L}\s]", ""), r"\s+", " "))
-    return F.when(words.contains(" "), words)
+def patterns_of(tokens: Column) -> Column:
+    """The context of each token: two words, lowered, without signs and digits, or an empty string."""
+
+    def lead(x: Column, i: Column) -> Column:
+        letters = F.trim(F.regexp_replace(F.regexp_replace(F.lower(x["gap"]), r"[^\p{L}\s]", ""), r"\s+", " "))
+        alike = (i > 0) & letters.rlike(LISTED)
+        return F.when(alike, F.lit("")).otherwise(F.regexp_extract(F.concat(F.when(i > 0, F.lit(INSTANCE + " ")).otherwise(F.lit("")), letters), r"(?:^|\s)(\S+ \S+)$", 1))
+
+    def last(before: Column, mine: Column) -> Column:
+        return F.when(mine != "", mine).otherwise(before)
+
+    return running(F.transform(tokens, lead), F.lit(""), last, last, "string", "string")
 
 
 def occurrences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -140,20 +158,19 @@ def occurrences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     base = F.concat(*[F.transform(spans[k], _closed(ranked, i, k)) for i, k in enumerate(KINDS)])
     df = df.select(F.col(f"`{key}`").alias("key"), F.xxhash64(raw).alias("th"), raw.alias("raw"), F.array_sort(base).alias("base"))
-    # Only the token's own tail of its gap is looked at for the context.
     tokens = F.when(F.col("raw").rlike("[0-9@]"), located(F.col("raw"), TOKEN)).otherwise(F.array().cast(SPAN))
 
-    def shape(x: Column, base: Column) -> Column:
+    def shape(x: Column, pattern: Column, base: Column) -> Column:
         return F.struct(
             (x["start"] + F.length(F.regexp_extract(x["txt"], r"^[\p{P}\p{S}]*+", 0))).alias("start"),
             x["stop"].alias("stop"),
             F.regexp_replace(x["txt"], r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", "").alias("inst"),
-            _pattern(F.right(x["gap"], F.lit(80))).alias("pattern"),
+            pattern.alias("pattern"),
             F.exists(base, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])).alias("seed"),
         )
 
-    shaped = let(F.col("base"), lambda base: F.transform(tokens, _closed(shape, base)))
-    kept = F.filter(shaped, lambda x: x["pattern"].isNotNull() & (F.length(_digits(x["inst"])) + F.when(x["inst"].contains("@"), 3).otherwise(0) >= 3))
+    shaped = let(F.col("base"), lambda base: let(tokens, lambda ts: F.zip_with(ts, patterns_of(ts), _closed(shape, base))))
+    kept = F.filter(shaped, lambda x: (x["pattern"] != "") & (F.length(_digits(x["inst"])) + F.when(x["inst"].contains("@"), 3).otherwise(0) >= 3))
     return df.select("key", "th", "base", kept.alias("found"))
 
 

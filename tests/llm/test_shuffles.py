@@ -255,6 +255,45 @@ def test_pii_contexts_find_unseen_identifiers(spark, edge_docs, no_docs):
     assert pii.detect(edge_docs).count() == edge_docs.count() and pii.detect(no_docs).count() == 0
 
 
+def slow_patterns(text):
+    """(token, context) by a loop over the text's words."""
+    out, words, lead, first = [], [], "", True
+    for token in text.split():
+        if not re.search("[0-9@]", token):
+            words.append(token)
+            continue
+        letters = [w for w in ("".join(c for c in w.lower() if c.isalpha()) for w in words) if w]
+        if first or not (letters == [] or letters in (["and"], ["or"])):
+            two = ([] if first else ["#"]) + letters
+            lead = " ".join(two[-2:]) if len(two) > 1 else ""
+        out.append((token, lead))
+        words, first = [], False
+    return out
+
+
+def test_contexts_reach_back_whole_gaps_and_along_lists(spark):
+    texts = [
+        "my account number" + " " * 90 + "44455566",
+        "account numbers 11122233, 44455566 and 77788899; then 12345",
+        "123456 at start, " + "word " * 50 + "the code: -- 98765 ! , 55555",
+        "a" * 300 + " " + "b" * 300 + " 123456",
+        "key 1 of 2222 or 3333",
+        "see the numbers " + "1234567, " * 700 + "end",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.occurrences(df).select("key", F.col("found.inst").alias("inst"), F.col("found.pattern").alias("pattern")).collect()
+    for r in rows:
+        expected = [(re.sub(r"^\W+|\W+$", "", t), p) for t, p in slow_patterns(texts[r["key"]]) if p and len(re.sub(r"\D", "", t)) >= 3]
+        assert list(zip(r["inst"], r["pattern"], strict=True)) == expected, texts[r["key"]][:60]
+
+
+def test_list_members_are_found(spark):
+    rows = [(i, f"please write to our mail address user{i}@example.com now") for i in range(30)]
+    rows += [(100, "please write to our mail address" + " " * 90 + "box4455 and box7788 now")]
+    found = {r["doc_id"]: [x["kind"] for x in r["found"]] for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[100] == ["context", "context"]
+
+
 # --- mixing ------------------------------------------------------------------
 @pytest.mark.parametrize("parts", [[1, 2, 3, 4, 6], [1] * 9, [50, 30, 20], [97, 1, 1, 1], [7]])
 def test_schedule_stays_within_one_block(parts):
