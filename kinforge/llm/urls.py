@@ -3,11 +3,14 @@
 Everything on the data path is a built-in Spark function: the address is split
 by regular expressions, the rules are a literal array, and the linear model is
 an array of integer weights indexed by hashed character n-grams. The model is
-fitted on the driver from ``LABELLED``, a table of fixed size.
-
-Defined results: a null url, or one without ``://``, has empty host and path,
-no rule, and the model's verdict on the empty address. Repeated rows are judged
-alike; columns of the input called host, path, rule or verdict are replaced.
+fitted on the driver from ``LABELLED``, a table of fixed size. An n-gram's weight
+in an address is its share of the address's n-grams, when fitting and when
+scoring; the logit times the number of n-grams is a sum of whole numbers.
+
+Defined results: a null url, or one without ``://``, has empty host and path, no
+rule and no n-gram, so its score is 0 and it is allowed. Repeated rows are judged
+alike; columns of the input called host, path, rule, verdict or url_score are
+replaced.
 """
 
 from __future__ import annotations
@@ -70,10 +73,10 @@ LABELLED: tuple[tuple[str, int], ...] = (
     ("https://recipes.example.com/es/sopa", 0),
     ("https://science.example.org/en/physics/300", 0),
     ("http://history.example.net/en/rome.html", 0),
-    ("https://www.thertion.example.com/fr/52", 0),
-    ("http://blog.thingand.example.org/en/671", 0),
-    ("https://m.theron.example.net/en/25", 0),
-    ("http://thanea.example.com/es/114", 0),
+    ("https://www.orchestra.example.com/fr/52", 0),
+    ("http://blog.carpentry.example.org/en/671", 0),
+    ("https://m.timetable.example.net/en/25", 0),
+    ("http://observatory.example.com/es/114", 0),
     ("https://forum.example.net/thread/991", 0),
     ("https://code.example.org/project/readme", 0),
     ("http://city-council.example.com/minutes/2020", 0),
@@ -110,16 +113,20 @@ def buckets(host: str, path: str) -> list[int]:
     return out
 
 
+#: Factor of the n-grams' shares, so that weights and bias are of one size.
+SCALE = 16
+
+
 @lru_cache(maxsize=8)
 def train(labelled: tuple[tuple[str, int], ...] = LABELLED, epochs: int = 400, rate: float = 0.5, l2: float = 1e-3) -> tuple[int, tuple[int, ...]]:
-    """Full-batch gradient descent; weights in thousandths, so sums are exact."""
+    """Full-batch gradient descent; bias and weights (times ``SCALE``) in thousandths, so sums are exact."""
     rows = []
     for url, y in labelled:
+        found = buckets(*split_address(url))
         x: dict[int, float] = {}
-        for b in buckets(*split_address(url)):
-            x[b] = x.get(b, 0.0) + 1.0
-        norm = math.sqrt(sum(v * v for v in x.values())) or 1.0
-        rows.append(({b: v / norm for b, v in x.items()}, y))
+        for b in found:
+            x[b] = x.get(b, 0.0) + SCALE / len(found)
+        rows.append((x, y))
     w, bias = [0.0] * (2 * DIM), 0.0
     for _ in range(epochs):
         grad: dict[int, float] = {}
@@ -133,10 +140,12 @@ def train(labelled: tuple[tuple[str, int], ...] = LABELLED, epochs: int = 400, r
         for b, g in grad.items():
             w[b] -= rate * (g + l2 * w[b])
         bias -= rate * gb / len(rows)
-    # Weights act on unnormalised counts at scoring; the sign of the score is
-    # unchanged by a row's norm once the bias is spread over its n-grams.
-    mean_norm = sum(len(x) for x, _ in rows) / len(rows)
-    return round(1000 * bias * math.sqrt(mean_norm)), tuple(round(1000 * v) for v in w)
+    return round(1000 * bias), tuple(round(1000 * SCALE * v) for v in w)
+
+
+def n_grams(part: Column) -> Column:
+    """N-grams of ``^part$``, as ``buckets`` counts them."""
+    return sum((F.greatest(F.length(part) + 3 - n, F.lit(0)) for n in SIZES), F.lit(0)).cast("long")
 
 
 def _score(part: Column, weights: Column, shift: int) -> Column:
@@ -162,7 +171,7 @@ def judge_urls(
     rules: tuple[tuple[str, str, str], ...] = RULES,
     labelled: tuple[tuple[str, int], ...] = LABELLED,
 ) -> DataFrame:
-    """Add host, path, rule, verdict and url_score (thousandths of a logit).
+    """Add host, path, rule, verdict and url_score (thousandths of a logit, times the n-grams).
 
     A rule fits its host and every subdomain when the path starts with the
     rule's; of several, the longest (host and path together) wins, and among
@@ -183,7 +192,7 @@ def judge_urls(
     ]
     best = F.array_max(F.filter(F.array(*fits), lambda x: x.isNotNull())) if fits else F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
     table = F.lit(list(weights))
-    score = F.lit(bias).cast("long") + _score(h, table, 0) + _score(p, table, DIM)
+    score = F.lit(bias).cast("long") * (n_grams(h) + n_grams(p)) + _score(h, table, 0) + _score(p, table, DIM)
     df = df.withColumns({"__best": best, "url_score": score})
     return df.withColumns(
         {
@@ -206,6 +215,7 @@ def oracle() -> str:
             terms.append(f"coalesce(list_sum(list_transform(range(1, len({part}) - {n - 2}), lambda i: w[(({code}) % {DIM}) + {shift + 1}])), 0)")
         return " + ".join(terms)
 
+    grams = " + ".join(f"greatest(len({part}) - {n - 1}, 0)" for part in ("hc", "pc") for n in SIZES)
     cases = " ".join(
         f"WHEN (host = '{rh}' OR ends_with(host, '.{rh}')) AND starts_with(path, '{rp}') THEN '{{}}{rh + rp}{{}}{v}'".replace("{}", "|")
         for v, rh, rp in sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
@@ -225,5 +235,5 @@ b AS (
 SELECT page_id, host, path,
   CASE WHEN hit IS NULL THEN NULL ELSE string_split(hit, '|')[2] END AS rule,
   CASE WHEN hit IS NOT NULL THEN string_split(hit, '|')[3]
-       WHEN {bias} + {score('hc', 0)} + {score('pc', DIM)} > 0 THEN 'block' ELSE 'allow' END AS verdict
+       WHEN {bias} * ({grams}) + {score('hc', 0)} + {score('pc', DIM)} > 0 THEN 'block' ELSE 'allow' END AS verdict
 FROM b"""
