@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+#: Rows of an Arrow batch at most. Texts are long, and batches lie outside the executors' heap.
+BATCH_ROWS = 1000
 
 
 def utf8_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,10 +39,6 @@ def byte_blocks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, i
         i = j
 
 
-def arrow_schema(ddl: list[tuple[str, pa.DataType]]) -> pa.Schema:
-    return pa.schema(ddl)
-
-
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches cut so that ``text`` holds about ``limit`` bytes at most."""
     for batch in batches:
@@ -48,3 +48,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -
             j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: object) -> DataFrame:
+    """``df.mapInArrow`` with the session's Arrow batches lowered to ``BATCH_ROWS`` rows."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df.mapInArrow(run, ddl)

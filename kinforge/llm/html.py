@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kinforge.llm.common import slices
+from kinforge.llm.common import map_batches, slices
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)",
@@ -344,4 +344,4 @@ def extract(df: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id
             )
 
     head = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*dict.fromkeys((*keep, page))).mapInArrow(run, head + ", text string, n_chars long")
+    return map_batches(df.select(*dict.fromkeys((*keep, page))), run, head + ", text string, n_chars long")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinforge.llm.common import slices
+from kinforge.llm.common import map_batches, slices
 
 VOCABULARY = os.environ.get("KINFORGE_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
@@ -292,4 +292,4 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             )
 
     head = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (key, *keep))
-    return df.select(*dict.fromkeys((key, *keep, text))).mapInArrow(run, head + ", lang_pred string, score double")
+    return map_batches(df.select(*dict.fromkeys((key, *keep, text))), run, head + ", lang_pred string, score double")

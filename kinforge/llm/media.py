@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kinforge.llm.common import slices
+from kinforge.llm.common import map_batches, slices
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 ROW = 192
@@ -160,7 +160,7 @@ def store_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, png binary")
+    return map_batches(df.select(key, text), run, f"`{key}` {kind}, n_bytes long, png binary")
 
 
 def read_media(df: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ("n_bytes",)) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinforge.llm import simhash
-from kinforge.llm.common import slices
+from kinforge.llm.common import map_batches, slices
 from kinforge.operators.graph import connected_components
 from kinforge.session import discard, materialize
 
@@ -47,7 +47,10 @@ RADIUS = 3
 #: Members and 64-bit words of one set that a task compares, and pivots of a larger one.
 SET_MEMBERS, SET_WORDS, PIVOTS = 32_768, 2_000_000, 64
 #: Rows that tell common shingles from rare ones, and how many of them are kept.
-ORDER_DOCS, ORDER_SHINGLES = 10_000, 400_000
+ORDER_DOCS, ORDER_SHINGLES = 20_000, 400_000
+
+#: Sets with a candidate, of 32 bytes and a key each, that are broadcast to the texts; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 Edges = tuple[np.ndarray, np.ndarray]
 
@@ -94,7 +97,7 @@ def common_shingles(df: DataFrame, text: str, width: int) -> tuple[np.ndarray, n
         top = np.sort(top[counts[top] > 1])
         yield pa.RecordBatch.from_arrays([pa.array(found[top]), pa.array(counts[top])], names=["s", "c"])
 
-    kept = rows.repartition(1).mapInArrow(run, "s long, c long").toArrow()  # a bounded sample
+    kept = map_batches(rows.repartition(1), run, "s long, c long").toArrow()  # a bounded sample
     return kept["s"].to_numpy(), kept["c"].to_numpy()
 
 
@@ -126,7 +129,7 @@ def mark(df: DataFrame, key: str, text: str, width: int, similarity: float) -> D
             yield pa.RecordBatch.from_arrays([batch.column(key), *columns], names=[key, "sig", "fp", "n", "sketch", "prefix"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.mapInArrow(run, f"`{key}` {kind}, sig long, fp long, n long, sketch binary, prefix array<bigint>")
+    return map_batches(df, run, f"`{key}` {kind}, sig long, fp long, n long, sketch binary, prefix array<bigint>")
 
 
 def grow_forest(count: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Edges:
@@ -316,8 +319,9 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", widt
             out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "sig", "words")), lists], names=["root", "sig", "words", "shingles"])
             yield out.filter(pc.equal(batch.column("sig"), pa.array([signature(x) for x in sets], pa.int64())))  # a key may be repeated
 
-    texts = df.join(carriers, F.col(key) == F.col("__key")).select("root", "sig", "words", text)
-    members = texts.mapInArrow(run, "root long, sig long, words long, shingles array<bigint>").dropDuplicates(["sig"])
+    few = F.broadcast(carriers) if carriers.count() <= BROADCAST_ROWS else carriers
+    texts = df.join(few, F.col(key) == F.col("__key")).select("root", "sig", "words", text)
+    members = map_batches(texts, run, "root long, sig long, words long, shingles array<bigint>").dropDuplicates(["sig"])
     members = materialize(members, "sets")
 
     def forest(rows: pa.Table) -> Edges:

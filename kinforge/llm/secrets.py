@@ -26,7 +26,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinforge.llm.common import byte_blocks
+from kinforge.llm.common import byte_blocks, map_batches
 
 
 @dataclass(frozen=True)
@@ -259,7 +259,7 @@ def _map_texts(df: DataFrame, text: str, rules: tuple[Rule, ...], ddl: str | obj
         for batch in batches:
             yield make(batch, scanner.spans(batch.column(text)))
 
-    return df.mapInArrow(run, ddl)
+    return map_batches(df, run, ddl)
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

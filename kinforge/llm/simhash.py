@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinforge.llm.common import slices
+from kinforge.llm.common import map_batches, slices
 from kinforge.operators.graph import connected_components
 from kinforge.session import materialize
 
@@ -76,7 +76,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", width:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, *keep)), pa.array(fps)], names=[key, *keep, "fp"])
 
     head = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (key, *keep))
-    return df.select(key, *keep, text).mapInArrow(run, head + ", fp long")
+    return map_batches(df.select(key, *keep, text), run, head + ", fp long")
 
 
 def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:

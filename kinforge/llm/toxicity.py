@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinforge.llm import tokens
-from kinforge.llm.common import byte_blocks
+from kinforge.llm.common import byte_blocks, map_batches
 
 BITS = 20
 PREFIX = 4
@@ -222,4 +222,4 @@ def predict(df: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text"
 
     kind = df.schema[key].dataType.simpleString()
     ddl = ", ".join([f"`{key}` {kind}", *(f"p_{c} double" for c in chain.names), *(f"{c} boolean" for c in chain.names)])
-    return df.select(key, text).mapInArrow(run, ddl)
+    return map_batches(df.select(key, text), run, ddl)
