@@ -61,7 +61,19 @@ LABELLED: tuple[tuple[str, int], ...] = (
     ("http://cheap-tickets-spam.example.org/en/12", 1),
     ("http://spam-farm.example.net/fr/31", 1),
     ("https://www.cheap-pills.example.org/de/440", 1),
+    ("http://sport-bets.example.com/odds/live", 1),
+    ("https://free-bets-online.example.org/en/90", 1),
+    ("http://ads-network.example.net/track/pixel", 1),
+    ("https://ad-track.example.org/fr/77", 1),
+    ("http://win-casino.example.net/de/15", 1),
+    ("http://lottery-win.example.com/es/8", 1),
     ("https://news.example.com/world/2024/05/article", 0),
+    ("http://www.bakery.example.net/de/brot", 0),
+    ("https://railway.example.com/en/7", 0),
+    ("http://m.theatre.example.org/es/905", 0),
+    ("https://blog.chemistry.example.net/fr/3384", 0),
+    ("http://www.township.example.com/de/1201", 0),
+    ("https://harbour.example.org/en/46/", 0),
     ("https://www.example.org/about", 0),
     ("http://blog.example.net/posts/12", 0),
     ("https://docs.example.com/guide/install.html", 0),
