@@ -56,14 +56,15 @@ class Words:
     prefix: np.ndarray  # hash of the first bytes, as asked for
     number: np.ndarray  # digits only
     name: np.ndarray  # capital letter inside a sentence
+    opens: np.ndarray  # capital letter at the start of a sentence
 
 
-def words(data: np.ndarray, offsets: np.ndarray, prefix: int = 0) -> Words:
-    """Words of the texts that ``offsets`` cut ``data`` into."""
+def words(data: np.ndarray, offsets: np.ndarray, prefix: int = 0, split: bool = False) -> Words:
+    """Words of the texts that ``offsets`` cut ``data`` into; ``split`` cuts words after leading digits."""
     n = len(data)
     if n == 0:
         none = np.empty(0, np.int64)
-        return Words(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool), none.astype(bool))
+        return Words(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool), none.astype(bool), none.astype(bool))
     low = _LOWER[data]
     inside = _WORD[data]
     lead = np.flatnonzero(data[:-1] == 0xC3) + 1
@@ -83,6 +84,11 @@ def words(data: np.ndarray, offsets: np.ndarray, prefix: int = 0) -> Words:
     first[n] = True
     start = np.flatnonzero(inside & (first[:-1] | ~np.concatenate([[False], inside[:-1]])))
     end = np.flatnonzero(inside & (first[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
+    if split and len(start):
+        other = np.flatnonzero(~_DIGIT[data])
+        cut = np.append(other, n)[np.searchsorted(other, start)]
+        cut = cut[(cut > start) & (cut < end)]
+        start, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
     power, inverse = _power_tables(n)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64)])
     hashed = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
@@ -92,28 +98,13 @@ def words(data: np.ndarray, offsets: np.ndarray, prefix: int = 0) -> Words:
         short = mix((total[cut] - total[start]) * inverse[start] + np.uint64(0xABCDEF))
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     number = digits[end] - digits[start] == end - start
-    # A capital opens a sentence when only signs up to a stop (or the text's
-    # start) stand before it.
-    capital = (data[start] >= 65) & (data[start] <= 90)
-    before = np.where(start > 0, start - 1, 0)
-    fresh = first[start]
-    at, steps = before.copy(), 0
-    open_ = capital & ~fresh
-    opens = np.zeros(len(start), bool)
-    while open_.any() and steps < 4:
-        where = np.flatnonzero(open_)
-        byte = data[at[where]]
-        stop = _STOP[byte]
-        opens[where[stop]] = True
-        go = ~stop & ~_WORD[byte] & (at[where] > 0) & ~first[at[where]]
-        opens[where[~stop & ~_WORD[byte] & first[at[where]]]] = True
-        open_[:] = False
-        open_[where[go]] = True
-        at -= 1
-        at[at < 0] = 0
-        steps += 1
     row = np.searchsorted(offsets, start, "right") - 1
-    return Words(start, end, row, hashed, short, number, capital & ~fresh & ~opens)
+    # A capital opens a sentence when a stop, or nothing, stands between it and the word before.
+    capital = (data[start] >= 65) & (data[start] <= 90)
+    stops = np.concatenate([[0], np.cumsum(_STOP[data])])
+    opens = np.ones(len(start), bool)
+    opens[1:] = (row[1:] != row[:-1]) | (stops[start[1:]] > stops[end[:-1]])
+    return Words(start, end, row, hashed, short, number, capital & ~opens, capital & opens)
 
 
 def windows(hashed: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

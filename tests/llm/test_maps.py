@@ -274,26 +274,34 @@ def test_words_match_a_regular_expression():
         assert len(set(hashes.values())) == len(hashes)
 
 
-def leaks(texts, items):
-    index = decontam.Index(list(range(len(items))), items)
-    out = set()
-    for i, _, data, at in byte_blocks(pa.array(texts, pa.string())):
-        out |= {(i + r, item, how) for r, item, _, how in index.matches(data, at)}
-    return out
-
-
-def test_leaks_exact_and_reparameterised():
-    item = "Tom has 12 apples and buys 7 more apples from Anna. How many apples does Tom have after he sold 12 kg?"
-    same = "Once upon a time. tom HAS 12 apples and buys 7 more apples from anna. how many apples does tom have after he sold 12 kg? The end"
-    again = "We ask: now Bob has 55 apples and buys 9 more apples from Eve. How many apples does Bob have after he sold 55 kg?"
-    clash = "We ask: now Bob has 55 apples and buys 9 more apples from Eve. How many apples does Zed have after he sold 31 kg?"
-    half = "Tom has 12 apples and buys 7 more apples"
-    got = leaks([same, again, half, None, "", prose(9)], [item, "too short"])
-    assert (0, 0, "exact") in got and (1, 0, "template") in got and {r for r, _, _ in got} == {0, 1}
-    assert not {x for x in leaks([clash], [item]) if x[2] == "exact"}
+def leaks(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"], r["how"]) for r in decontam.find_leaks(docs, bench).collect()}
+
+
+TOM = "Tom has 12 apples and buys 7 more apples from Anna. How many apples does Tom have after he sold 12 kg?"
+
+
+def test_leaks_exact_and_reparameterised(spark):
+    texts = [
+        "Once upon a time. tom HAS 12 apples and buys 7 more apples from anna. how many apples does tom have after he sold 12 kg? The end",
+        "We ask: now Bob has 55 apples and buys 9 more apples from Eve. How many apples does Bob have after he sold 55 kg?",
+        "Bob has 1,255 apples and buys 9.5 more apples from Eve. How many apples does Bob have after he sold 1,255kg?",
+        "We ask: now Bob has 55 apples and buys 9 more apples from Eve. How many apples does Zed have after he sold 31 kg?",
+        "Tom has 12 apples and buys 7 more apples",
+        None,
+        "",
+        prose(9),
+        "Too short",
+        "he is too short for it",
+        "Bob has 40 pears. Bob gives 8 pears to Eve. How many pears does Bob have left?",
+    ]
+    got = leaks(spark, texts, [TOM, "too short", "Anna has 12 pears. Anna gives 5 pears to Tom. How many pears does Anna have left?", "", None])
+    assert got == {(0, 0, "exact"), (1, 0, "template"), (2, 0, "template"), (8, 1, "exact"), (10, 2, "template")}
 
 
-def test_leaks_against_brute_force():
+def test_leaks_against_brute_force(spark):
     items = [prose(500 + i, 30) for i in range(20)]
     texts = [prose(900 + i, 200) + " " + items[i % 20][: 400 if i % 2 else 60] + " " + prose(i) for i in range(60)]
 
@@ -302,15 +310,94 @@ def test_leaks_against_brute_force():
         return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
 
     expected = {(i, j) for i, t in enumerate(texts) for j, b in enumerate(items) if len(shingles(b) & shingles(t)) >= 0.8 * len(shingles(b))}
-    assert {(r, i) for r, i, _ in leaks(texts, items)} == expected
+    assert {(r, i) for r, i, _ in leaks(spark, texts, items)} == expected
+
+
+def slow_windows(text):
+    """For each window: place, plain words, and (shape, slot values) with openers as words and as names."""
+    found = []
+    for m in re.finditer(r"[0-9]+(?:[.,][0-9]+)*|[A-Za-z][A-Za-z0-9]*", text):
+        gap = text[found[-1][1] : m.start()] if found else "."
+        found.append((m[0], m.end(), any(c in ".!?:;\n|" for c in gap)))
+    tokens_ = []
+    for word, _, opens in found:
+        plain = tuple(re.split("[.,]", word)) if word[0].isdigit() else word.lower()
+        kind = "NUM" if word[0].isdigit() else "UNIT" if plain in decontam.UNITS else "NAME" if word[0].isupper() and not opens else ""
+        tokens_.append((plain, kind, word[0].isupper() and opens and not kind))
+    out = []
+    for i in range(max(1, len(tokens_) - 4)):
+        part = tokens_[i : i + 5]
+        readings = []
+        for as_name in (False, True):
+            kinds = [k or ("NAME" if as_name and o else "") for _, k, o in part]
+            readings.append((tuple(k or p for (p, _, _), k in zip(part, kinds)), tuple(p if k else None for (p, _, _), k in zip(part, kinds))))
+        out.append((i, tuple(p for p, _, _ in part), readings))
+    return out
+
+
+def slow_leak(text, item):
+    mine, theirs = slow_windows(text), []
+    plain, shapes = set(), set()
+    for i, words, readings in slow_windows(item):
+        if words not in plain:
+            counts = readings[0][0] not in shapes and sum(v is None for v in readings[0][1]) >= decontam.LITERALS
+            theirs.append((words, readings, counts))
+        plain.add(words)
+        shapes.add(readings[0][0])
+    same, shape, maps = 0, 0, set()
+    for words, readings, counts in theirs:
+        hits = []
+        for place, other, views in mine:
+            if other == words:
+                hits.append((place, 0, readings[0][1], readings[0][1]))
+            for side in (0, 1) if counts else ():
+                if (side == 0 or sum(v is None for v in readings[1][1]) >= decontam.LITERALS and readings[0] != readings[1] and views[0] != views[1]) and views[side][0] == readings[side][0]:
+                    hits.append((place, side + 1, views[side][1], readings[side][1]))
+        same += any(h[1] == 0 for h in hits)
+        if hits and counts:
+            shape += 1
+            _, _, a, b = min(hits, key=lambda h: h[:2])
+            maps |= {(x, y) for x, y in zip(a, b, strict=True) if x is not None and y is not None}
+    total = sum(c for _, _, c in theirs)
+    clash = len(maps) - min(len({x for x, _ in maps}), len({y for _, y in maps}))
+    if same >= decontam.SHARE * len(theirs):
+        return "exact"
+    return "template" if total and shape >= decontam.SHARE * total and clash <= decontam.CLASHES * len(maps) else None
+
+
+def test_template_side_against_brute_force(spark):
+    names, words = ["Tom", "Anna", "Bob", "Eve", "Zed"], "apples pears has buys from sells more then gives how many kg days left after coins".split()
+
+    def text(seed, swap):
+        q, s = np.random.default_rng(seed), np.random.default_rng(seed * 7 + swap)
+        out = []
+        for k in range(26):
+            kind = q.integers(0, 8)
+            number = q.integers(1, 30)
+            if kind == 0:
+                out.append(names[int(number + swap * 2) % 5])
+            elif kind == 1:
+                out.append(f"{number + swap * 31}" + ["", ".5", "kg"][number % 3])
+            else:
+                out.append(words[number % len(words)] if s.integers(0, 60) or not swap else "else")
+            if q.integers(0, 7) == 0:
+                out[-1] += "."
+                out.append(["The", "Tom", "How"][number % 3])
+        return " ".join(out)
+
+    items = [text(k, 0) for k in range(40)]
+    texts = [text(k, j) for k in range(40) for j in (0, 1, 2)] + [f"And so {text(k, 3)} {text(k + 50, 0)}" for k in range(40)]
+    expected = {(i, j, how) for i, t in enumerate(texts) for j, b in enumerate(items) if (how := slow_leak(t, b))}
+    assert {how for _, _, how in expected} == {"exact", "template"} and len(expected) > 90
+    assert leaks(spark, texts, items) == expected
 
 
 def test_leak_frames(spark, edge_docs, no_docs):
-    bench = spark.createDataFrame([(1, prose(2)), (2, None)], "item_id long, text string")
+    bench = spark.createDataFrame([("a", prose(2)), ("b", None), (None, prose(1)), (None, prose(1))], "item_id string, text string")
     got = decontam.find_leaks(edge_docs, bench).collect()
-    assert [(r["doc_id"], r["item_id"], r["how"]) for r in got] == [(None, 1, "exact")]
+    assert sorted((r["doc_id"] or 0, r["item_id"] or "", r["how"]) for r in got) == [(0, "a", "exact"), (1, "", "exact"), (2, "", "exact"), (2, "", "exact")]
     kept = decontam.drop_leaks(edge_docs, bench)
-    assert kept.count() == edge_docs.count() - 1 and kept.columns == edge_docs.columns
+    assert kept.count() == edge_docs.count() - 4 and kept.columns == edge_docs.columns
     assert decontam.find_leaks(no_docs, bench).count() == 0
     assert decontam.find_leaks(edge_docs, bench.limit(0)).count() == 0
 
