@@ -47,7 +47,8 @@ NICKNAMES: dict[str, list[str]] = {
     "elizabeth": ["liz", "beth"],
     "james": ["jim", "jimmy"],
 }
-SUFFIXES = ("JR", "SR", "II", "III")
+#: Which suffixes each suffix is confused with.
+SUFFIXES = {"JR": ("SR", "II"), "SR": ("JR",), "II": ("JR", "III"), "III": ("II", "IV"), "IV": ("III",)}
 #: Placeholder values that registries use.
 HUBS = {"phone": "0000000", "street": "GENERAL DELIVERY", "birth_year": "1900", "dob": "1900-01-01"}
 
@@ -240,14 +241,17 @@ def field_format_drift() -> Channel:
 
 
 def suffix_confusion() -> Channel:
-    """Add, drop or confuse a name suffix."""
+    """Add, drop or confuse a name suffix, in the case of the suffix or, if added, of the family name."""
 
     def edit(df: DataFrame, key) -> dict[str, Column]:
-        c = F.col("name_suffix")
-        n = key("which") % 4
-        added = F.when(n < 2, "JR").when(n == 2, "SR").otherwise("II")
-        other = F.element_at(F.array(*map(F.lit, SUFFIXES)), (key("other") % len(SUFFIXES) + 1).cast("int"))
-        return {"name_suffix": F.when(empty_to_null(c).isNull(), added).when(n < 2, F.lit(None).cast("string")).otherwise(other)}
+        c, n = F.col("name_suffix"), key("which") % 4
+        added = F.when(n < 2, "jr").when(n == 2, "sr").otherwise("ii")
+        like = empty_to_null(F.col("family_name")) if "family_name" in df.columns else F.lit(None).cast("string")
+        table = F.create_map(*[x for k, v in SUFFIXES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+        options = F.try_element_at(table, F.trim(F.lit("."), F.upper(c)))
+        other = F.get(options, (key("other") % F.greatest(F.size(options), F.lit(1))).cast("int"))
+        confused = F.when((n >= 2) & options.isNotNull(), match_case(c, other))  # else it is dropped
+        return {"name_suffix": F.when(empty_to_null(c).isNull(), match_case(F.coalesce(like, F.lit("Xx")), added)).otherwise(confused)}
 
     return Channel("suffix_confusion", edit)
 

@@ -18,11 +18,15 @@ def _clip(x: float) -> float:
 def corrected_precision_recall(
     obs_precision: float, obs_recall: float, dup_rate: float, overlay_rate: float, dup_ci: tuple[float, float] | None = None, overlay_ci: tuple[float, float] | None = None
 ) -> dict[str, float]:
-    """Invert the effect of missed (dup) and false (overlay) links in the truth.
-
-    A share ``dup_rate`` of real links is unknown to the truth, so correct links
-    look wrong; a share ``overlay_rate`` of its links is false, so it asks for
-    links that do not exist. Bands come from the corners of the rates' intervals.
+    """True pairwise precision and recall behind those observed against an erroneous truth.
+
+    A share d = ``dup_rate`` of the real pairs is keyed apart and a share
+    o = ``overlay_rate`` of the pairs in play that are none is keyed together, so
+    observed precision is P (1 - d) + (1 - P) o. Observed recall runs over keyed
+    pairs, of which a share o is spurious; the point takes none of those as
+    linked and unseen pairs as recalled like the others, the band lets both be
+    anything. Bands span the corners of the rates' intervals. A NaN observation
+    gives NaN for its metric.
     """
     for name, rate in (("dup_rate", dup_rate), ("overlay_rate", overlay_rate)):
         if not 0 <= rate < 1:
@@ -31,22 +35,24 @@ def corrected_precision_recall(
         if not (math.isnan(obs) or 0 <= obs <= 1):
             raise ValueError(f"{name} must be in [0, 1]")
     for ci, point in ((dup_ci, dup_rate), (overlay_ci, overlay_rate)):
-        if ci and not ci[0] <= point <= ci[1]:
-            raise ValueError("an interval must hold its rate")
-
-    def fix(d: float, o: float) -> tuple[float, float]:
-        return _clip(obs_precision * (1 - o) / (1 - d)), _clip(obs_recall / (1 - o))
-
-    point = fix(dup_rate, overlay_rate)
-    corners = [fix(d, o) for d, o in itertools.product(dup_ci or (dup_rate,), overlay_ci or (overlay_rate,))]
-    return {
-        "precision": point[0],
-        "recall": point[1],
-        "precision_lo": min(c[0] for c in corners),
-        "precision_hi": max(c[0] for c in corners),
-        "recall_lo": min(c[1] for c in corners),
-        "recall_hi": max(c[1] for c in corners),
-    }
+        if ci and not (0 <= ci[0] <= point <= ci[1] < 1):
+            raise ValueError("an interval must lie in [0, 1) and hold its rate")
+    corners = list(itertools.product(dup_ci or (dup_rate,), overlay_ci or (overlay_rate,)))
+    if max([dup_rate + overlay_rate, *(d + o for d, o in corners)]) >= 1:
+        raise ValueError("the rates, and the ends of their intervals, must sum to less than 1")
+
+    def precision(d: float, o: float) -> float:
+        return _clip((obs_precision - o) / (1 - d - o))
+
+    def recall_band(d: float, o: float) -> tuple[float, float]:
+        return (1 - d) * _clip((obs_recall - o) / (1 - o)), (1 - d) * _clip(obs_recall / (1 - o)) + d
+
+    nan = float("nan")
+    p = [nan] * 3 if math.isnan(obs_precision) else [precision(dup_rate, overlay_rate), min(precision(*c) for c in corners), max(precision(*c) for c in corners)]
+    r = [nan] * 3
+    if not math.isnan(obs_recall):
+        r = [_clip(obs_recall / (1 - overlay_rate)), min(recall_band(*c)[0] for c in corners), min(1.0, max(recall_band(*c)[1] for c in corners))]
+    return {"precision": p[0], "recall": r[0], "precision_lo": p[1], "precision_hi": p[2], "recall_lo": r[1], "recall_hi": r[2]}
 
 
 def allocate(counts: dict[str | None, int], n: int) -> dict[str | None, int]:

@@ -366,12 +366,21 @@ def paired_delta(spark, sf_dir):
     return bootstrap.paired_delta(full, near, "pair_completeness", 200, 3)
 
 
-@query("variance_components")
+@query(
+    "variance_components",
+    """WITH c AS (SELECT o_orderpriority AS s, year(o_orderdate) AS d, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2),
+g AS (SELECT avg(v) AS g, count(*) AS n, count(DISTINCT s) AS ks, count(DISTINCT d) AS kd FROM c),
+ms AS (SELECT s, avg(v) AS ms FROM c GROUP BY 1), md AS (SELECT d, avg(v) AS md FROM c GROUP BY 1),
+r AS (SELECT sum((v - ms - md + g) ** 2) / (any_value(n) - 1 - (any_value(ks) - 1) - (any_value(kd) - 1)) AS r FROM c JOIN ms USING (s) JOIN md USING (d), g)
+SELECT 'seed' AS component, round(greatest(0, (SELECT var_samp(ms) FROM ms) - r * ks / n), 2) AS variance FROM r, g
+UNION ALL SELECT 'noise_draw', round(greatest(0, (SELECT var_samp(md) FROM md) - r * kd / n), 2) FROM r, g
+UNION ALL SELECT 'residual', round(r, 2) FROM r""",
+)
 def variance_components(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     cell = orders.groupBy(F.col("o_orderpriority").alias("seed"), F.year("o_orderdate").alias("noise_draw")).agg(F.avg("o_totalprice").alias("value"))
     found = power.variance_components(materialize(cell, "cells"), ["seed", "noise_draw"])
-    return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "component string, variance double")
+    return spark.createDataFrame([(k, round(float(v), 2)) for k, v in found.items()], "component string, variance double")
 
 
 @query("power_table")
@@ -379,10 +388,16 @@ def power_table(spark, sf_dir):
     return power.power_table(spark, [0.005, 0.01, 0.02, 0.05], {"seed": 4e-4, "noise_draw": 5e-4})
 
 
-@query("corrected_precision_recall")
+@query(
+    "corrected_precision_recall",
+    """WITH x AS (SELECT d, o, (0.9 - o) / (1 - d - o) AS p, (1 - d) * (0.8 - o) / (1 - o) AS lo, (1 - d) * 0.8 / (1 - o) + d AS hi
+  FROM (VALUES (0.02::DOUBLE), (0.04)) a(d), (VALUES (0.01::DOUBLE), (0.03)) b(o))
+SELECT round((0.9 - 0.02) / (1 - 0.03 - 0.02)::DOUBLE, 9) AS "precision", round(0.8 / (1 - 0.02)::DOUBLE, 9) AS recall, round(min(p), 9) AS precision_lo,
+  round(max(p), 9) AS precision_hi, round(min(lo), 9) AS recall_lo, round(max(hi), 9) AS recall_hi FROM x""",
+)
 def corrected_precision_recall(spark, sf_dir):
     row = truth.corrected_precision_recall(0.9, 0.8, 0.03, 0.02, (0.02, 0.04), (0.01, 0.03))
-    return spark.createDataFrame([tuple(map(float, row.values()))], ", ".join(f"{k} double" for k in row))
+    return spark.createDataFrame([tuple(round(float(v), 9) for v in row.values())], ", ".join(f"{k} double" for k in row))
 
 
 #: Two annotators of documents: quality, and absence of toxicity.

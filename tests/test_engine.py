@@ -352,12 +352,26 @@ def test_bootstrap(spark):
 def test_power_and_truth(spark):
     assert power.detect_bar({"seed": 1e-4, "noise_draw": 0.0, "residual": 0.0}) == pytest.approx(2 * math.sqrt(2e-4))
     assert power.seeds_needed(0.01, 0.0305**2, 0) == 74 or power.seeds_needed(0.01, 0.0305**2, 0) == 73
-    with pytest.raises(KeyError):
+    with pytest.raises(ValueError, match="residual"):
         power.detect_bar({"seed": 1.0})
+    with pytest.raises(ValueError, match="name the factors"):
+        power.detect_bar({"split": 1.0, "residual": 0.0})
+    assert power.detect_bar({"seed": 2.0}, include_residual=False) == 4.0
     grid = spark.createDataFrame([(s, n, float(s + 10 * n)) for s in range(4) for n in range(3)], "seed int, noise_draw int, value double")
     found = power.variance_components(grid, ["seed", "noise_draw"])
     assert found["seed"] == pytest.approx(5 / 3) and found["noise_draw"] == pytest.approx(100) and found["residual"] == pytest.approx(0, abs=1e-9)
+    gaps = spark.createDataFrame([(s, 1, float(s * s)) for s in range(4) for _ in range(2)] + [(9, 1, None)], "seed int, noise_draw int, value double")
+    one = power.variance_components(gaps, ["seed", "noise_draw"])
+    assert math.isnan(one["noise_draw"]) and one["seed"] > 0 and one["residual"] == pytest.approx(0, abs=1e-9)
+    with pytest.raises(ValueError, match="not enough"):
+        power.variance_components(grid.limit(2), ["seed", "noise_draw"])
     assert truth.corrected_precision_recall(0.9, 0.8, 0.0, 0.0)["precision"] == 0.9
+    fixed = truth.corrected_precision_recall(0.9, 0.8, 0.05, 0.02)
+    assert fixed["precision"] == pytest.approx(0.88 / 0.93) and fixed["recall"] == pytest.approx(0.8 / 0.98)
+    assert fixed["recall_lo"] == pytest.approx(0.95 * 0.78 / 0.98) and fixed["recall_hi"] == pytest.approx(0.95 * 0.8 / 0.98 + 0.05)
+    assert fixed["precision"] * 0.95 + (1 - fixed["precision"]) * 0.02 == pytest.approx(0.9)
+    with pytest.raises(ValueError, match="less than 1"):
+        truth.corrected_precision_recall(0.9, 0.8, 0.6, 0.4)
     assert truth.allocate({"a": 90, "b": 9, None: 1}, 10) == {"a": 8, "b": 1, None: 1}
     a = spark.createDataFrame([("1", "2", "m"), ("3", "4", "n")], "a string, b string, label string")
     b = spark.createDataFrame([("2", "1", "m"), ("5", "6", "m")], "a string, b string, label string")
@@ -513,3 +527,16 @@ def test_entry_without_extras():
 
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and "bcubed" in o
+
+
+def test_suffixes_follow_the_confusion_map(spark):
+    rows = [(str(i), ("SMITH", "Jones", "lee", None)[i % 4], (None, "JR", "Sr.", "iii", "ESQ", "")[i % 6]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "record_id string, family_name string, name_suffix string")
+    fields = channels.suffix_confusion().edit(df, lambda salt: F.pmod(F.xxhash64(F.lit(salt), "record_id"), F.lit(1 << 30)))
+    for r, (_, family, was) in zip(df.select(fields["name_suffix"].alias("now"), "record_id").collect(), rows, strict=True):
+        now, up = r["now"], (was or "").upper().strip(".")
+        if not was:
+            assert now in {"SMITH": ("JR", "SR", "II"), "lee": ("jr", "sr", "ii")}.get(family, ("Jr", "Sr", "Ii"))
+        else:
+            assert now is None or now.upper() in channels.SUFFIXES[up]
+    assert df.select(fields["name_suffix"].alias("n")).where("n IS NULL").count() > 300
