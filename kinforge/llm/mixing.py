@@ -10,9 +10,9 @@ the number of sources only) and every row finds its slot by arithmetic.
 
 No row is dropped or repeated: when a source ends, its later slots stay empty
 and the others go on in order. Defined results: null sources form a source of
-their own; rows with a null key are spread by the other non-text columns; equal
-rows are interchangeable; an empty table gives no rows; columns of the input
-called mix_block, mix_slot or mix_pos are replaced.
+their own; rows with a null key are spread by all their other columns; equal rows
+are interchangeable; an empty table gives no rows; columns of the input called
+mix_block, mix_slot or mix_pos are replaced.
 """
 
 from __future__ import annotations
@@ -107,13 +107,14 @@ def mix_sources(
     if len(order) <= BROADCAST_SOURCES:  # both tables are bounded by the number of sources
         side, plan = F.broadcast(side), F.broadcast(plan)
 
-    rest = [c for c, kind in df.dtypes if c not in (key, source) and kind in ("int", "bigint", "smallint", "tinyint", "double", "float", "boolean")]
-    spread = F.when(F.col(key).isNull(), F.xxhash64(F.lit(seed), *map(F.col, rest))).otherwise(F.xxhash64(F.lit(seed), F.col(key)))
-    unit = F.shiftrightunsigned(spread, 33)  # 31 bits
     keep = [c for c in df.columns if c not in ("mix_block", "mix_slot", "mix_pos")]
+    rest = [F.col(c) for c, kind in df.dtypes if c in keep and c not in (key, source) and "map<" not in kind]
+    spread = F.when(F.col(key).isNull(), F.xxhash64(F.lit(seed), *rest)).otherwise(F.xxhash64(F.lit(seed), F.col(key)))
+    unit = F.shiftrightunsigned(spread, 33)  # 31 bits
     rows = (
         df.select(*keep)
         .join(side, F.col(source).cast("string").eqNullSafe(F.col("__source")))
+        .withColumn("__h", spread)
         .withColumn("__u", unit)
         .withColumn("__bucket", F.shiftright(F.col("__u") * F.col("__buckets"), 31))
     )
@@ -121,7 +122,7 @@ def mix_sources(
     sizes = rows.groupBy("__sid", "__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("__sid").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("__sid", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("__sid", "__bucket").orderBy("__u", key, *rest)
+    within = Window.partitionBy("__sid", "__bucket").orderBy("__u", key, "__h")
     rank = F.col("__before") + F.col("__rn") - 1
     out = (
         rows.withColumn("__rn", F.row_number().over(within))

@@ -508,3 +508,48 @@ def test_chain_edges(edge_docs, no_docs, spark):
     out = toxicity.predict(edge_docs, chain)
     assert out.count() == edge_docs.count() and out.where("toxic").count() == 0
     assert toxicity.predict(no_docs, chain).count() == 0
+
+
+def test_chain_against_brute_force():
+    """Probabilities by a loop over words, and later models fitted on out-of-fold odds of earlier ones."""
+    rng = np.random.default_rng(4)
+    words = [f"word{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words, 12)) + (" awful" if i % 3 == 0 and rng.random() < 0.9 else "") + (" nasty" if i % 5 == 0 else "") for i in range(240)]
+    labels = np.array([[int("awful" in t), int("awful" in t and "nasty" in t or rng.random() < 0.05)] for t in texts])
+    (_, _, data, at), = byte_blocks(pa.array(texts), 1 << 24)
+    row, bucket = toxicity.buckets(data, at)
+    of = [sorted(set(bucket[row == i].tolist())) for i in range(len(texts))]
+    chain = toxicity.fit_chain(["a", "b"], row, bucket, labels)
+
+    def plain(model, found, earlier):
+        z = model.bias + sum(w * e for w, e in zip(model.earlier, earlier, strict=True))
+        z += sum(w for b, w in zip(model.chosen.tolist(), model.weights.tolist(), strict=True) if b in found)
+        return 1 / (1 + np.exp(-z))
+
+    def odds(p):
+        p = min(max(p, 1e-4), 1 - 1e-4)
+        return np.log(p / (1 - p))
+
+    got = chain.probabilities(row, bucket, len(texts))
+    for i, found in enumerate(of):
+        first = plain(chain.models[0], found, [])
+        assert got[i] == pytest.approx([first, plain(chain.models[1], found, [odds(first)])])
+    held = np.zeros(len(texts))
+    for f in range(toxicity.FOLDS):
+        train = [i for i in range(len(texts)) if i % toxicity.FOLDS != f]
+        flat = [(k, b) for k, i in enumerate(train) for b in of[i]]
+        model = toxicity._fit(np.array([k for k, _ in flat]), np.array([b for _, b in flat]), len(train), np.zeros((len(train), 0)), labels[train, 0].astype(float))
+        for i in range(f, len(texts), toxicity.FOLDS):
+            held[i] = odds(plain(model, of[i], []))
+    last = chain.models[1]
+    assert len(last.earlier) == 1 and len(last.chosen)
+    error = np.array([plain(last, found, [h]) for found, h in zip(of, held, strict=True)]) - labels[:, 1]
+    assert error @ held + toxicity.RIDGE * last.earlier[0] == pytest.approx(0, abs=1e-3)
+    for b, w in zip(last.chosen.tolist(), last.weights.tolist(), strict=True):
+        assert sum(e for e, found in zip(error, of, strict=True) if b in found) + toxicity.RIDGE * w == pytest.approx(0, abs=1e-3)
+
+
+def test_toxicity_without_documents_has_no_findings(spark, no_docs):
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(no_docs, labels)
+    assert toxicity.predict(no_docs, chain).count() == 0

@@ -318,6 +318,15 @@ def test_mix_keeps_every_row(spark, edge_docs, no_docs):
     assert mixing.mix_sources(no_docs).count() == 0
 
 
+def test_mix_spreads_rows_without_a_key(spark):
+    """Rows with a null key differ by their text only and still get a place each, however they are dealt."""
+    df = spark.createDataFrame([(None, f"text {i}", "a") for i in range(600)] + [(i, "x", "a") for i in range(50)], "doc_id long, text string, source string")
+    rows = mixing.mix_sources(df, block_rows=4, period=16, bucket_rows=20).orderBy("mix_pos").collect()
+    assert [r["mix_pos"] for r in rows] == list(range(650)) and len({(r["doc_id"], r["text"]) for r in rows}) == 650
+    again = mixing.mix_sources(df.repartition(5), block_rows=4, period=16, bucket_rows=20).orderBy("mix_pos").collect()
+    assert [(r["doc_id"], r["text"]) for r in rows] == [(r["doc_id"], r["text"]) for r in again]
+
+
 def test_mix_follows_weights_while_sources_last(spark):
     df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(4000)], "doc_id long, source string")
     rows = mixing.mix_sources(df, weights={"a": 3.0, "b": 1.0}, block_rows=4, period=16, bucket_rows=300).orderBy("mix_pos").collect()
