@@ -1,12 +1,18 @@
 """Known answers, invariances and error contracts of the record-linkage engine."""
 
 import math
+import os
+import shutil
+import subprocess
+import sys
 import zipfile
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinforge import session
 from kinforge.functions import dates, strings
 from kinforge.infra.artifacts import ArtifactMissing, ArtifactRegistry, TierMixingError
 from kinforge.infra.cards import CardImmutableError, conjecture_card, verdict
@@ -522,11 +528,36 @@ def test_config_registry_runner_cards(spark, tmp_path):
     assert verdict(registry, "c1", "smoke", "CONFIRMED", "e")["outcome"] == "CONFIRMED"
 
 
-def test_entry_without_extras():
-    import __spark_entry__ as e
+def test_entry_without_extras(tmp_path):
+    """A copy without the training-data operators imports and registers the other queries."""
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "kinforge", tmp_path / "kinforge", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and 'bcubed' in o; print(*q)"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True).stdout.split()
+    assert len(out) > 100 and not [x for x in out if x.startswith("op") and x[2:3].isdigit() or x == "pipeline"]
 
-    q, o = e.queries(), e.oracle_sql()
-    assert set(o) <= set(q) and "bcubed" in o
+
+def test_a_cluster_needs_a_shared_folder():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default=None: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: Cluster.conf)
+
+            class _jsc:
+                sc = staticmethod(lambda: Cluster.Scala)
+
+        class Scala:
+            getCheckpointDir = staticmethod(lambda: Cluster.Empty)
+
+        class Empty:
+            isDefined = staticmethod(lambda: False)
+
+    with pytest.raises(RuntimeError, match=r"spark.checkpoint.dir"):
+        session.shared_dir(Cluster)
 
 
 def test_suffixes_follow_the_confusion_map(spark):
