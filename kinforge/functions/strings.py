@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PREFIX_WEIGHT, MAX_PREFIX, BOOST_FROM = 0.1, 4, 0.7
+#: Characters of one side that are compared at once.
+BLOCK_CELLS = 1 << 18
 
 
 def jaro(a: str, b: str) -> float:
@@ -46,19 +49,62 @@ def jaro_winkler_value(a: str, b: str) -> float:
     return score
 
 
+def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, longest) code points, 0 beyond a text's end, and the lengths."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    out = np.zeros((len(texts), int(sizes.max(initial=1))), np.uint32)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out, sizes
+
+
+def _block_scores(a: list[str], b: list[str]) -> np.ndarray:
+    """``jaro_winkler_value`` of each pair of a block, character by character for all pairs at once."""
+    (x, nx), (y, ny) = _code_points(a), _code_points(b)
+    rows, place = np.arange(len(a)), np.arange(y.shape[1])
+    reach = np.maximum(np.maximum(nx, ny) // 2 - 1, 0)
+    hit, free = np.zeros(x.shape, bool), place < ny[:, None]
+    for i in range(x.shape[1]):
+        near = free & (y == x[:, i, None]) & (np.abs(place - i) <= reach[:, None]) & (i < nx)[:, None]
+        first = near.argmax(axis=1)
+        found = near[rows, first]
+        hit[:, i] = found
+        free[rows[found], first[found]] = False
+    used = (place < ny[:, None]) & ~free
+    m = hit.sum(axis=1)
+    width = int(m.max(initial=0))
+    p, q = (np.take_along_axis(t, np.argsort(~k, axis=1, kind="stable")[:, :width], axis=1) for t, k in ((x, hit), (y, used)))
+    swaps = ((p != q) & (np.arange(width) < m[:, None])).sum(axis=1) // 2
+    some = np.maximum(m, 1)
+    score = np.where(m > 0, (m / np.maximum(nx, 1) + m / np.maximum(ny, 1) + (m - swaps) / some) / 3.0, 0.0)
+    both = min(MAX_PREFIX, x.shape[1], y.shape[1])
+    same = (x[:, :both] == y[:, :both]) & (np.arange(both) < np.minimum(nx, ny)[:, None])
+    same = np.cumprod(same, axis=1).sum(axis=1)
+    score = np.where(score > BOOST_FROM, score + same * PREFIX_WEIGHT * (1.0 - score), score)
+    return np.where([u == v for u, v in zip(a, b, strict=True)], 1.0, score)
+
+
+def jaro_winkler_values(a: list[str], b: list[str]) -> np.ndarray:
+    """Scores of many pairs, in blocks of pairs of like length."""
+    out = np.empty(len(a))
+    order = sorted(range(len(a)), key=lambda i: max(len(a[i]), len(b[i])))
+    at = 0
+    while at < len(order):
+        size = max(1, min(len(order) - at, BLOCK_CELLS // max(1, len(a[order[at]]), len(b[order[at]]))))
+        while size > 1 and size * max(1, len(a[order[at + size - 1]]), len(b[order[at + size - 1]])) > 2 * BLOCK_CELLS:
+            size //= 2
+        part = order[at : at + size]
+        out[part] = _block_scores([a[i] for i in part], [b[i] for i in part])
+        at += size
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     # Blocked pairs repeat values: each different pair of a batch is scored once.
-    memo: dict[tuple[str, str], float] = {}
-    out = []
-    for x, y in zip(a, b, strict=True):
-        if x is None or y is None:
-            out.append(None)
-            continue
-        if (x, y) not in memo:
-            memo[x, y] = jaro_winkler_value(x, y)
-        out.append(memo[x, y])
-    return pd.Series(out, dtype="float64")
+    pairs: dict[tuple[str, str], int] = {}
+    which = [-1 if x is None or y is None else pairs.setdefault((x, y), len(pairs)) for x, y in zip(a, b, strict=True)]
+    scores = jaro_winkler_values([x for x, _ in pairs], [y for _, y in pairs])
+    return pd.Series(np.append(scores, np.nan)[which], dtype="float64").astype(object).where(pd.Series(which) >= 0, None)
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:

@@ -9,10 +9,11 @@ not be on one machine, and reruns agree.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,16 +21,26 @@ from kinforge.functions.draws import SPAN, draw
 from kinforge.operators.metrics import aligned
 
 NAN_SHARE = 0.2
-#: Cumulative Poisson(1) probabilities; above the last one the count is 7.
-POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(7))
+#: Cumulative Poisson(1) probabilities, as parts of the draws' span; from the last one on the count is 7.
+CUTS = tuple(math.floor(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * SPAN) for k in range(7))
+#: Odd multipliers of the draws' mixing.
+MIX = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
+REPS_AT_ONCE = 64
 
 
-def poisson_weight(unit: Column, replicate: Column, seed: int) -> Column:
-    """Count of a unit in a replicate."""
-    u = draw(F.concat_ws("|", unit.cast("string"), replicate.cast("string")), f"boot{seed}")
-    out = F.lit(7)
-    for k in range(6, -1, -1):
-        out = F.when(u < math.floor(POISSON[k] * SPAN), k).otherwise(out)
+def poisson_weights(base: np.ndarray, reps: np.ndarray) -> np.ndarray:
+    """(units, replicates) counts, from a 32-bit draw of each unit and the replicate's number.
+
+    The two are mixed by a 32-bit finaliser (xor-shift and multiply), so a unit's
+    count in a replicate is the same wherever it is computed. Replicate 0 is the
+    data itself.
+    """
+    h = base.astype(np.uint32)[:, None] ^ (reps.astype(np.uint32) * np.uint32(MIX[0]))
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(MIX[1])
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(MIX[2])
+    h ^= h >> np.uint32(16)
+    out = np.searchsorted(np.array(CUTS, np.uint32), h.reshape(-1), "right").reshape(h.shape).astype(float)
+    out[:, reps == 0] = 1.0
     return out
 
 
@@ -52,11 +63,27 @@ def pair_units(pairs: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def replicate_sums(units: DataFrame, n_boot: int, seed: int) -> DataFrame:
-    """(rep, sums...): replicate 0 is the data itself."""
+    """(rep, sums...): replicate 0 is the data itself.
+
+    Every task keeps one vector of sums a replicate and hands on that only, so
+    what is shuffled follows the tasks and replicates, not the units.
+    """
     sums = [c for c in units.columns if c != "unit"]
-    reps = units.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot))))
-    w = F.when(F.col("rep") == 0, 1).otherwise(poisson_weight(F.col("unit"), F.col("rep"), seed))
-    return reps.withColumn("w", w).groupBy("rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in sums])
+    base = draw(F.col("unit").cast("string"), f"boot{seed}").alias("__base")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n_boot + 1, len(sums)))
+        for batch in batches:
+            u = batch.column(0).to_numpy(zero_copy_only=False)
+            x = np.stack([np.nan_to_num(batch.column(k + 1).to_numpy(zero_copy_only=False)) for k in range(len(sums))], axis=1)
+            for lo in range(0, n_boot + 1, REPS_AT_ONCE):
+                reps = np.arange(lo, min(n_boot + 1, lo + REPS_AT_ONCE))
+                total[reps] += poisson_weights(u, reps).T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_boot + 1), pa.int32()), *(pa.array(total[:, k]) for k in range(len(sums)))], names=["rep", *sums])
+
+    ddl = "rep int, " + ", ".join(f"`{c}` double" for c in sums)
+    parts = units.select(base, *[F.col(c).cast("double").alias(c) for c in sums]).mapInArrow(run, ddl)
+    return parts.groupBy("rep").agg(*[F.sum(c).alias(c) for c in sums])
 
 
 #: Statistic of each metric from its sums.
@@ -68,9 +95,25 @@ STATISTICS: dict[str, Callable[[], Column]] = {
 }
 
 
-def replicates(units: DataFrame, metric: str, n_boot: int = 500, seed: int = 0) -> DataFrame:
+def statistic(metric: str | Column) -> Column:
+    """A named metric's, or any expression over the units' sums."""
+    return STATISTICS[metric]() if isinstance(metric, str) else metric
+
+
+def replicates(units: DataFrame, metric: str | Column, n_boot: int = 500, seed: int = 0) -> DataFrame:
     """(rep, value)."""
-    return replicate_sums(units, n_boot, seed).select("rep", STATISTICS[metric]().alias("value"))
+    return replicate_sums(units, n_boot, seed).select("rep", statistic(metric).alias("value"))
+
+
+def intervals(units: DataFrame, metrics: dict[str, str | Column], n_boot: int = 500, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """(metric, point, lo, hi) of several metrics on shared draws, from one pass over the units."""
+    sums = replicate_sums(units, n_boot, seed)
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), statistic(m).cast("double").alias("value")) for n, m in metrics.items()]))
+    values = sums.select("rep", pairs.alias("x")).select("rep", "x.*")
+    some = F.when(F.col("rep") > 0, F.col("value"))
+    return values.groupBy("metric").agg(
+        F.max(F.when(F.col("rep") == 0, F.col("value"))).alias("point"), F.percentile(some, F.lit(alpha / 2)).alias("lo"), F.percentile(some, F.lit(1 - alpha / 2)).alias("hi")
+    )
 
 
 def percentile_ci(values: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -99,7 +142,7 @@ def bca(boots: np.ndarray, point: float, jack: np.ndarray, alpha: float = 0.05)
     return out[0], out[1]
 
 
-def bootstrap_ci(units: DataFrame, metric: str, n_boot: int = 500, seed: int = 0, method: str = "percentile", alpha: float = 0.05) -> dict[str, float]:
+def bootstrap_ci(units: DataFrame, metric: str | Column, n_boot: int = 500, seed: int = 0, method: str = "percentile", alpha: float = 0.05) -> dict[str, float]:
     """Point and interval of a named metric; raises when over a fifth of replicates is undefined.
 
     The acceleration of ``bca`` needs the leave-one-unit-out values: their power
@@ -119,7 +162,7 @@ def bootstrap_ci(units: DataFrame, metric: str, n_boot: int = 500, seed: int = 0
     sums = [c for c in units.columns if c != "unit"]
     total = units.agg(*[F.sum(c).alias(c) for c in sums])
     left = units.crossJoin(F.broadcast(total.select(*[F.col(c).alias(f"all_{c}") for c in sums])))  # one-row side
-    left = left.select(*[(F.col(f"all_{c}") - F.col(c)).alias(c) for c in sums]).select(STATISTICS[metric]().alias("j")).where("j IS NOT NULL")
+    left = left.select(*[(F.col(f"all_{c}") - F.col(c)).alias(c) for c in sums]).select(statistic(metric).alias("j")).where("j IS NOT NULL")
     mean = left.agg(F.avg("j")).first()[0]
     d = F.lit(mean) - F.col("j")
     power = left.agg(F.sum(d * d).alias("s2"), F.sum(d * d * d).alias("s3")).first()
@@ -134,7 +177,7 @@ def bootstrap_ci(units: DataFrame, metric: str, n_boot: int = 500, seed: int = 0
     return {"point": point, "lo": ends[0], "hi": ends[1]}
 
 
-def paired_delta(units_a: DataFrame, units_b: DataFrame, metric: str, n_boot: int = 500, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+def paired_delta(units_a: DataFrame, units_b: DataFrame, metric: str | Column, n_boot: int = 500, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """(delta, lo, hi, sign_stable) of A - B on shared draws."""
     a = replicates(units_a, metric, n_boot, seed).withColumnRenamed("value", "va")
     b = replicates(units_b, metric, n_boot, seed).withColumnRenamed("value", "vb")

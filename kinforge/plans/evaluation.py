@@ -311,16 +311,19 @@ def dup_profile(spark, sf_dir):
     return identifiability.duplicate_profile(people(spark, sf_dir), "entity_id", ["given_name", "dob"])
 
 
-POISSON_SQL = "CASE " + " ".join(f"WHEN u < {int(p * bootstrap.SPAN)} THEN {k}" for k, p in enumerate(bootstrap.POISSON)) + " ELSE 7 END"
+POISSON_SQL = "CASE " + " ".join(f"WHEN u < {cut} THEN {k}" for k, cut in enumerate(bootstrap.CUTS)) + " ELSE 7 END"
 
 
 def boot_sql(units: str, stat: str, n_boot: int, seed: int) -> str:
     """SQL of the replicate values of ``units`` (unit and sums), as ``boots``."""
+    x, y, z = bootstrap.MIX
     return f"""
 unit_sums AS ({units}),
-drawn AS (SELECT rep, unit_sums.*, CASE WHEN rep = 0 THEN 1 ELSE {POISSON_SQL} END AS w FROM (
-  SELECT unnest(range(0, {n_boot} + 1)) AS rep, unit AS unit0 FROM unit_sums) k JOIN unit_sums ON unit0 = unit,
-  LATERAL (SELECT ('0x' || substr(md5(unit || '|' || rep::VARCHAR || '|boot{seed}'), 1, 8))::BIGINT AS u)),
+bases AS (SELECT unit AS unit0, ('0x' || substr(md5(unit || '|boot{seed}'), 1, 8))::UBIGINT AS base FROM unit_sums),
+mixed0 AS (SELECT rep, unit0, xor(base, (rep * {x}) % {bootstrap.SPAN}) AS h FROM bases, (SELECT unnest(range(0, {n_boot} + 1))::UBIGINT AS rep)),
+mixed1 AS (SELECT rep, unit0, ((xor(h, h >> 16)::HUGEINT * {y}) % {bootstrap.SPAN})::UBIGINT AS h FROM mixed0),
+mixed2 AS (SELECT rep, unit0, ((xor(h, h >> 13)::HUGEINT * {z}) % {bootstrap.SPAN})::UBIGINT AS h FROM mixed1),
+drawn AS (SELECT rep, unit_sums.*, CASE WHEN rep = 0 THEN 1 ELSE {POISSON_SQL} END AS w FROM (SELECT rep, unit0, xor(h, h >> 16) AS u FROM mixed2) JOIN unit_sums ON unit0 = unit),
 boots AS (SELECT rep, {stat} AS value FROM drawn GROUP BY rep)"""
 
 
@@ -338,6 +341,22 @@ def bootstrap_percentile(spark, sf_dir):
     return ci.select(*[r6(c).alias(c) for c in ci.columns])
 
 
+@query(
+    "bootstrap_quickstart",
+    with_sql(
+        *CELLS, boot_sql(UNIT_SQL, F1_SQL, 500, 11).replace("value FROM drawn", "f1, sum(w * p) / sum(w * n) AS pr, sum(w * r) / sum(w * n) AS rc FROM drawn"),
+        select="""SELECT metric, round(max(value) FILTER (rep = 0), 6) AS point, round(quantile_cont(value, 0.025) FILTER (rep > 0), 6) AS lo,
+  round(quantile_cont(value, 0.975) FILTER (rep > 0), 6) AS hi FROM (SELECT rep, 'bcubed_f1' AS metric, f1 AS value FROM boots
+  UNION ALL SELECT rep, 'bcubed_precision', pr FROM boots UNION ALL SELECT rep, 'bcubed_recall', rc FROM boots) GROUP BY metric""",
+    ),
+)
+def bootstrap_quickstart(spark, sf_dir):
+    rows = people(spark, sf_dir)
+    units = bootstrap.bcubed_units(clustered(rows)[1], rows)
+    out = bootstrap.intervals(units, {m: m for m in ("bcubed_precision", "bcubed_recall", "bcubed_f1")}, 500, 11)
+    return out.select("metric", *[r6(c).alias(c) for c in ("point", "lo", "hi")])
+
+
 @query("bootstrap_bca")
 def bootstrap_bca(spark, sf_dir):
     rows = people(spark, sf_dir)

@@ -351,8 +351,31 @@ def test_bootstrap(spark):
         assert ci["lo"] < ci["point"] < ci["hi"]
     same = bootstrap.paired_delta(units, units, "bcubed_f1", 50, 1).first()
     assert same["delta"] == 0 and same["lo"] == same["hi"] == 0 and not same["sign_stable"]
-    weights = spark.range(20_000).select(bootstrap.poisson_weight(F.col("id"), F.lit(1), 0).alias("w")).agg(F.avg("w"), F.var_samp("w")).first()
-    assert weights[0] == pytest.approx(1, abs=0.03) and weights[1] == pytest.approx(1, abs=0.05)
+    base = np.random.default_rng(0).integers(0, 1 << 32, 20_000)
+    weights = bootstrap.poisson_weights(base, np.arange(5))
+    assert (weights[:, 0] == 1).all() and weights[:, 1:].mean() == pytest.approx(1, abs=0.02) and weights[:, 1:].var() == pytest.approx(1, abs=0.03)
+    assert abs(np.corrcoef(weights[:, 1:].T) - np.eye(4)).max() < 0.03
+    slow = [[1, *(next((k for k, cut in enumerate(bootstrap.CUTS) if mixed(int(u), r) < cut), 7) for r in (1, 2))] for u in base[:300]]
+    assert (weights[:300, :3] == np.array(slow)).all()
+    sums = spark.createDataFrame([(str(i), float(i % 7), 1.0) for i in range(300)], "unit string, x double, n double")
+    ci = {r["metric"]: r for r in bootstrap.intervals(sums, {"mean": F.col("x") / F.col("n"), "ones": F.col("n") / F.col("n")}, 100, 3).collect()}
+    assert ci["mean"]["point"] == pytest.approx(np.mean([i % 7 for i in range(300)])) and ci["mean"]["lo"] < ci["mean"]["point"] < ci["mean"]["hi"]
+    assert ci["ones"]["lo"] == ci["ones"]["hi"] == 1
+
+
+def mixed(base, rep):
+    h = base ^ rep * bootstrap.MIX[0] % 2**32
+    h = (h ^ h >> 16) * bootstrap.MIX[1] % 2**32
+    h = (h ^ h >> 13) * bootstrap.MIX[2] % 2**32
+    return h ^ h >> 16
+
+
+def test_block_scores_equal_the_plain_ones():
+    rng = np.random.default_rng(1)
+    texts = ["", "a", "martha", "marhta", "dixon", "dicksonx", "é😀x", "x" * 90, "ab" * 60] + ["".join(rng.choice(list("abcd"), n)) for n in rng.integers(0, 14, 120)]
+    a, b = [list(x) for x in zip(*[(x, y) for x in texts for y in texts], strict=True)]
+    assert strings.jaro_winkler_values(a, b).tolist() == pytest.approx([strings.jaro_winkler_value(x, y) for x, y in zip(a, b, strict=True)], abs=1e-15)
+    assert len(strings.jaro_winkler_values([], [])) == 0
 
 
 def test_power_and_truth(spark):
