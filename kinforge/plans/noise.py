@@ -151,6 +151,97 @@ SWAP_CHANNEL_SQL = f"""SELECT record_id, 'name_order_swap' AS channel, unnest(['
   WHERE record_id LIKE '%-0' AND {_u("3:name_order_swap:hit")} / 4294967296.0::DOUBLE < 0.3 AND given_name <> family_name"""
 
 
+#: The clean records that the channels edit.
+CLEAN_SQL = """clean AS (SELECT *, NULL::VARCHAR AS middle_name, NULL::VARCHAR AS name_suffix, given_name || ' ' || family_name AS full_name
+  FROM persons WHERE record_id LIKE '%-0')"""
+
+
+def _hit(name: str) -> str:
+    return f"{_u(f'3:{name}:hit')} / 4294967296.0::DOUBLE < 0.3"
+
+
+def _log(name: str, cells: dict[str, str]) -> str:
+    """Log of the cells that differ, from the new value of each field."""
+    rows = " UNION ALL ".join(f"SELECT record_id, '{name}' AS channel, '{f}' AS field, {f} AS before, ({v})::VARCHAR AS after FROM drawn" for f, v in cells.items())
+    return f"SELECT * FROM ({rows}) WHERE before IS DISTINCT FROM after"
+
+
+def _drawn(name: str, fields: list[str], more: str = "") -> str:
+    """Hit records with the populated field that the draw chooses, and the draws asked for."""
+    filled = "list_filter([" + ", ".join(f"CASE WHEN nullif({f}, '') IS NOT NULL THEN '{f}' END" for f in fields) + "], lambda x: x IS NOT NULL)"
+    return f"drawn AS (SELECT *, {filled}[({_u(f'3:{name}:field')} % greatest(len({filled}), 1) + 1)::INTEGER] AS chosen{more} FROM clean WHERE {_hit(name)})"
+
+
+def _case_like(template: str, value: str) -> str:
+    return f"CASE WHEN {template} = upper({template}) AND {template} <> lower({template}) THEN upper({value}) WHEN {template} = lower({template}) THEN lower({value}) ELSE upper({value}[1]) || lower({value}[2:]) END"
+
+
+def _nickname_sql() -> str:
+    swaps: dict[str, set[str]] = {}
+    for name, variants in channels.NICKNAMES.items():
+        for v in variants:
+            swaps.setdefault(name, set()).add(v)
+            swaps.setdefault(v, set()).add(name)
+    table = ", ".join("('{}', [{}])".format(k, ", ".join(f"'{v}'" for v in sorted(vs))) for k, vs in sorted(swaps.items()))
+    return f"""names(k, options) AS (VALUES {table}),
+drawn AS (SELECT *, options[({_u("3:nickname:which")} % len(options) + 1)::INTEGER] AS one FROM clean JOIN names ON lower(trim(given_name)) = k WHERE {_hit("nickname")})"""
+
+
+def _typo_sql() -> str:
+    keys = ", ".join(f"('{k}', '{v}')" for k, v in channels.neighbour_keys().items())
+    fields = ["given_name", "family_name", "street", "city"]
+    value = "CASE chosen " + " ".join(f"WHEN '{f}' THEN {f}" for f in fields) + " END"
+    return f"""keys(k, near0) AS (VALUES {keys}),
+{_drawn("typo", fields).replace("drawn AS", "chosen0 AS")},
+chosen1 AS (SELECT *, {value} AS v, {_u("3:typo:kind")} % 10 AS kind, chr((97 + {_u("3:typo:letter")} % 26)::INTEGER) AS letter FROM chosen0),
+chosen2 AS (SELECT *, ({_u("3:typo:at")} % greatest(length(v), 1) + 1)::INTEGER AS pos FROM chosen1 WHERE v IS NOT NULL),
+chosen3 AS (SELECT *, v[pos] AS old, coalesce(near0, 'e') AS near FROM chosen2 LEFT JOIN keys ON k = lower(v[pos])),
+chosen4 AS (SELECT *, near[({_u("3:typo:near")} % length(near) + 1)::INTEGER] AS put0 FROM chosen3),
+typed AS (SELECT *, CASE WHEN kind < 6 THEN left(v, pos - 1) || CASE WHEN old = upper(old) THEN upper(put0) ELSE put0 END || v[pos + 1:]
+    WHEN kind = 6 THEN left(v, pos - 1) || letter || v[pos:] WHEN kind = 7 THEN left(v, pos - 1) || v[pos + 1:]
+    WHEN kind = 8 THEN left(v, pos - 1) || v[pos + 1:pos + 1] || old || v[pos + 2:] ELSE left(v, pos - 1) || letter || v[pos + 1:] END AS now FROM chosen4)"""
+
+
+def _pair_sql() -> str:
+    """The scanner's confusions: the first place of the drawn string that the value holds."""
+    fields = ["given_name", "family_name", "street", "city", "zip", "phone", "dob"]
+    value = "CASE chosen " + " ".join(f"WHEN '{f}' THEN {f}" for f in fields) + " END"
+    pairs = [p for a, b in channels.OCR_PAIRS for p in ((a, b), (b, a))]
+    fits = "list_filter([" + ", ".join(f"CASE WHEN contains(v, '{a}') THEN {{'a': '{a}', 'b': '{b}'}} END" for a, b in pairs) + "], lambda x: x IS NOT NULL)"
+    return f"""{_drawn("ocr", fields).replace("drawn AS", "chosen0 AS")},
+chosen1 AS (SELECT *, {value} AS v FROM chosen0), chosen2 AS (SELECT *, {fits} AS fits FROM chosen1 WHERE v IS NOT NULL),
+chosen3 AS (SELECT *, fits[({_u("3:ocr:pair")} % len(fits) + 1)::INTEGER] AS one FROM chosen2 WHERE len(fits) > 0),
+typed AS (SELECT *, left(v, instr(v, one.a) - 1) || one.b || v[instr(v, one.a) + length(one.a):] AS now FROM chosen3)"""
+
+
+def _typed(name: str) -> str:
+    return f"SELECT record_id, '{name}' AS channel, chosen AS field, v AS before, now AS after FROM typed WHERE now IS DISTINCT FROM v"
+
+
+DROPPED = ["dob", "zip", "phone", "email", "street"]
+HUBBED = [f for f in channels.HUBS if f != "birth_year"]
+FORMS = "list_filter([upper(given_name), lower(given_name), given_name || '.'], lambda x: x <> given_name)"
+SUFFIX = f"CASE WHEN {_u('3:suffix_confusion:which')} % 4 < 2 THEN 'jr' WHEN {_u('3:suffix_confusion:which')} % 4 = 2 THEN 'sr' ELSE 'ii' END"
+CHANNEL_SQL: dict[str, str] = {
+    "name_order_swap": with_sql(*BASE, select=SWAP_CHANNEL_SQL),
+    "field_dropout": with_sql(*BASE, CLEAN_SQL, _drawn("field_dropout", DROPPED), select=_log("field_dropout", {f: f"CASE WHEN chosen <> '{f}' THEN {f} END" for f in DROPPED})),
+    "hub_value": with_sql(*BASE, CLEAN_SQL, _drawn("hub_value", HUBBED), select=_log("hub_value", {f: f"CASE WHEN chosen = '{f}' THEN '{channels.HUBS[f]}' ELSE {f} END" for f in HUBBED})),
+    "suffix_confusion": with_sql(
+        *BASE, CLEAN_SQL, f"drawn AS (SELECT * FROM clean WHERE {_hit('suffix_confusion')})", select=_log("suffix_confusion", {"name_suffix": _case_like("family_name", f"({SUFFIX})")})
+    ),
+    "raw_unparse": with_sql(
+        *BASE, CLEAN_SQL, f"drawn AS (SELECT * FROM clean WHERE {_hit('raw_unparse')})", select=_log("raw_unparse", {"full_name": "family_name || ', ' || given_name", "given_name": "NULL", "family_name": "NULL"})
+    ),
+    "name_format_drift": with_sql(
+        *BASE, CLEAN_SQL, f"drawn AS (SELECT * FROM clean WHERE {_hit('name_format_drift')})",
+        select=_log("name_format_drift", {"given_name": f"{FORMS}[({_u('3:name_format_drift:form')} % greatest(len({FORMS}), 1) + 1)::INTEGER]"}),
+    ),
+    "nickname": with_sql(*BASE, CLEAN_SQL, _nickname_sql(), select=_log("nickname", {"given_name": _case_like("given_name", "one")})),
+    "typo": with_sql(*BASE, CLEAN_SQL, _typo_sql(), select=_typed("typo")),
+    "ocr": with_sql(*BASE, CLEAN_SQL, _pair_sql(), select=_typed("ocr")),
+}
+
+
 def _channel(name: str, sql: str | None = None):
     @query(f"noise_{name}", sql)
     def run(spark, sf_dir):
@@ -158,12 +249,19 @@ def _channel(name: str, sql: str | None = None):
 
 
 for _name in channels.REGISTRY:
-    _channel(_name, with_sql(*BASE, select=SWAP_CHANNEL_SQL) if _name == "name_order_swap" else None)
+    _channel(_name, CHANNEL_SQL.get(_name))
 
 
-@query("noise_pool_redraw")
+POOL = [("1 Oak Street", "10001"), ("2 Elm Drive", "10002"), ("3 Mill Road", "10003")]
+POOL_SQL = "[" + ", ".join(f"{{'street': '{a}', 'zip': '{b}'}}" for a, b in POOL) + f"][({_u('3:pool_redraw:row')} % {len(POOL)} + 1)::INTEGER]"
+
+
+@query(
+    "noise_pool_redraw",
+    with_sql(*BASE, CLEAN_SQL, f"drawn AS (SELECT *, {POOL_SQL} AS one FROM clean WHERE {_hit('pool_redraw')})", select=_log("pool_redraw", {"street": "one.street", "zip": "one.zip"})),
+)
 def noise_pool_redraw(spark, sf_dir):
-    channel = channels.pool_redraw(["street", "zip"], [("1 Oak Street", "10001"), ("2 Elm Drive", "10002"), ("3 Mill Road", "10003")])
+    channel = channels.pool_redraw(["street", "zip"], POOL)
     return channel.apply(_clean(spark, sf_dir), 0.3, seed=3)[1]
 
 
