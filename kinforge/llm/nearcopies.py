@@ -333,5 +333,5 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     labelled = marked.select(key, "sig").join(groups, F.col("sig") == F.col("node"), "left").select(key, F.coalesce("component", "sig").alias("component"))
     labelled = materialize(labelled, "labelled")
     discard(marked, carriers, members)
-    least = labelled.groupBy("component").agg(F.min(key).alias("component_id"))
+    least = materialize(labelled.groupBy("component").agg(F.min(key).alias("component_id")), "least")  # so that a hot component can be split
     return labelled.join(least, "component").select(F.col(key).cast(kind), "component_id")
