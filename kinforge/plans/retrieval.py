@@ -132,13 +132,23 @@ def rankme(spark, sf_dir):
     return spark.createDataFrame([(geometry.rankme(_vectors(spark, sf_dir)),)], "rankme double")
 
 
-@query("quantised_cosines")
+#: Coarser copies of the unit vectors.
+KINDS_SQL = """normal AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM unit),
+coarse AS (SELECT vec_id, 'fp32' AS kind, list_transform(v, lambda x: x::FLOAT::DOUBLE) AS v FROM normal
+  UNION ALL SELECT vec_id, 'int8', list_transform(v, lambda x: round(x / list_max(list_transform(v, lambda y: abs(y))) * 127) * list_max(list_transform(v, lambda y: abs(y))) / 127) FROM normal
+  UNION ALL SELECT vec_id, 'binary', list_transform(v, lambda x: CASE WHEN x >= 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) FROM normal)"""
+
+
+@query(
+    "quantised_cosines",
+    f"WITH {UNIT_SQL}, {POS_SQL}, {KINDS_SQL} SELECT a, b, x.kind, round(list_cosine_similarity(x.v, y.v), 6) AS cosine FROM pos JOIN coarse x ON a = x.vec_id JOIN coarse y ON b = y.vec_id AND x.kind = y.kind",
+)
 def quantised_cosines(spark, sf_dir):
     out = None
     for kind in ("fp32", "int8", "binary"):
         part = geometry.pair_cosines(_label_pairs(spark, sf_dir), geometry.quantise(_vectors(spark, sf_dir), kind), "vec_id").withColumn("kind", F.lit(kind))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.withColumn("cosine", r6("cosine"))
 
 
 @query("probe_battery")
@@ -154,7 +164,13 @@ def encoder_candidates(spark, sf_dir):
     return ann.candidates(materialize(geometry.encode(texts, "text", 128), "vectors"), 5)
 
 
-@query("frontier_completeness")
+FRONTIER_SQL = """truth AS (SELECT l.record_id AS a, r.record_id AS b FROM persons l JOIN persons r ON l.entity_id = r.entity_id AND l.record_id < r.record_id),
+cut AS (SELECT DISTINCT k, least(q, d) AS a, greatest(q, d) AS b FROM top JOIN (SELECT unnest([1, 2, 5, 10]) AS k) ON rank <= k), total AS (SELECT count(*) AS n FROM persons)
+SELECT k, count(*) AS n_candidates, (SELECT count(*) FROM truth) AS n_true, count(t.a) AS n_found, round(count(t.a) / (SELECT count(*) FROM truth)::DOUBLE, 6) AS pair_completeness,
+  round(1.0::DOUBLE - count(*) / (any_value(n) * (any_value(n) - 1) // 2)::DOUBLE, 6) AS reduction_ratio FROM cut LEFT JOIN truth t USING (a, b), total GROUP BY k"""
+
+
+@query("frontier_completeness", with_sql(*BASE, BM25_SQL, select="").rstrip() + ",\n" + FRONTIER_SQL)
 def frontier_completeness(spark, sf_dir):
     """Pair completeness of BM25 at matched budgets."""
     rows, texts = _texts(spark, sf_dir)
@@ -164,4 +180,4 @@ def frontier_completeness(spark, sf_dir):
         pairs = top.where(F.col("rank") <= k).select(F.least("q", "d").alias("a"), F.greatest("q", "d").alias("b"))
         part = metrics.blocking_metrics(pairs, rows).withColumn("k", F.lit(k))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.withColumns({c: r6(c) for c in ("pair_completeness", "reduction_ratio")})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinforge.operators import blocking, cluster, linkage, metrics, sampling, scale
-from kinforge.plans.common import BASE, CLUSTERS, SCORES, THRESHOLD, _soundex, clustered, closure_sql, people, r6, scored_pairs, with_sql
+from kinforge.plans.common import BASE, CLUSTERS, PAIRS, SCORES, THRESHOLD, _soundex, clustered, closure_sql, people, r6, scored_pairs, with_sql
 from kinforge.plans.registry import query
 from kinforge.session import materialize, table
 
@@ -159,14 +159,36 @@ def cluster_churn(spark, sf_dir):
     return linkage.churn(before, cluster.transitive_closure(scored, 0.85, rows))
 
 
-@query("carried_ids")
+#: Closure at a lower threshold only merges, so each old cluster overlaps one new cluster and the greedy choice is the largest.
+CARRY_SQL = """cells AS (SELECT c.cluster AS c0, d.cluster AS c1, count(*) AS n FROM clusters c JOIN later d USING (record_id) GROUP BY 1, 2)
+SELECT c1, c0 FROM (SELECT *, row_number() OVER (PARTITION BY c1 ORDER BY n DESC, c0) AS k FROM cells) WHERE k = 1"""
+
+
+@query("carried_ids", with_sql(*CLUSTERS, closure_sql(0.85, "later"), select="").rstrip() + ",\n" + CARRY_SQL)
 def carried_ids(spark, sf_dir):
     rows = people(spark, sf_dir)
     scored, before = clustered(rows)
     return linkage.carry_ids(before, cluster.transitive_closure(scored, 0.85, rows))
 
 
-@query("incremental_attach")
+def _old(c: str) -> str:
+    return f"{c} LIKE '%-0'"
+
+
+ATTACH_SQL = (
+    f"known_scored AS (SELECT * FROM scored WHERE {_old('a')} AND {_old('b')})",
+    closure_sql(THRESHOLD, "known", "known_scored"),
+    f"""links AS (SELECT a, b, prob FROM scored WHERE prob >= {THRESHOLD} UNION ALL SELECT b, a, prob FROM scored WHERE prob >= {THRESHOLD}),
+best AS (SELECT record_id, cluster FROM (SELECT a AS record_id, cluster, row_number() OVER (PARTITION BY a ORDER BY prob DESC, cluster DESC) AS k
+  FROM links JOIN known ON b = record_id WHERE NOT {_old('a')} AND {_old('b')}) WHERE k = 1),
+left_scored AS (SELECT * FROM scored WHERE NOT {_old('a')} AND NOT {_old('b')} AND a NOT IN (SELECT record_id FROM best) AND b NOT IN (SELECT record_id FROM best))""",
+    closure_sql(THRESHOLD, "fresh", "left_scored"),
+)
+ATTACH_SELECT = f"""SELECT record_id, cluster FROM known WHERE {_old('record_id')} UNION ALL SELECT * FROM best
+UNION ALL SELECT record_id, cluster FROM fresh WHERE NOT {_old('record_id')} AND record_id NOT IN (SELECT record_id FROM best)"""
+
+
+@query("incremental_attach", with_sql(*SCORES, *ATTACH_SQL, select=ATTACH_SELECT))
 def incremental_attach(spark, sf_dir):
     rows = people(spark, sf_dir)
     old, new = rows.where("record_id LIKE '%-0'"), rows.where("record_id NOT LIKE '%-0'")
@@ -176,7 +198,14 @@ def incremental_attach(spark, sf_dir):
     return linkage.attach(materialize(clusters, "clusters"), new, both.join(new.select(F.col("record_id").alias("a")), "a", "left_semi"), THRESHOLD)
 
 
-@query("pass_completeness")
+COMPLETENESS_SQL = """truth AS (SELECT l.record_id AS a, r.record_id AS b FROM persons l JOIN persons r ON l.entity_id = r.entity_id AND l.record_id < r.record_id),
+total AS (SELECT count(*) AS n FROM persons)
+SELECT p.keys, count(*) AS n_candidates, (SELECT count(*) FROM truth) AS n_true, count(t.a) AS n_found, round(count(t.a) / (SELECT count(*) FROM truth)::DOUBLE, 6) AS pair_completeness,
+  round(1.0::DOUBLE - count(*) / (any_value(n) * (any_value(n) - 1) // 2)::DOUBLE, 6) AS reduction_ratio
+FROM (SELECT DISTINCT a, b, ['soundex(family_name)+year(dob)', 'zip+initial(given_name)', 'phone'][pass + 1] AS keys FROM pass_pairs) p LEFT JOIN truth t USING (a, b), total GROUP BY p.keys"""
+
+
+@query("pass_completeness", with_sql(*PAIRS, select="").rstrip() + ",\n" + COMPLETENESS_SQL)
 def pass_completeness(spark, sf_dir):
     """Completeness of each match-key pass alone."""
     rows = people(spark, sf_dir)
@@ -184,4 +213,4 @@ def pass_completeness(spark, sf_dir):
     for keys in blocking.default_passes(rows.columns):
         part = metrics.blocking_metrics(blocking.candidates(rows, [keys]), rows).withColumn("keys", F.lit("+".join(keys)))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.withColumns({c: r6(c) for c in ("pair_completeness", "reduction_ratio")})
