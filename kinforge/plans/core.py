@@ -105,7 +105,19 @@ def matchkeys_window_k(spark, sf_dir):
     return blocking.candidates(people(spark, sf_dir), window=3)
 
 
-@query("matchkeys_budgeted")
+#: The sequential rule in full: every offer in order, with the places that records have used so far.
+BUDGET_SQL = WINDOW_SQL.split("SELECT DISTINCT")[0].rstrip() + """,
+offered AS (SELECT l.record_id AS a, r.record_id AS b, min((l.pass, l.k0, l.k1)) AS place FROM spots l JOIN spots r
+  ON l.pass = r.pass AND l.k0 = r.k0 AND l.k1 = r.k1 AND r.rn - l.rn BETWEEN 1 AND 3 GROUP BY 1, 2),
+spot AS (SELECT r, row_number() OVER (ORDER BY r) AS i FROM (SELECT a AS r FROM offered UNION SELECT b FROM offered)),
+offers AS (SELECT row_number() OVER (ORDER BY place, a, b) AS n, a, b, x.i AS ia, y.i AS ib FROM offered JOIN spot x ON x.r = a JOIN spot y ON y.r = b),
+walk(n, used, kept) AS (SELECT 0::BIGINT, list_transform(range(0, (SELECT count(*) FROM spot)), lambda z: 0::TINYINT), false
+  UNION ALL SELECT o.n, CASE WHEN used[ia] < 3 AND used[ib] < 3 THEN list_transform(used, lambda u, z: CASE WHEN z = ia OR z = ib THEN (u + 1)::TINYINT ELSE u END) ELSE used END, used[ia] < 3 AND used[ib] < 3
+  FROM walk JOIN offers o ON o.n = walk.n + 1)
+SELECT a, b FROM offers JOIN walk USING (n) WHERE kept"""
+
+
+@query("matchkeys_budgeted", with_sql(*PAIRS, select="").rstrip() + BUDGET_SQL)
 def matchkeys_budgeted(spark, sf_dir):
     return blocking.budgeted(people(spark, sf_dir), 3)
 
@@ -137,16 +149,45 @@ def transitive_closure(spark, sf_dir):
     return clustered(people(spark, sf_dir))[1]
 
 
-def _greedy(name: str, run):
-    @query(name)
+def _greedy(name: str, run, sql: str | None = None):
+    @query(name, sql)
     def go(spark, sf_dir):
         rows = people(spark, sf_dir)
         return run(materialize(scored_pairs(rows).select("a", "b", "prob"), "scored"), rows)
 
 
-_greedy("capped_agglomerative", lambda s, r: cluster.capped_agglomerative(s, THRESHOLD, 3, r))
-_greedy("star_clustering", lambda s, r: cluster.star_clustering(s, THRESHOLD, r))
-_greedy("greedy_correlation", lambda s, r: cluster.greedy_correlation(s.where("prob >= 0.9"), r))
+EDGES_SQL = f"edges AS (SELECT a, b, prob FROM scored WHERE prob >= {THRESHOLD})"
+
+
+def _centres_sql(order: str) -> str:
+    """Records in order become centres unless a centre is beside them; the others go to their first centre."""
+    return with_sql(
+        *SCORES,
+        EDGES_SQL,
+        f"""nodes AS (SELECT r, list(x) AS xs, row_number() OVER (ORDER BY {order}, r) AS n FROM (SELECT a AS r, b AS x FROM edges UNION SELECT b, a FROM edges) GROUP BY r),
+walk(n, centres) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT o.n, CASE WHEN list_has_any(xs, centres) THEN centres ELSE list_append(centres, r) END FROM walk JOIN nodes o ON o.n = walk.n + 1),
+centre AS (SELECT r, xs, n FROM nodes JOIN (SELECT unnest(centres) AS r FROM walk WHERE n = (SELECT max(n) FROM walk)) USING (r)),
+home AS (SELECT r, r AS c FROM centre UNION ALL SELECT x, arg_min(r, n) FROM (SELECT unnest(xs) AS x, r, n FROM centre) WHERE x NOT IN (SELECT r FROM centre) GROUP BY x),
+named AS (SELECT r, min(r) OVER (PARTITION BY c) AS cluster FROM home)""",
+        select="SELECT record_id, coalesce(cluster, record_id) AS cluster FROM persons LEFT JOIN named ON r = record_id",
+    )
+
+
+CAPPED_SQL = with_sql(
+    *SCORES,
+    EDGES_SQL,
+    """nodes AS (SELECT r, row_number() OVER (ORDER BY r) AS i FROM (SELECT a AS r FROM edges UNION SELECT b FROM edges)),
+ordered AS (SELECT row_number() OVER (ORDER BY prob DESC, a, b) AS n, x.i AS ia, y.i AS ib FROM edges JOIN nodes x ON x.r = a JOIN nodes y ON y.r = b),
+walk(n, home) AS (SELECT 0::BIGINT, range(1, (SELECT count(*) FROM nodes) + 1) UNION ALL
+  SELECT o.n, CASE WHEN home[ia] <> home[ib] AND len(list_filter(home, lambda z: z = home[ia] OR z = home[ib])) <= 3
+    THEN list_transform(home, lambda z: CASE WHEN z = home[ib] THEN home[ia] ELSE z END) ELSE home END FROM walk JOIN ordered o ON o.n = walk.n + 1),
+named AS (SELECT r, min(r) OVER (PARTITION BY home[i]) AS cluster FROM nodes, (SELECT home FROM walk WHERE n = (SELECT max(n) FROM walk)))""",
+    select="SELECT record_id, coalesce(cluster, record_id) AS cluster FROM persons LEFT JOIN named ON r = record_id",
+)
+
+_greedy("capped_agglomerative", lambda s, r: cluster.capped_agglomerative(s, THRESHOLD, 3, r), CAPPED_SQL)
+_greedy("star_clustering", lambda s, r: cluster.star_clustering(s, THRESHOLD, r), _centres_sql("count(*) DESC"))
+_greedy("greedy_correlation", lambda s, r: cluster.greedy_correlation(s.where("prob >= 0.9"), r), _centres_sql("md5('0|' || r)"))
 _greedy("suspicious_clusters", lambda s, r: graph_qa.suspicious_clusters(graph_qa.component_stats(s, 0.85, r)))
 _greedy("bridge_edges", lambda s, r: graph_qa.bridge_edges(s, THRESHOLD))
 _greedy("farthest_cross_entity_path", lambda s, r: graph_qa.farthest_cross_entity_path(s, 0.85, r))
