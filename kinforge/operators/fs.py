@@ -9,10 +9,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinforge.functions.draws import order_key
+from kinforge.functions.draws import SPAN, draw, order_key
 from kinforge.functions.strings import empty_to_null, jaro_winkler
 from kinforge.operators.scoring import attach
 from kinforge.session import materialize
@@ -101,14 +101,12 @@ def random_pairs(records: DataFrame, n_pairs: int, salt: str = U_SALT) -> DataFr
     ids = ids.withColumn("h", order_key("record_id", F.col("round"), salt=salt))
     # buckets of the hashed order hold a few records each; ranks pair them up
     buckets = max(1, n // 64)
-    ids = ids.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-    from pyspark.sql import Window
-
+    ids = ids.withColumn("bucket", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % buckets)
     ids = ids.withColumn("rn", F.row_number().over(Window.partitionBy("round", "bucket").orderBy("h")))
-    right = ids.select("round", "bucket", (F.col("rn") - 1).alias("rn"), F.col("record_id").alias("other"), F.col("h").alias("h2"))
+    right = ids.select("round", "bucket", (F.col("rn") - 1).alias("rn"), F.col("record_id").alias("other"))
     joined = ids.join(right, ["round", "bucket", "rn"])
     if share < 1.0:
-        joined = joined.where(F.pmod(F.xxhash64("h", "h2"), F.lit(1 << 30)) < int(share * (1 << 30)))
+        joined = joined.where(draw(F.col("h"), salt) < int(share * SPAN))
     return joined.select(F.least("record_id", "other").alias("a"), F.greatest("record_id", "other").alias("b")).distinct()
 
 

@@ -13,6 +13,7 @@ from kinforge.plans.common import (
     PAIRS,
     SCORES,
     THRESHOLD,
+    closure_sql,
     clustered,
     people,
     r6,
@@ -188,8 +189,33 @@ named AS (SELECT r, min(r) OVER (PARTITION BY home[i]) AS cluster FROM nodes, (S
 _greedy("capped_agglomerative", lambda s, r: cluster.capped_agglomerative(s, THRESHOLD, 3, r), CAPPED_SQL)
 _greedy("star_clustering", lambda s, r: cluster.star_clustering(s, THRESHOLD, r), _centres_sql("count(*) DESC"))
 _greedy("greedy_correlation", lambda s, r: cluster.greedy_correlation(s.where("prob >= 0.9"), r), _centres_sql("md5('0|' || r)"))
-_greedy("suspicious_clusters", lambda s, r: graph_qa.suspicious_clusters(graph_qa.component_stats(s, 0.85, r)))
-_greedy("bridge_edges", lambda s, r: graph_qa.bridge_edges(s, THRESHOLD))
+
+
+def _bridges_sql(threshold: float, closure: str) -> str:
+    """Edges whose ends do not reach each other without them, for each edge by itself."""
+    return f"""cut_edges AS (SELECT DISTINCT a, b FROM scored WHERE prob >= {threshold}),
+ways AS (SELECT a AS x, b AS y FROM cut_edges UNION ALL SELECT b, a FROM cut_edges),
+around AS (SELECT a, b, a AS x FROM cut_edges UNION SELECT w.a, w.b, e.y FROM around w JOIN ways e ON e.x = w.x WHERE NOT (e.x = w.a AND e.y = w.b) AND NOT (e.x = w.b AND e.y = w.a)),
+bridges AS (SELECT cluster AS component, a, b FROM cut_edges JOIN {closure} ON a = record_id WHERE (a, b) NOT IN (SELECT (a, b) FROM around WHERE x = b))"""
+
+
+RULES = graph_qa.RULES
+SUSPECT_SQL = f"""SELECT *, concat_ws(', ', CASE WHEN size > greatest(p99, 2) THEN 'size' END, CASE WHEN size >= {RULES["min_size"]} AND density < {RULES["min_density"]} THEN 'density' END,
+  CASE WHEN size >= {RULES["min_size"]} AND n_bridges / (size - 1)::DOUBLE > {RULES["bridge_fraction"]} THEN 'bridges' END) AS reasons
+FROM (SELECT component, size, coalesce(n_edges, 0)::BIGINT AS n_edges, CASE WHEN size = 1 THEN 1.0::DOUBLE ELSE coalesce(n_edges, 0) * 2.0::DOUBLE / (size * (size - 1)) END AS density, coalesce(n_bridges, 0)::BIGINT AS n_bridges
+  FROM (SELECT cluster AS component, count(*) AS size FROM later GROUP BY 1)
+  LEFT JOIN (SELECT cluster AS component, count(*) AS n_edges FROM cut_edges JOIN later ON a = record_id GROUP BY 1) USING (component)
+  LEFT JOIN (SELECT component, count(*) AS n_bridges FROM bridges GROUP BY 1) USING (component)),
+  (SELECT quantile_cont(size, {RULES["size_quantile"]}) AS p99 FROM (SELECT count(*) AS size FROM later GROUP BY cluster))"""
+SUSPECT_SELECT = f"SELECT component, size, n_edges, round(density, 6) AS density, n_bridges, reasons FROM ({SUSPECT_SQL}) WHERE reasons <> ''"
+
+
+_greedy(
+    "suspicious_clusters",
+    lambda s, r: graph_qa.suspicious_clusters(graph_qa.component_stats(s, 0.85, r)).withColumn("density", r6("density")),
+    with_sql(*SCORES, closure_sql(0.85, "later"), _bridges_sql(0.85, "later"), select=SUSPECT_SELECT),
+)
+_greedy("bridge_edges", lambda s, r: graph_qa.bridge_edges(s, THRESHOLD), with_sql(*CLUSTERS, _bridges_sql(THRESHOLD, "clusters"), select="SELECT component, a, b FROM bridges"))
 _greedy("farthest_cross_entity_path", lambda s, r: graph_qa.farthest_cross_entity_path(s, 0.85, r))
 
 COMPONENT_SQL = """, sized AS (SELECT cluster AS component, count(*) AS size FROM clusters GROUP BY 1),

@@ -22,7 +22,11 @@ def _g_sql(role: str) -> str:
     return f"(CASE WHEN l.{role} IS NULL OR r.{role} IS NULL THEN -1 ELSE {out} END)::INTEGER AS g_{role}"
 
 
-GAMMA_SQL = "gam AS (SELECT a, b, " + ", ".join(_g_sql(r) for r in G_ROLES) + " FROM pairs JOIN persons l ON a = l.record_id JOIN persons r ON b = r.record_id)"
+def _gamma_sql(roles: list[str]) -> str:
+    return "gam AS (SELECT a, b, " + ", ".join(_g_sql(r) for r in roles) + " FROM pairs JOIN persons l ON a = l.record_id JOIN persons r ON b = r.record_id)"
+
+
+GAMMA_SQL = _gamma_sql(G_ROLES)
 
 
 @query("fs_gammas", with_sql(*PAIRS, GAMMA_SQL, select="SELECT * FROM gam"))
@@ -51,12 +55,28 @@ def fs_tf_tables(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
-@query("fs_u_probabilities")
+U_PAIRS = 200_000
+#: Neighbours within hashed orders, as ``random_pairs`` deals them, and the shares of their comparison levels.
+U_SQL = f"""total AS (SELECT count(*) AS n, greatest(1, ({U_PAIRS} + count(*) - 1) // count(*)) AS rounds FROM persons),
+dealt AS (SELECT record_id, round, md5('{fs.U_SALT}|' || record_id || '|' || round::VARCHAR) AS h FROM persons, (SELECT unnest(range(0, rounds)) AS round FROM total)),
+bucketed AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % greatest(1, n // 64) AS bucket FROM dealt, total),
+placed AS (SELECT *, row_number() OVER (PARTITION BY round, bucket ORDER BY h) AS rn FROM bucketed),
+pairs AS (SELECT DISTINCT least(x.record_id, y.record_id) AS a, greatest(x.record_id, y.record_id) AS b FROM placed x JOIN placed y
+  ON x.round = y.round AND x.bucket = y.bucket AND y.rn = x.rn + 1
+  WHERE {U_PAIRS} / (x.n * x.rounds)::DOUBLE >= 1 OR ('0x' || substr(md5(x.h || '|{fs.U_SALT}'), 1, 8))::BIGINT < floor({U_PAIRS} / (x.n * x.rounds)::DOUBLE * 4294967296))"""
+U_SELECT = " UNION ALL ".join(
+    f"""SELECT '{r}' AS role, level, round((0.5::DOUBLE / {fs._levels(r)} + count(*) FILTER (g_{r} = level)) / (0.5::DOUBLE + count(*) FILTER (g_{r} >= 0)), 9) AS u
+  FROM gam, (SELECT unnest(range(0, {fs._levels(r)}))::INTEGER AS level) GROUP BY level"""
+    for r in FS_ROLES
+)
+
+
+@query("fs_u_probabilities", with_sql(*BASE, U_SQL, _gamma_sql(FS_ROLES), select=U_SELECT))
 def fs_u_probabilities(spark, sf_dir):
     rows = people(spark, sf_dir)
-    pairs = fs.random_pairs(rows, 200_000)
+    pairs = fs.random_pairs(rows, U_PAIRS)
     u = fs.u_probabilities(fs.patterns(fs.gammas(pairs, rows, FS_ROLES), FS_ROLES), FS_ROLES)
-    return spark.createDataFrame([(r, k, float(p)) for r in FS_ROLES for k, p in enumerate(u[r])], "role string, level int, u double")
+    return spark.createDataFrame([(r, k, round(float(p), 9)) for r in FS_ROLES for k, p in enumerate(u[r])], "role string, level int, u double")
 
 
 def _model(spark, sf_dir):

@@ -278,7 +278,18 @@ def ops_log(spark, sf_dir):
     return generate.generate_corpus(_clean(spark, sf_dir), RATES, seed=11)[1]
 
 
-@query("household_confusables")
+def _house_sql() -> str:
+    names = sorted({n.capitalize() for n in ("robert", "alice", "peter", "helen", "thomas", "clara", "simon", "teresa", "victor", "diana", "ingrid", "felix")})
+    pool = "[" + ", ".join(f"'{n}'" for n in names) + "]"
+    return f"""kinds AS (SELECT *, {_u("5:kind")} / 4294967296.0::DOUBLE AS u, {_u("5:name")} % {len(names)} AS spot, {_u("5:gap")} % 10 + 1 AS years, {_u("5:sign")} % 2 AS sign, {_u("5:age")} % 16 + 20 AS age
+  FROM clean WHERE {_u("5:house")} / 4294967296.0::DOUBLE < 0.2),
+kin AS (SELECT *, CASE WHEN u < 0.5 THEN 'sibling' WHEN u < 0.75 THEN 'twin' ELSE 'jr_sr' END AS kind, {pool}[spot::INTEGER + 1] AS drawn, {pool}[((spot + 1) % {len(names)})::INTEGER + 1] AS following FROM kinds)
+SELECT * EXCLUDE (u, spot, years, sign, age, kind, drawn, following) REPLACE (record_id || '#hh1' AS record_id, entity_id || '#hh1' AS entity_id, CASE WHEN kind = 'jr_sr' THEN 'JR' ELSE name_suffix END AS name_suffix,
+  CASE WHEN kind = 'jr_sr' THEN given_name WHEN lower(drawn) = lower(given_name) THEN following ELSE drawn END AS given_name,
+  CASE kind WHEN 'twin' THEN dob WHEN 'jr_sr' THEN strftime(dob::DATE + to_years(age::INTEGER), '%Y-%m-%d') ELSE strftime(dob::DATE + to_years((CASE WHEN sign = 0 THEN years ELSE -years END)::INTEGER), '%Y-%m-%d') END AS dob) FROM kin"""
+
+
+@query("household_confusables", with_sql(*BASE, CLEAN_SQL, select="").rstrip() + ",\n" + _house_sql())
 def household_confusables(spark, sf_dir):
     return generate.household_confusables(_clean(spark, sf_dir), 0.2, seed=5)[0]
 
