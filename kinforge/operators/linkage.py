@@ -17,12 +17,12 @@ def cross_source(pairs: DataFrame, records: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where("sa <> sb").select(*pairs.columns)
 
 
-def attach(clusters: DataFrame, arrivals: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:
-    """Clusters after new records arrive: each joins the cluster of its best pair.
+def placements(clusters: DataFrame, arrivals: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:
+    """(record_id, cluster) of new records: each joins the cluster of its best pair.
 
     ``scored`` are pairs between an arrival ``a`` and any record ``b``; an arrival
     without a pair at the threshold founds a cluster of its own, arrivals linked
-    only to arrivals are clustered together. Old records never move.
+    only to arrivals are clustered together.
     """
     links = scored.where(F.col("prob") >= threshold)
     known = links.join(clusters.select(F.col("record_id").alias("b"), "cluster"), "b")
@@ -32,7 +32,12 @@ def attach(clusters: DataFrame, arrivals: DataFrame, scored: DataFrame, threshol
     inner = links.join(left.select(F.col("record_id").alias("a")), "a", "left_semi").join(left.select(F.col("record_id").alias("b")), "b", "left_semi")
     parts = connected_components(inner).select(F.col("node").alias("record_id"), F.col("component").alias("cluster"))
     fresh = left.join(parts, "record_id", "left").select("record_id", F.coalesce("cluster", "record_id").alias("cluster"))
-    return clusters.select("record_id", "cluster").unionByName(best).unionByName(fresh)
+    return best.unionByName(fresh)
+
+
+def attach(clusters: DataFrame, arrivals: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:
+    """Clusters after new records arrive; old records never move."""
+    return clusters.select("record_id", "cluster").unionByName(placements(clusters, arrivals, scored, threshold))
 
 
 def churn(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -65,6 +65,13 @@ def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder of any store that Spark reaches; none if there is no such folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = place.getFileSystem(spark.sparkContext._jsc.sc().hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(place)) if fs.exists(place) else []
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables that ``materialize`` returned and that no later plan reads."""
     for df in frames:

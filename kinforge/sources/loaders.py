@@ -107,7 +107,7 @@ def parse_snapshot(spark: SparkSession, text_path: str, counties: list[int] | No
     # the header is the file's first line: a one-row read
     header = [c.strip().lstrip("﻿") for c in lines.first()[0].rstrip("\r").split("\t")]
     clean = F.regexp_replace(F.regexp_replace("value", r"\r$", ""), "^﻿", "")
-    cells = lines.select(F.split(clean, "\t", -1).alias("c")).where(F.array_join("c", "\t") != "\t".join(header)).where(F.array_join("c", "") != "")
+    cells = lines.select(F.split(clean, "\t", -1).alias("c"), F.monotonically_increasing_id().alias("place")).where(F.array_join("c", "\t") != "\t".join(header)).where(F.array_join("c", "") != "")
     width = len(header)
     long, short = F.size("c") > width, F.size("c") < width
     stats = cells.agg(F.count("*").alias("n_rows"), F.count_if(short).alias("n_short"), F.count_if(long).alias("n_long"))
@@ -117,7 +117,8 @@ def parse_snapshot(spark: SparkSession, text_path: str, counties: list[int] | No
         rows = rows.where(F.trim("county_id").try_cast("int").isin(counties))
     if columns is not None:
         rows = rows.select(*columns)
-    return rows, cells.where(long).select(F.array_join("c", "\t").alias("line")).limit(QUARANTINE), stats
+    first = cells.where(long).orderBy("place").limit(QUARANTINE)  # a report of the first ones
+    return rows, first.select(F.array_join("c", "\t").alias("line")), stats
 
 
 def snapshot_name(date: str) -> str:

@@ -522,6 +522,14 @@ def test_streaming_attachment(spark, tmp_path):
     q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r["record_id"]: r["cluster"] for r in sink.state()[1].collect()} == {"r1": "r1", "r2": "r1", "r3": "r3"}
+    # A restarted driver goes on from the folder; a batch that broke off is written again and reads earlier ones only.
+    spark.createDataFrame([("r9", "Half", "Done", "1900-01-02", "9", None)], schema).write.parquet(f"{tmp_path}/state/records/1")
+    again = Attacher(spark, f"{tmp_path}/state", old, part(spark, {"r1": "r1"}), ["given_name", "family_name", "dob"])
+    assert again.version == 0 and again.state()[0].count() == 3
+    again(spark.createDataFrame([("r4", "Zed", "Quill", "1950-01-02", "9", None), ("r1", "Ann", "Smith", "1980-01-02", "1", "555")], schema), 1)
+    again(spark.createDataFrame([("r5", "No", "One", "1950-01-02", "9", None)], schema), 0)
+    assert {r["record_id"]: r["cluster"] for r in again.state()[1].collect()} == {"r1": "r1", "r2": "r1", "r3": "r3", "r4": "r3"}
+    assert spark.read.parquet(f"{tmp_path}/state/clusters/1").count() == 1
     timed = watermarked_arrivals(spark.readStream.schema("ts timestamp, source string").parquet(f"{tmp_path}/in"))
     assert timed.isStreaming and "n" in timed.columns
 
