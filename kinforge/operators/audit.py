@@ -152,3 +152,17 @@ def jensen_shannon(p: list[Column], q: list[Column]) -> Column:
         m = (a + b) / 2
         total = total + half(a, m) / 2 + half(b, m) / 2
     return total
+
+
+def name_spread(records: DataFrame, name: str = "full_name", unit: str = "entity_id") -> DataFrame:
+    """(unit, n_names, spread): the largest token-set Jaccard distance between an entity's different names.
+
+    Names are compared once each; null and blank ones are left out, and an entity
+    with one name has spread 0.
+    """
+    tokens = F.array_distinct(F.filter(F.split(F.trim(F.col(name)), r"\s+"), lambda t: t != ""))
+    names = records.select(F.col(unit).alias("unit"), F.array_sort(tokens).alias("t")).where("unit IS NOT NULL AND size(t) > 0").distinct()
+    pairs = names.alias("l").join(names.alias("r"), "unit").where("l.t <= r.t")
+    apart = 1.0 - F.size(F.array_intersect("l.t", "r.t")) / F.size(F.array_union("l.t", "r.t"))
+    spread = pairs.groupBy("unit").agg(F.max(apart).alias("spread"))
+    return names.groupBy("unit").agg(F.count("*").alias("n_names")).join(spread, "unit").select(F.col("unit").alias(unit), "n_names", "spread")

@@ -183,3 +183,35 @@ def paired_delta(units_a: DataFrame, units_b: DataFrame, metric: str | Column, n
     b = replicates(units_b, metric, n_boot, seed).withColumnRenamed("value", "vb")
     ci = percentile_ci(a.join(b, "rep").select("rep", (F.col("va") - F.col("vb")).alias("value")), alpha)
     return ci.select(F.col("point").alias("delta"), "lo", "hi", ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("sign_stable"))
+
+
+def paired_rate_delta(pairs: DataFrame, above_a: Column, above_b: Column, unit: Column, n_boot: int = 500, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """(metric, point, lo, hi): link rates of two arms on the same pairs, and their difference on shared draws."""
+    units = pairs.select(unit.alias("unit"), F.lit(1.0).alias("n"), above_a.cast("double").alias("a"), above_b.cast("double").alias("b"))
+    n, a, b = F.col("n"), F.col("a"), F.col("b")
+    return intervals(units, {"rate_a": a / n, "rate_b": b / n, "delta": (a - b) / n}, n_boot, seed, alpha)
+
+
+def group_intervals(units: DataFrame, group: str, groups: list[str], num: str, den: str, n_boot: int = 500, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """(metric, point, lo, hi): a ratio by group, each group's gap to the rest, and the spread, on shared draws.
+
+    ``units`` has unit, ``group`` and the sums ``num`` and ``den``; ``groups`` are the
+    values to report, and every unit counts in the whole.
+    """
+    wide = units.select(
+        "unit", F.col(num).alias("num"), F.col(den).alias("den"),
+        *[F.when(F.col(group) == g, F.col(c)).otherwise(0.0).alias(f"{s}_{i}") for i, g in enumerate(groups) for c, s in ((num, "num"), (den, "den"))],
+    )
+
+    def part(i: int) -> Column:
+        return F.try_divide(F.col(f"num_{i}"), F.col(f"den_{i}"))
+
+    def rest(i: int) -> Column:
+        return F.try_divide(F.col("num") - F.col(f"num_{i}"), F.col("den") - F.col(f"den_{i}"))
+
+    metrics: dict[str, Column] = {"all": F.try_divide("num", "den")}
+    for i, g in enumerate(groups):
+        metrics |= {f"rate:{g}": part(i), f"gap:{g}": part(i) - rest(i)}
+    if len(groups) > 1:
+        metrics["spread"] = F.greatest(*map(part, range(len(groups)))) - F.least(*map(part, range(len(groups))))
+    return intervals(wide, metrics, n_boot, seed, alpha)

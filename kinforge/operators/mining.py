@@ -50,3 +50,12 @@ def cap_per_entity(df: DataFrame, cap: int, seed: int = 0) -> DataFrame:
     """At most ``cap`` records of each entity, in hashed order."""
     rn = F.row_number().over(Window.partitionBy("entity_id").orderBy(order_key("record_id", salt=str(seed)), "record_id"))
     return df.withColumn("__rn", rn).where(F.col("__rn") <= cap).drop("__rn")
+
+
+def rerank(candidates: DataFrame, keep: int, score: str = "score", by: tuple[str, ...] = ("q",), tie: str = "d") -> DataFrame:
+    """The ``keep`` best candidates of each query by another score, with their new rank.
+
+    A missing score comes last; equal ones go by ``tie``.
+    """
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc_nulls_last(score), tie))
+    return candidates.withColumn("rank", rank).where(F.col("rank") <= keep)

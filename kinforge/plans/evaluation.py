@@ -405,6 +405,54 @@ def paired_delta(spark, sf_dir):
     return bootstrap.paired_delta(full, near, "pair_completeness", 200, 3)
 
 
+def _ci_sql(metrics: dict[str, str]) -> str:
+    """Point and percentile interval of several columns of ``boots``."""
+    rows = " UNION ALL ".join(f"SELECT rep, '{name}' AS metric, {value} AS value FROM boots" for name, value in metrics.items())
+    return f"""SELECT metric, round(max(value) FILTER (rep = 0), 6) AS point, round(quantile_cont(value, 0.025) FILTER (rep > 0), 6) AS lo,
+  round(quantile_cont(value, 0.975) FILTER (rep > 0), 6) AS hi FROM ({rows}) GROUP BY metric"""
+
+
+GROUP_UNITS = """SELECT entity_id AS unit, any_value(sex) AS g, count(*)::DOUBLE AS n, any_value(r) AS r FROM persons
+  JOIN (SELECT t, sum(n * n / nt::DOUBLE) AS r FROM cells GROUP BY 1) ON t = entity_id GROUP BY 1"""
+GROUP_SUMS = ", ".join(f"sum(CASE WHEN g = '{g}' THEN w * {c} ELSE 0 END) AS {c}_{g}" for g in "FM" for c in "rn")
+
+
+@query(
+    "group_recall",
+    with_sql(
+        *CELLS, boot_sql(GROUP_UNITS, "sum(w * r)", 200, 19).replace("AS value FROM drawn", f"AS r, sum(w * n) AS n, {GROUP_SUMS} FROM drawn"),
+        select=_ci_sql({
+            "all": "r / n", "rate:F": "r_F / n_F", "rate:M": "r_M / n_M", "gap:F": "r_F / n_F - (r - r_F) / (n - n_F)", "gap:M": "r_M / n_M - (r - r_M) / (n - n_M)",
+            "spread": "abs(r_F / n_F - r_M / n_M)",
+        }),
+    ),
+)
+def group_recall(spark, sf_dir):
+    """B-cubed recall by sex, with gaps and spread on shared draws."""
+    rows = people(spark, sf_dir)
+    sex = rows.groupBy(F.col("entity_id").alias("unit")).agg(F.min("sex").alias("sex"))
+    units = bootstrap.bcubed_units(clustered(rows)[1], rows).join(sex, "unit")
+    out = bootstrap.group_intervals(units, "sex", ["F", "M"], "r", "n", 200, 19)
+    return out.select("metric", *[r6(c).alias(c) for c in ("point", "lo", "hi")])
+
+
+RATE_UNITS = "SELECT a || '~' || b AS unit, 1.0::DOUBLE AS n, (prob >= 0.9)::INTEGER::DOUBLE AS x, (jw_family_name >= 0.95)::INTEGER::DOUBLE AS y FROM scored WHERE jw_family_name IS NOT NULL"
+
+
+@query(
+    "link_rate_delta",
+    with_sql(
+        *SCORES, boot_sql(RATE_UNITS, "sum(w * n)", 200, 23).replace("AS value FROM drawn", "AS n, sum(w * x) AS x, sum(w * y) AS y FROM drawn"),
+        select=_ci_sql({"rate_a": "x / n", "rate_b": "y / n", "delta": "(x - y) / n"}),
+    ),
+)
+def link_rate_delta(spark, sf_dir):
+    """Link rates of two operating points on the same pairs."""
+    pairs = scored_pairs(people(spark, sf_dir)).where("jw_family_name IS NOT NULL")
+    out = bootstrap.paired_rate_delta(pairs, F.col("prob") >= 0.9, F.col("jw_family_name") >= 0.95, F.concat_ws("~", "a", "b"), 200, 23)
+    return out.select("metric", *[r6(c).alias(c) for c in ("point", "lo", "hi")])
+
+
 @query(
     "variance_components",
     """WITH c AS (SELECT o_orderpriority AS s, year(o_orderdate) AS d, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2),

@@ -299,3 +299,14 @@ def generated_audit(spark, sf_dir):
     corpus = materialize(generate.generate_corpus(_clean(spark, sf_dir), RATES, seed=11)[0], "corpus")
     pairs = generate.originals_with_duplicates(corpus, FIELDS)
     return audit.report(pairs, FIELDS, channels.NICKNAMES, key="record_id")
+
+
+SPREAD_SQL = """spelt AS (SELECT DISTINCT entity_id, list_sort(list_distinct(list_filter(string_split_regex(trim(given_name || ' ' || family_name), '\\s+'), lambda t: t <> ''))) AS t FROM persons)
+SELECT entity_id, any_value(n) AS n_names, round(max(1.0::DOUBLE - len(list_intersect(l.t, r.t)) / len(list_distinct(l.t || r.t))::DOUBLE), 6) AS spread
+FROM spelt l JOIN spelt r USING (entity_id) JOIN (SELECT entity_id, count(*) AS n FROM spelt GROUP BY 1) USING (entity_id) GROUP BY entity_id"""
+
+
+@query("name_spread", with_sql(*BASE, select="").rstrip() + ",\n" + SPREAD_SQL)
+def name_spread(spark, sf_dir):
+    rows = people(spark, sf_dir).withColumn("full_name", F.concat_ws(" ", "given_name", "family_name"))
+    return audit.name_spread(rows).withColumn("spread", r6("spread"))

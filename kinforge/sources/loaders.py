@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
+from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,3 +129,32 @@ def snapshot_name(date: str) -> str:
     if not (len(date) == 8 and date.isdigit()):
         raise ValueError(f"bad snapshot date {date!r}")
     return f"VR_Snapshot_{date}.zip"
+
+
+_LISTING = "{http://s3.amazonaws.com/doc/2006-03-01/}"
+
+
+def parse_listing(xml: str, base: str) -> tuple[list[tuple[str, str, int]], str | None]:
+    """([(date, address, bytes)], continuation token) of one page of an object store's listing.
+
+    Objects that are no snapshot are left out; the token is there while pages follow.
+    """
+    root = ElementTree.fromstring(xml)
+    found = []
+    for entry in root.iter(f"{_LISTING}Contents"):
+        key = entry.findtext(f"{_LISTING}Key") or ""
+        if m := re.search(r"VR_Snapshot_(\d{8})\.zip$", key):
+            found.append((m[1], f"{base.rstrip('/')}/{key}", int(entry.findtext(f"{_LISTING}Size") or 0)))
+    more = (root.findtext(f"{_LISTING}IsTruncated") or "").lower() == "true"
+    return found, root.findtext(f"{_LISTING}NextContinuationToken") if more else None
+
+
+def list_snapshots(fetch: Callable[[dict[str, str]], str], base: str, prefix: str = "data/Snapshots/") -> list[tuple[str, str, int]]:
+    """All snapshots by date; ``fetch`` gives the page of a query's parameters."""
+    found: list[tuple[str, str, int]] = []
+    token: str | None = None
+    while True:
+        page, token = parse_listing(fetch({"list-type": "2", "prefix": prefix} | ({"continuation-token": token} if token else {})), base)
+        found += page
+        if token is None:
+            return sorted(found)

@@ -35,6 +35,7 @@ from kinforge.operators import (
     label,
     linkage,
     metrics,
+    mining,
     operating,
     power,
     rules,
@@ -602,3 +603,29 @@ def test_suffixes_follow_the_confusion_map(spark):
         else:
             assert now is None or now.upper() in channels.SUFFIXES[up]
     assert df.select(fields["name_suffix"].alias("n")).where("n IS NULL").count() > 300
+
+
+def test_listing_pages_are_followed():
+    from kinforge.sources.loaders import list_snapshots
+
+    def page(keys, token):
+        body = "".join(f"<Contents><Key>{k}</Key><Size>{n}</Size></Contents>" for k, n in keys)
+        more = f"<IsTruncated>true</IsTruncated><NextContinuationToken>{token}</NextContinuationToken>" if token else "<IsTruncated>false</IsTruncated>"
+        return f'<ListBucketResult xmlns="http://s3.amazonaws.com/doc/2006-03-01/">{body}{more}</ListBucketResult>'
+
+    pages = {None: page([("d/VR_Snapshot_20200101.zip", 5), ("d/layout.pdf", 1)], "t"), "t": page([("d/VR_Snapshot_20100101.zip", 7), ("d/", 0)], None)}
+    got = list_snapshots(lambda q: pages[q.get("continuation-token")], "https://host/")
+    assert got == [("20100101", "https://host/d/VR_Snapshot_20100101.zip", 7), ("20200101", "https://host/d/VR_Snapshot_20200101.zip", 5)]
+
+
+def test_name_spread_rerank_and_groups(spark):
+    rows = spark.createDataFrame([("e1", "ann lee"), ("e1", "lee ann"), ("e1", "ann lee fox"), ("e2", "bo"), ("e3", None), ("e3", "  "), (None, "x"), ("e4", "a b"), ("e4", "c d")], "entity_id string, full_name string")
+    assert {r[0]: (r[1], round(r[2], 6)) for r in audit.name_spread(rows).collect()} == {"e1": (2, round(1 / 3, 6)), "e2": (1, 0.0), "e4": (2, 1.0)}
+    found = spark.createDataFrame([("q", "a", 0.1), ("q", "b", None), ("q", "c", 0.9), ("q", "d", 0.9)], "q string, d string, score double")
+    assert [(r["d"], r["rank"]) for r in mining.rerank(found, 3).orderBy("rank").collect()] == [("c", 1), ("d", 2), ("a", 3)]
+    units = spark.createDataFrame([(str(i), "ab"[i % 2] if i % 5 else None, float(i % 2), 1.0) for i in range(200)], "unit string, g string, x double, n double")
+    got = {r["metric"]: r for r in bootstrap.group_intervals(units, "g", ["a", "b", "none"], "x", "n", 50, 1).collect()}
+    assert got["rate:a"]["point"] == 0 and got["rate:b"]["point"] == 1 and got["spread"]["point"] == 1 and got["rate:none"]["point"] is None
+    assert got["all"]["point"] == pytest.approx(0.5) and got["all"]["lo"] < 0.5 < got["all"]["hi"]
+    delta = {r["metric"]: r for r in bootstrap.paired_rate_delta(units, F.col("x") > 0, F.col("n") > 0, F.col("unit"), 50, 1).collect()}
+    assert delta["delta"]["point"] == pytest.approx(-0.5) and delta["rate_b"]["lo"] == 1
