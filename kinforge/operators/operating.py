@@ -12,9 +12,10 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinforge.functions.prefix import running_sums
 from kinforge.operators.graph import connected_components
 
 
@@ -81,9 +82,8 @@ def threshold_curve(scored: DataFrame, truth: DataFrame) -> DataFrame:
     base = truth.groupBy("entity_id").count().agg(
         F.sum("count").alias("n"), F.count("*").cast("double").alias("r0"), F.sum(F.expr("count * (count - 1) div 2")).alias("true_pairs")
     )
-    # scores are few (rounded): one ordered pass over their sums
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = steps.select("score", *[F.sum(c).over(down).alias(c) for c in ("d_p", "d_r", "d_tp", "d_pred")]).crossJoin(F.broadcast(base))  # one-row side
+    run = running_sums(steps, "score", ["d_p", "d_r", "d_tp", "d_pred"])
+    run = run.select("score", *[F.col(f"run_{c}").alias(c) for c in ("d_p", "d_r", "d_tp", "d_pred")]).crossJoin(F.broadcast(base))  # one-row side
     n = F.col("n")
     return run.select(
         F.col("score").alias("threshold"),
@@ -116,9 +116,7 @@ def fp_budget_threshold(scores: DataFrame, budget_per_record: float, n_records:
     """
     allowed = math.floor(budget_per_record * n_records)
     counts = scores.groupBy("score").count()
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    total = counts.withColumn("passed", F.sum("count").over(down))
-    inside = total.where(F.col("passed") <= allowed).agg(F.min("score")).first()[0]
+    inside = running_sums(counts, "score", ["count"]).where(F.col("run_count") <= allowed).agg(F.min("score")).first()[0]
     if inside is not None:
         return float(inside)
     top = counts.agg(F.max("score")).first()[0]
@@ -128,17 +126,15 @@ def fp_budget_threshold(scores: DataFrame, budget_per_record: float, n_records:
 def pairwise_precision_threshold(scored: DataFrame, target: float) -> DataFrame:
     """Loosest score at which pairs with score >= it keep the target precision (ties together)."""
     cells = scored.groupBy("score").agg(F.sum(F.col("label").cast("long")).alias("pos"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = cells.select("score", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("passed"))
+    run = running_sums(cells, "score", ["pos", "n"]).select("score", F.col("run_pos").alias("tp"), F.col("run_n").alias("passed"))
     return run.where(F.col("tp") >= target * F.col("passed")).agg(F.min("score").alias("threshold"), F.max("tp").alias("tp"), F.max("passed").alias("passed"))
 
 
 def best_f1_threshold(scored: DataFrame) -> DataFrame:
     """(threshold, f1) of the best cut over tie groups; the higher one on equal F1."""
     cells = scored.groupBy("score").agg(F.sum(F.col("label").cast("long")).alias("pos"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     all_pos = cells.agg(F.sum("pos").alias("all_pos"))
-    run = cells.select("score", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("passed")).crossJoin(F.broadcast(all_pos))  # one-row side
+    run = running_sums(cells, "score", ["pos", "n"]).select("score", F.col("run_pos").alias("tp"), F.col("run_n").alias("passed")).crossJoin(F.broadcast(all_pos))  # one-row side
     f1 = 2.0 * F.col("tp") / (F.col("passed") + F.col("all_pos"))
     return run.agg(F.max_by(F.struct(F.col("score").alias("threshold"), f1.alias("f1")), F.struct(f1, "score")).alias("x")).select("x.*")
 
@@ -147,8 +143,7 @@ def auc(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Mann-Whitney area with average ranks for ties; null without both labels."""
     by = by or []
     cells = scored.groupBy(*by, "score").agg(F.sum(F.col("label").cast("long")).alias("pos"), F.count("*").alias("n"))
-    up = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = cells.withColumn("rank", F.sum("n").over(up) - (F.col("n") - 1) / 2.0)
+    ranked = running_sums(cells, "score", ["n"], descending=False, by=tuple(by)).withColumn("rank", F.col("run_n") - (F.col("n") - 1) / 2.0)
     sums = ranked.groupBy(*by).agg(F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     area = F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * F.col("q")))
     return sums.select(*by, area.alias("auc"), F.col("p").alias("n_pos"), F.col("q").alias("n_neg"))

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinforge import session
-from kinforge.functions import dates, strings
+from kinforge.functions import dates, prefix, strings
 from kinforge.infra.artifacts import ArtifactMissing, ArtifactRegistry, TierMixingError
 from kinforge.infra.cards import CardImmutableError, conjecture_card, verdict
 from kinforge.infra.config import config_hash, load_config
@@ -629,3 +629,17 @@ def test_name_spread_rerank_and_groups(spark):
     assert got["all"]["point"] == pytest.approx(0.5) and got["all"]["lo"] < 0.5 < got["all"]["hi"]
     delta = {r["metric"]: r for r in bootstrap.paired_rate_delta(units, F.col("x") > 0, F.col("n") > 0, F.col("unit"), 50, 1).collect()}
     assert delta["delta"]["point"] == pytest.approx(-0.5) and delta["rate_b"]["lo"] == 1
+
+
+def test_running_sums_in_ranges(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, float(v), int(n)) for g in ("a", None, "b") for v, n in zip(np.unique(np.round(rng.normal(size=900), 3)), rng.integers(0, 9, 900), strict=False)]
+    df = spark.createDataFrame(rows, "g string, v double, n long")
+    for descending in (True, False):
+        got = {(r["g"], r["v"]): r["run_n"] for r in prefix.running_sums(df, "v", ["n"], descending, ("g",)).collect()}
+        for g in ("a", None, "b"):
+            total = 0
+            for _, v, n in sorted((x for x in rows if x[0] == g), key=lambda x: -x[1] if descending else x[1]):
+                total += n
+                assert got[g, v] == total
+    assert prefix.running_sums(df.limit(0), "v", ["n"]).count() == 0
