@@ -12,6 +12,8 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinforge.infra.config import load_config_from_env
+
 TIERS = ("smoke", "target")
 
 
@@ -29,6 +31,11 @@ class ArtifactRegistry:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    @classmethod
+    def from_env(cls, spark: SparkSession) -> ArtifactRegistry:
+        """The registry in the folder that the runner's environment names."""
+        return cls(spark, load_config_from_env().paths.artifacts)
+
     def _path(self, path: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)
 

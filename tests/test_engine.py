@@ -16,7 +16,7 @@ from kinforge import session
 from kinforge.functions import dates, prefix, strings
 from kinforge.infra.artifacts import ArtifactMissing, ArtifactRegistry, TierMixingError
 from kinforge.infra.cards import CardImmutableError, conjecture_card, verdict
-from kinforge.infra.config import config_hash, load_config
+from kinforge.infra.config import config_hash, load_config, load_config_from_env
 from kinforge.infra.runner import Step, order, parse_argv, run_all
 from kinforge.operators import (
     ann,
@@ -535,12 +535,17 @@ def test_streaming_attachment(spark, tmp_path):
     assert timed.isStreaming and "n" in timed.columns
 
 
-def test_config_registry_runner_cards(spark, tmp_path):
+def test_config_registry_runner_cards(spark, tmp_path, monkeypatch):
     config = load_config(None, ["score.threshold=0.8", "score.fields=[a,b]"])
     assert config.score.threshold == 0.8 and config.score.fields == ["a", "b"] and len(config_hash(config)) == 12
     with pytest.raises(KeyError):
         load_config(None, ["score.nope=1"])
-    registry = ArtifactRegistry(spark, f"{tmp_path}/artifacts")
+    typed = load_config(None, ["run.seeds=[1,2]", "data.n_records=50", "infra.master=none", "train.lr=0.1"])
+    assert typed.run.seeds == [1, 2] and typed.data.n_records == 50 and typed.infra.master is None and typed.train.lr == 0.1
+    env = load_config_from_env({"KINFORGE_OVERRIDES": '["model.dim=64"]', "KINFORGE_TIER": "target", "KINFORGE_ARTIFACTS": "/x"})
+    assert (env.model.dim, env.run.tier, env.paths.artifacts) == (64, "target", "/x") and config_hash(env) != config_hash(config)
+    monkeypatch.setenv("KINFORGE_ARTIFACTS", f"{tmp_path}/artifacts")
+    registry = ArtifactRegistry.from_env(spark)
     with pytest.raises(ArtifactMissing):
         registry.load("pairs", "smoke")
     steps = [
