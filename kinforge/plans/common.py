@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinforge.operators import blocking, cluster, scoring
-from kinforge.session import materialize
+from kinforge.session import materialize, stamp, table
 from kinforge.sources.persons import PERSONS_SQL, persons
 
 FIELDS = ["given_name", "family_name", "dob"]
@@ -18,12 +18,12 @@ def r6(c: Column | str, digits: int = 6) -> Column:
     return F.round(c, digits)
 
 
-_people: dict[tuple[str, str], DataFrame] = {}
+_people: dict[tuple[str, str, tuple], DataFrame] = {}
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The persons relation, written once a session: self joins read it, not its long derivation."""
-    at = (spark.sparkContext.applicationId, sf_dir)
+    """The persons relation, written once a session and state of its inputs: self joins read it, not its long derivation."""
+    at = (spark.sparkContext.applicationId, sf_dir, stamp(table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")))
     if at not in _people:
         _people[at] = materialize(persons(spark, sf_dir), "persons")
     return _people[at]

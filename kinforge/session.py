@@ -76,9 +76,20 @@ def discard(*frames: DataFrame) -> None:
     """Delete tables that ``materialize`` returned and that no later plan reads."""
     for df in frames:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.sparkSession._jvm.java.net.URI(path))
             place.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(place, True)
 
 
+def stamp(*frames: DataFrame) -> tuple:
+    """Name and time of change of the files that tables are read from."""
+    found = []
+    for df in frames:
+        for name in sorted(df.inputFiles()):
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.sparkSession._jvm.java.net.URI(name))
+            status = place.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).getFileStatus(place)
+            found.append((name, status.getModificationTime(), status.getLen()))
+    return tuple(found)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

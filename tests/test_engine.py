@@ -648,3 +648,17 @@ def test_running_sums_in_ranges(spark):
                 total += n
                 assert got[g, v] == total
     assert prefix.running_sums(df.limit(0), "v", ["n"]).count() == 0
+
+
+def test_stored_tables_are_found_and_deleted(spark, tmp_path):
+    kept = session.materialize(spark.range(5), "a table")
+    assert kept.count() == 5 and kept.inputFiles()
+    session.discard(kept)
+    with pytest.raises(Exception, match="(?i)not exist|FileNotFound|no such"):
+        kept.sparkSession.read.parquet(kept.inputFiles()[0].rsplit("/", 1)[0]).count()
+    folder = f"{tmp_path}/with space"
+    spark.range(3).write.parquet(folder)
+    before = session.stamp(spark.read.parquet(folder))
+    assert before == session.stamp(spark.read.parquet(folder)) and len(before) > 0
+    spark.range(4).write.mode("overwrite").parquet(folder)
+    assert before != session.stamp(spark.read.parquet(folder))
