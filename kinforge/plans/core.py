@@ -93,21 +93,25 @@ def matchkeys_pass_stats(spark, sf_dir):
     return blocking.pass_stats(people(spark, sf_dir))
 
 
-WINDOW_SQL = """, spots AS (
+SPOTS_SQL = """spots AS (
   SELECT 0 AS pass, sx AS k0, yr AS k1, record_id, row_number() OVER (PARTITION BY sx, yr ORDER BY record_id) AS rn FROM keys WHERE sx IS NOT NULL AND yr IS NOT NULL
   UNION ALL SELECT 1, zip, gi, record_id, row_number() OVER (PARTITION BY zip, gi ORDER BY record_id) FROM keys WHERE zip IS NOT NULL AND gi IS NOT NULL
-  UNION ALL SELECT 2, phone, '', record_id, row_number() OVER (PARTITION BY phone ORDER BY record_id) FROM keys WHERE phone IS NOT NULL)
-SELECT DISTINCT l.record_id AS a, r.record_id AS b FROM spots l JOIN spots r
-  ON l.pass = r.pass AND l.k0 = r.k0 AND l.k1 = r.k1 AND r.rn - l.rn BETWEEN 1 AND 3"""
+  UNION ALL SELECT 2, phone, '', record_id, row_number() OVER (PARTITION BY phone ORDER BY record_id) FROM keys WHERE phone IS NOT NULL)"""
 
 
-@query("matchkeys_window_k", with_sql(*PAIRS, select="").rstrip() + WINDOW_SQL)
+def beside_sql(k: int) -> str:
+    """Pairs of records at most ``k`` places apart in a block."""
+    return f"""SELECT DISTINCT l.record_id AS a, r.record_id AS b FROM spots l JOIN spots r
+  ON l.pass = r.pass AND l.k0 = r.k0 AND l.k1 = r.k1 AND r.rn - l.rn BETWEEN 1 AND {k}"""
+
+
+@query("matchkeys_window_k", with_sql(*PAIRS, SPOTS_SQL, select=beside_sql(3)))
 def matchkeys_window_k(spark, sf_dir):
     return blocking.candidates(people(spark, sf_dir), window=3)
 
 
 #: The sequential rule in full: every offer in order, with the places that records have used so far.
-BUDGET_SQL = WINDOW_SQL.split("SELECT DISTINCT")[0].rstrip() + """,
+BUDGET_SQL = f", {SPOTS_SQL}" + """,
 offered AS (SELECT l.record_id AS a, r.record_id AS b, min((l.pass, l.k0, l.k1)) AS place FROM spots l JOIN spots r
   ON l.pass = r.pass AND l.k0 = r.k0 AND l.k1 = r.k1 AND r.rn - l.rn BETWEEN 1 AND 3 GROUP BY 1, 2),
 spot AS (SELECT r, row_number() OVER (ORDER BY r) AS i FROM (SELECT a AS r FROM offered UNION SELECT b FROM offered)),

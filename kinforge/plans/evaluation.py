@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kinforge.operators import blocking, bootstrap, calibrate, fs, identifiability, label, metrics, operating, power, rules, truth
 from kinforge.plans.common import BASE, CELLS, CLUSTERS, PAIRS, SCORES, clustered, people, r6, scored_pairs, with_sql
+from kinforge.plans.core import SPOTS_SQL, beside_sql
 from kinforge.plans.registry import query
 from kinforge.session import materialize, table
 
@@ -397,12 +398,24 @@ def pair_completeness_ci(spark, sf_dir):
     return ci.select(*[r6(c).alias(c) for c in ci.columns])
 
 
-@query("paired_delta")
+#: True pairs of each entity, those of a common key and those of neighbours in a key's block.
+DELTA_UNITS = """SELECT t.entity_id AS unit, count(*)::DOUBLE AS n, count(p.a)::DOUBLE AS x, count(s.a)::DOUBLE AS y FROM (
+  SELECT l.record_id AS a, r.record_id AS b, l.entity_id FROM persons l JOIN persons r ON l.entity_id = r.entity_id AND l.record_id < r.record_id) t
+  LEFT JOIN pairs p USING (a, b) LEFT JOIN beside s USING (a, b) GROUP BY 1"""
+DELTA_SQL = """SELECT round(max(value) FILTER (rep = 0), 6) AS delta, round(quantile_cont(value, 0.025) FILTER (rep > 0), 6) AS lo, round(quantile_cont(value, 0.975) FILTER (rep > 0), 6) AS hi,
+  quantile_cont(value, 0.025) FILTER (rep > 0) > 0 OR quantile_cont(value, 0.975) FILTER (rep > 0) < 0 AS sign_stable FROM boots"""
+
+
+@query(
+    "paired_delta",
+    with_sql(*PAIRS, SPOTS_SQL, f"beside AS ({beside_sql(1)})", boot_sql(DELTA_UNITS, "sum(w * x) / sum(w * n) - sum(w * y) / sum(w * n)", 200, 3), select=DELTA_SQL),
+)
 def paired_delta(spark, sf_dir):
     rows = people(spark, sf_dir)
     full = bootstrap.pair_units(blocking.candidates(rows), rows)
     near = bootstrap.pair_units(blocking.candidates(rows, window=1), rows)
-    return bootstrap.paired_delta(full, near, "pair_completeness", 200, 3)
+    out = bootstrap.paired_delta(full, near, "pair_completeness", 200, 3)
+    return out.select(*[r6(c).alias(c) for c in ("delta", "lo", "hi")], "sign_stable")
 
 
 def _ci_sql(metrics: dict[str, str]) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinforge.operators import audit, channels, exposure, generate
+from kinforge.operators.audit import ABBREVIATIONS
 from kinforge.plans.common import BASE, people, r6, with_sql
 from kinforge.plans.registry import query
 from kinforge.session import materialize
@@ -214,6 +215,30 @@ chosen3 AS (SELECT *, fits[({_u("3:ocr:pair")} % len(fits) + 1)::INTEGER] AS one
 typed AS (SELECT *, left(v, instr(v, one.a) - 1) || one.b || v[instr(v, one.a) + length(one.a):] AS now FROM chosen3)"""
 
 
+def _sound_sql() -> str:
+    """The drawn sound rewrite that fits the chosen value."""
+    fields = ["given_name", "family_name", "city"]
+    value = "CASE chosen " + " ".join(f"WHEN '{f}' THEN {f}" for f in fields) + " END"
+    forms = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(low, '{a}') THEN regexp_replace(low, '{a}', '{b}', 'g') END" for a, b in channels.PHONETIC) + "], lambda x: x IS NOT NULL)"
+    return f"""{_drawn("phonetic_spelling", fields).replace("drawn AS", "chosen0 AS")},
+chosen1 AS (SELECT *, {value} AS v, lower({value}) AS low FROM chosen0), chosen2 AS (SELECT *, {forms} AS forms FROM chosen1 WHERE v IS NOT NULL),
+chosen3 AS (SELECT *, forms[({_u("3:phonetic_spelling:rule")} % len(forms) + 1)::INTEGER] AS one FROM chosen2 WHERE len(forms) > 0),
+typed AS (SELECT *, {_case_like("v", "one")} AS now FROM chosen3)"""
+
+
+def _format_sql() -> dict[str, str]:
+    """New values of one drawn field: the date's, street's or phone's."""
+    pick, day = f"{_u('3:field_format_drift:field')} % 3", f"(1 + {_u('3:field_format_drift:dob')} % 4) % 5"
+    shapes = ("%m/%d/%Y", "%Y%m%d", "%m-%d-%Y", "%d %b %Y")
+    dob = f"CASE {day} " + " ".join(f"WHEN {i} THEN strftime(dob::DATE, '{f}')" for i, f in enumerate(shapes, 1)) + " END"
+    swaps = " ".join(f"WHEN '{a}' THEN '{b.capitalize()}' WHEN '{b}' THEN '{a.capitalize()}'" for a, b in ABBREVIATIONS.items())
+    street = f"array_to_string(list_transform(string_split(street, ' '), lambda w: CASE upper(w) {swaps} ELSE w END), ' ')"
+    a, b, e = "phone[1:3]", "phone[4:6]", "phone[7:10]"
+    forms = f"list_filter([phone, {a} || '-' || {b} || '-' || {e}, '(' || {a} || ') ' || {b} || '-' || {e}, {a} || '.' || {b} || '.' || {e}], lambda x: x <> phone)"
+    phone = f"{forms}[({_u('3:field_format_drift:phone')} % 3 + 1)::INTEGER]"
+    return {f: f"CASE WHEN {pick} = {i} AND {f} IS NOT NULL THEN {v} ELSE {f} END" for i, (f, v) in enumerate((("dob", dob), ("street", street), ("phone", phone)))}
+
+
 def _typed(name: str) -> str:
     return f"SELECT record_id, '{name}' AS channel, chosen AS field, v AS before, now AS after FROM typed WHERE now IS DISTINCT FROM v"
 
@@ -239,6 +264,8 @@ CHANNEL_SQL: dict[str, str] = {
     "nickname": with_sql(*BASE, CLEAN_SQL, _nickname_sql(), select=_log("nickname", {"given_name": _case_like("given_name", "one")})),
     "typo": with_sql(*BASE, CLEAN_SQL, _typo_sql(), select=_typed("typo")),
     "ocr": with_sql(*BASE, CLEAN_SQL, _pair_sql(), select=_typed("ocr")),
+    "field_format_drift": with_sql(*BASE, CLEAN_SQL, f"drawn AS (SELECT * FROM clean WHERE {_hit('field_format_drift')})", select=_log("field_format_drift", _format_sql())),
+    "phonetic_spelling": with_sql(*BASE, CLEAN_SQL, _sound_sql(), select=_typed("phonetic_spelling")),
 }
 
 
