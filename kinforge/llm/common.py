@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -50,9 +51,22 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -
             i = j
 
 
+def release_memory() -> None:
+    """Give freed memory back: Python workers are used again by later tasks and keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: object) -> DataFrame:
-    """``df.mapInArrow`` with the session's Arrow batches lowered to ``BATCH_ROWS`` rows."""
+    """``df.mapInArrow`` with the session's Arrow batches lowered to ``BATCH_ROWS`` rows, and memory given back after a task."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:
         conf.set(name, BATCH_ROWS)
-    return df.mapInArrow(run, ddl)
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return df.mapInArrow(released, ddl)

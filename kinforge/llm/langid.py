@@ -43,6 +43,8 @@ OUTSIDE = 1e-7
 #: Labelled documents for the fit, whole, at most about this many a language.
 SAMPLE_DOCS = 400
 CACHE_WORDS = 300_000
+#: Words that are scored at once, with all pieces of all their positions.
+BLOCK_WORDS = 2048
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -146,8 +148,8 @@ class Model:
         while order and len(words[order[-1]]) > SPAN:
             at = order.pop()
             out[at] = self.long_word_score(words[at])
-        for lo in range(0, len(order), 8192):
-            part = order[lo : lo + 8192]
+        for lo in range(0, len(order), BLOCK_WORDS):
+            part = order[lo : lo + BLOCK_WORDS]
             chars, sizes = _pack([words[i] for i in part])
             alpha = _forward(self._lattice.pieces_of(chars, sizes), sizes, self.table)
             out[part] = np.log(alpha[sizes, np.arange(len(part))])
