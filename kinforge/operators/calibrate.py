@@ -85,6 +85,11 @@ def _fit(groups: list[tuple[float, float, float]], method: str) -> object | None
     return platt(x, y, w) if method == "platt" else pav(x, y, w)
 
 
+def _times(scored: DataFrame) -> Column:
+    """Pairs that a row stands for: its ``n`` if it has one."""
+    return F.col("n") if "n" in scored.columns else F.lit(1).cast("long")
+
+
 def fit_calibrator(scored: DataFrame, method: str = "isotonic", stratum: str | None = None, digits: int = 4) -> Calibrator:
     """Fit on (score, label[, stratum]); scores are grouped at ``digits`` places.
 
@@ -94,7 +99,7 @@ def fit_calibrator(scored: DataFrame, method: str = "isotonic", stratum: str | N
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
     keys = [F.round("score", digits).alias("x")] + ([F.col(stratum).alias("s")] if stratum else [])
-    rows = scored.groupBy(*keys).agg(F.sum(F.col("label").cast("double")).alias("pos"), F.count("*").alias("n")).collect()
+    rows = scored.groupBy(*keys).agg(F.sum(F.col("label").cast("double") * _times(scored)).alias("pos"), F.sum(_times(scored)).alias("n")).collect()
     table: dict[str | None, dict[float, list[float]]] = {}
     for r in rows:
         for name in {None, r["s"] if stratum else None}:
@@ -111,14 +116,18 @@ def fit_calibrator(scored: DataFrame, method: str = "isotonic", stratum: str | N
 def reliability(scored: DataFrame, bins: int = 10) -> DataFrame:
     """(bin, n, mean_score, rate) over equal-width bins."""
     at = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int")
-    return scored.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.avg(F.col("label").cast("double")).alias("rate"))
+    n = _times(scored)
+    mean, rate = F.sum(F.col("score") * n) / F.sum(n), F.sum(F.col("label").cast("double") * n) / F.sum(n)
+    return scored.groupBy(at.alias("bin")).agg(F.sum(n).alias("n"), mean.alias("mean_score"), rate.alias("rate"))
 
 
 def expected_calibration_error(scored: DataFrame, by: list[str] | None = None, bins: int = 10) -> DataFrame:
     """Weighted mean gap between score and rate over the bins."""
     by = by or []
     at = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int")
-    cells = scored.groupBy(*by, at.alias("bin")).agg(F.count("*").alias("n"), F.abs(F.avg("score") - F.avg(F.col("label").cast("double"))).alias("gap"))
+    n = _times(scored)
+    gap = F.abs(F.sum(F.col("score") * n) / F.sum(n) - F.sum(F.col("label").cast("double") * n) / F.sum(n))
+    cells = scored.groupBy(*by, at.alias("bin")).agg(F.sum(n).alias("n"), gap.alias("gap"))
     return cells.groupBy(*by).agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"), F.sum("n").alias("n"))
 
 

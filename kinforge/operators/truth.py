@@ -94,7 +94,12 @@ def disagreement_sample(a: DataFrame, b: DataFrame, n: int, seed: int, strata: l
 
     The order inside a stratum is a hash of the pair; a null stratum is its own.
     """
-    diff = disagreements(a, b, strata).withColumn("stratum", F.concat_ws("|", *[F.coalesce(F.col(s).cast("string"), F.lit("<null>")) for s in strata]) if strata else F.lit("all"))
+    return sample_of(disagreements(a, b, strata), n, seed, strata)
+
+
+def sample_of(diff: DataFrame, n: int, seed: int, strata: list[str] | None = None) -> DataFrame:
+    """The stratified sample of listed disagreements (a, b, la, lb[, strata])."""
+    diff = diff.withColumn("stratum", F.concat_ws("|", *[F.coalesce(F.col(s).cast("string"), F.lit("<null>")) for s in strata]) if strata else F.lit("all"))
     counts = {r["stratum"]: r["count"] for r in diff.groupBy("stratum").count().collect()}
     take = allocate(counts, n) if counts else {}
     quota = F.lit(0)
@@ -103,4 +108,5 @@ def disagreement_sample(a: DataFrame, b: DataFrame, n: int, seed: int, strata: l
         quota = F.when(F.col("stratum") == s, k).otherwise(quota)
         weight = F.when(F.col("stratum") == s, F.lit(counts[s] / k)).otherwise(weight)
     rn = F.row_number().over(Window.partitionBy("stratum").orderBy(order_key("a", "b", salt=str(seed)), "a", "b"))
-    return diff.withColumn("rn", rn).where(F.col("rn") <= quota).select("a", "b", "la", "lb", "stratum", weight.alias("weight"))
+    most = max(take.values(), default=0)  # a fixed bound lets each task drop the rest before the shuffle
+    return diff.withColumn("rn", rn).where(F.col("rn") <= most).where(F.col("rn") <= quota).select("a", "b", "la", "lb", "stratum", weight.alias("weight"))

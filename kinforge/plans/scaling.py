@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinforge.operators import blocking, cluster, linkage, metrics, sampling, scale
-from kinforge.plans.common import BASE, CLUSTERS, PAIRS, SCORES, THRESHOLD, _soundex, clustered, closure_sql, people, r6, scored_pairs, with_sql
+from kinforge.operators import blocking, blockpairs, cluster, linkage, metrics, sampling, scale
+from kinforge.plans.common import BASE, CLUSTERS, FIELDS, PAIRS, SCORES, THRESHOLD, _soundex, clustered, closure_sql, people, r6, scored_pairs, with_sql
 from kinforge.plans.registry import query
 from kinforge.session import materialize, table
 
@@ -155,7 +155,7 @@ SELECT count(*) AS n_clusters_before, count(*) FILTER (parts = 1 AND sources = 1
 @query("cluster_churn", with_sql(*CLUSTERS, closure_sql(0.85, "later"), select="").rstrip() + ",\n" + CHURN_SQL)
 def cluster_churn(spark, sf_dir):
     rows = people(spark, sf_dir)
-    scored, before = clustered(rows)
+    scored, before = clustered(rows, 0.85)
     return linkage.churn(before, cluster.transitive_closure(scored, 0.85, rows))
 
 
@@ -167,7 +167,7 @@ SELECT c1, c0 FROM (SELECT *, row_number() OVER (PARTITION BY c1 ORDER BY n DESC
 @query("carried_ids", with_sql(*CLUSTERS, closure_sql(0.85, "later"), select="").rstrip() + ",\n" + CARRY_SQL)
 def carried_ids(spark, sf_dir):
     rows = people(spark, sf_dir)
-    scored, before = clustered(rows)
+    scored, before = clustered(rows, 0.85)
     return linkage.carry_ids(before, cluster.transitive_closure(scored, 0.85, rows))
 
 
@@ -191,11 +191,15 @@ UNION ALL SELECT record_id, cluster FROM fresh WHERE NOT {_old('record_id')} AND
 @query("incremental_attach", with_sql(*SCORES, *ATTACH_SQL, select=ATTACH_SELECT))
 def incremental_attach(spark, sf_dir):
     rows = people(spark, sf_dir)
-    old, new = rows.where("record_id LIKE '%-0'"), rows.where("record_id NOT LIKE '%-0'")
-    scored = materialize(scored_pairs(rows).select("a", "b", "prob"), "scored")
-    clusters = cluster.transitive_closure(scored.join(old.select(F.col("record_id").alias("a")), "a", "left_semi").join(old.select(F.col("record_id").alias("b")), "b", "left_semi"), THRESHOLD, old)
-    both = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "prob"))
-    return linkage.attach(materialize(clusters, "clusters"), new, both.join(new.select(F.col("record_id").alias("a")), "a", "left_semi"), THRESHOLD)
+    arrived = F.col("record_id").endswith("-0") == F.lit(False)
+    old, new = rows.where(~arrived), rows.where(arrived)
+    links = materialize(blockpairs.best_links(rows, FIELDS, THRESHOLD, arrived), "links")
+    clusters = materialize(cluster.transitive_closure(links.where("kind = 0"), THRESHOLD, old), "clusters")
+    best = links.where("kind = 1").select("a", "b", "prob")
+    # arrivals without an old neighbour link among themselves
+    left = new.join(best.select(F.col("a").alias("record_id")), "record_id", "left_anti")
+    inner = materialize(blockpairs.scored_forest(left, FIELDS, THRESHOLD), "inner")
+    return linkage.attach(clusters, new, best.unionByName(inner), THRESHOLD)
 
 
 COMPLETENESS_SQL = """truth AS (SELECT l.record_id AS a, r.record_id AS b FROM persons l JOIN persons r ON l.entity_id = r.entity_id AND l.record_id < r.record_id),
