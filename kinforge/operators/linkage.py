@@ -58,11 +58,16 @@ def churn(before: DataFrame, after: DataFrame) -> DataFrame:
 def carry_ids(before: DataFrame, after: DataFrame) -> DataFrame:
     """(c1, c0): new clusters keep an old id by greedy largest overlap, one to one.
 
-    Decisions stay inside one component of the overlap graph, which is one group.
+    A new cluster whose old ones went nowhere else is decided by one aggregate; other
+    decisions stay inside one component of the overlap graph, which is one group.
     """
     both = before.select("record_id", F.col("cluster").alias("c0")).join(after.select("record_id", F.col("cluster").alias("c1")), "record_id")
-    cells = both.groupBy("c0", "c1").agg(F.count("*").alias("n"))
-    edges = cells.select(F.concat(F.lit("0|"), "c0").alias("a"), F.concat(F.lit("1|"), "c1").alias("b"))
+    cells = materialize(both.groupBy("c0", "c1").agg(F.count("*").alias("n")), "cells")
+    split = cells.groupBy("c0").agg(F.count("*").alias("parts")).where("parts > 1").select("c0")
+    shared = materialize(cells.join(split, "c0", "left_semi").select("c1").distinct(), "shared")
+    alone = cells.join(shared, "c1", "left_anti").groupBy("c1").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("c0"))).alias("x")).select("c1", F.col("x.c0").alias("c0"))
+    # a cluster that shares an old one, and all clusters it is connected with through old ones
+    edges = cells.join(shared, "c1", "left_semi").select(F.concat(F.lit("0|"), "c0").alias("a"), F.concat(F.lit("1|"), "c1").alias("b"))
     parts = connected_components(edges)
     keyed = cells.join(parts, F.concat(F.lit("0|"), F.col("c0")) == F.col("node")).select("component", "c0", "c1", "n")
 
@@ -74,4 +79,4 @@ def carry_ids(before: DataFrame, after: DataFrame) -> DataFrame:
                 out[r.c1] = r.c0
         return pd.DataFrame({"c1": list(out), "c0": list(out.values())}, dtype=object)
 
-    return keyed.groupBy("component").applyInPandas(run, "c1 string, c0 string")
+    return alone.unionByName(keyed.groupBy("component").applyInPandas(run, "c1 string, c0 string"))

@@ -1,13 +1,18 @@
-"""BM25 text retrieval as joins: postings, document lengths, top k."""
+"""BM25 text retrieval: postings and document lengths by joins, scores and top k within tiles."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinforge.session import materialize
 
 K1, B = 1.5, 0.75
+#: Texts and queries of a tile; each pair of tiles is one group.
+TILE_ROWS, QUERY_ROWS = 1 << 15, 1 << 14
 WORD = r"(?U)\b\w\w+\b"
 
 
@@ -39,12 +44,81 @@ def neighbours(texts: DataFrame, k: int, rid: str = "record_id", text: str = "te
     tf = F.col("tf").cast("double")
     weight = idf * (tf * (K1 + 1.0)) / (tf + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.lit(mean or 1.0)))
     docs = post.join(df_, "token").select("token", F.col("rid").alias("d"), weight.alias("w"))
-    queries = post.select("token", F.col("rid").alias("q"))
-    scored = queries.join(docs, "token").where("q <> d").groupBy("q", "d").agg(F.round(F.sum("w"), 9).alias("score"))
-    if drop_zero:
-        scored = scored.where("score > 0")
+    rows = materialize(post.join(df_, "token").select("rid", "token", weight.alias("w")).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("token", "w"))).alias("ws")), "weights")
+    tiles = max(1, -(-n // TILE_ROWS))
+    q_tiles = max(-(-n // QUERY_ROWS), min(texts.sparkSession.sparkContext.defaultParallelism, -(-n // 1024)), 1)
+
+    def tile(of: int) -> Column:
+        return F.pmod(F.xxhash64("rid"), F.lit(of))
+
+    def every(of: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of - 1).cast("long")))
+
+    left = rows.select("rid", F.col("ws.token").alias("tokens"), tile(q_tiles).alias("qt")).withColumn("dt", every(tiles))
+    right = rows.select("rid", F.col("ws.token").alias("tokens"), F.col("ws.w").alias("w"), tile(tiles).alias("dt")).withColumn("qt", every(q_tiles))
+    kind = texts.schema[rid].dataType.simpleString()
+    found = left.groupBy("qt", "dt").cogroup(right.groupBy("qt", "dt")).applyInArrow(_best_of_tiles(k, drop_zero), f"q {kind}, d {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "d"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _best_of_tiles(k: int, drop_zero: bool):
+    """The k best documents of one tile for each query of another, from postings of the tile."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            none = (left if left.num_rows else right).column("rid").slice(0, 0)
+            return pa.table({"q": none, "d": none, "score": pa.array([], pa.float64())})
+        qs, ds = left.column("rid").combine_chunks(), right.column("rid").combine_chunks()
+        order = pc.sort_indices(ds)  # ties go to the lesser id
+        right, ds = right.take(order), ds.take(order)
+        terms = right.column("tokens").combine_chunks()
+        coded = terms.flatten().dictionary_encode()
+        token, weight = coded.indices.to_numpy(), right.column("w").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        doc = np.repeat(np.arange(len(ds)), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+        by = np.argsort(token, kind="stable")
+        ends = np.searchsorted(token[by], np.arange(len(coded.dictionary) + 1))
+        doc, weight = doc[by], weight[by]
+        asked = left.column("tokens").combine_chunks()
+        which = pc.index_in(asked.flatten(), coded.dictionary).fill_null(-1).to_numpy(zero_copy_only=False)
+        upto = np.append(0, np.cumsum(pc.list_value_length(asked).to_numpy(zero_copy_only=False)))
+        own = pc.index_in(qs, ds).fill_null(-1).to_numpy(zero_copy_only=False)
+        out_q, out_d, out_s = [], [], []
+        score, met = np.zeros(len(ds)), np.zeros(len(ds), bool)
+        for i in range(len(qs)):
+            score[:] = 0.0
+            if not drop_zero:
+                met[:] = False
+            rarest, few = -1, len(ds) + 1
+            for t in which[upto[i] : upto[i + 1]]:  # in the order of tokens, so equal texts get equal sums
+                if t >= 0:
+                    at = doc[ends[t] : ends[t + 1]]
+                    score[at] += weight[ends[t] : ends[t + 1]]
+                    if not drop_zero:
+                        met[at] = True
+                    if k < len(at) < few:
+                        rarest, few = t, len(at)
+            if own[i] >= 0:
+                score[own[i]] = -np.inf
+                met[own[i]] = False
+            bound = 0.0
+            if rarest >= 0:  # k others hold this token, so the k best score no less than they
+                some = score[doc[ends[rarest] : ends[rarest + 1]]]
+                bound = np.partition(some, len(some) - k)[len(some) - k] - 2e-9
+            near = np.flatnonzero(score >= bound) if bound > 0 else np.flatnonzero(score > 0) if drop_zero else np.flatnonzero(met)
+            if len(near) > k:
+                kth = np.partition(score[near], len(near) - k)[len(near) - k]
+                near = near[score[near] >= kth - 2e-9]  # what may tie once rounded
+            best = np.rint(score[near] * 1e9) / 1e9
+            keep = np.argsort(-best, kind="stable")[:k]
+            keep = keep[best[keep] > 0] if drop_zero else keep
+            out_q.append(np.full(len(keep), i))
+            out_d.append(near[keep])
+            out_s.append(best[keep])
+        q, d, s = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_q, out_d, out_s))
+        return pa.table({"q": qs.take(pa.array(q.astype(np.int64))), "d": ds.take(pa.array(d.astype(np.int64))), "score": pa.array(s.astype(float))})
+
+    return run
 
 
 def candidates(texts: DataFrame, k: int, **options: object) -> DataFrame:
