@@ -87,9 +87,10 @@ def term_frequencies(records: DataFrame, role: str) -> DataFrame:
 
 
 def patterns(levels: DataFrame, roles: list[str]) -> list[tuple[tuple[int, ...], int]]:
-    """Counts of agreement patterns; at most the product of the level numbers."""
+    """Counts of agreement patterns (of pairs, or of rows with a ``count``); at most the product of the level numbers."""
     cols = [f"g_{r}" for r in roles]
-    return [(tuple(r[c] for c in cols), r["count"]) for r in levels.groupBy(*cols).count().orderBy(*cols).collect()]
+    n = F.sum("count") if "count" in levels.columns else F.count("*")
+    return [(tuple(r[c] for c in cols), r["count"]) for r in levels.groupBy(*cols).agg(n.alias("count")).orderBy(*cols).collect()]
 
 
 def random_pairs(records: DataFrame, n_pairs: int, salt: str = U_SALT) -> DataFrame:
