@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from kinforge.functions.draws import SPAN, draw, order_key
 from kinforge.functions.strings import empty_to_null, jaro_winkler
+from kinforge.operators import blockpairs
 from kinforge.operators.scoring import attach
-from kinforge.session import materialize
 
 #: Levels of each role, best first; what is left is level 0.
 NAME = (("exact", 0), ("jw", 0.92), ("jw", 0.88), ("jw", 0.70))
@@ -165,13 +165,11 @@ def em(counts: list[tuple[tuple[int, ...], int]], roles: list[str], u: dict[str,
     return m, share, {"iterations": it, "final_delta": delta, "converged": delta < tolerance}
 
 
-def _equal_pairs(records: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs that agree on all keys, from block joins."""
+def _equal_count(records: DataFrame, keys: list[str]) -> int:
+    """Number of pairs that agree on all keys, from the sizes of their groups."""
     cols = [empty_to_null(F.col(k)).alias(f"k{i}") for i, k in enumerate(keys)]
-    names = [f"k{i}" for i in range(len(keys))]
-    rows = records.select("record_id", *cols).dropna()
-    left, right = rows.withColumnRenamed("record_id", "a"), rows.withColumnRenamed("record_id", "b")
-    return left.join(right, names).where("a < b").select("a", "b").distinct()
+    sizes = records.select(*cols).dropna().groupBy(*[f"k{i}" for i in range(len(keys))]).agg(F.count("*").alias("n"))
+    return int(sizes.agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0)
 
 
 def fit(records: DataFrame, roles: list[str], max_pairs: float = 1e6, tf: bool = True) -> Model:
@@ -182,7 +180,7 @@ def fit(records: DataFrame, roles: list[str], max_pairs: float = 1e6, tf: bool =
     n = records.count()
     u = u_probabilities(patterns(gammas(random_pairs(records, int(max_pairs)), records, roles), roles), roles)
     keys = [*names, *([other] if other else [])]
-    certain = _equal_pairs(records, keys).count() if keys else 0
+    certain = _equal_count(records, keys) if keys else 0
     prior = min(0.5, max(1e-9, certain / PRIOR_RECALL / max(1.0, n * (n - 1) / 2)))
     m: dict[str, list[float]] = {}
     votes: dict[str, list[list[float]]] = {}
@@ -190,7 +188,7 @@ def fit(records: DataFrame, roles: list[str], max_pairs: float = 1e6, tf: bool =
     for block in (names, [other] if other else []):
         if not block:
             continue
-        levels = materialize(gammas(_equal_pairs(records, block), records, roles), "gammas")
+        levels = blockpairs.pattern_counts(records, {r: COMPARISONS[r] for r in roles}, [[empty_to_null(F.col(k)) for k in block]])
         free = [r for r in roles if r not in block]
         found, share, record = em(patterns(levels, roles), roles, u, free)
         sessions.append({"block": block, "share": share, **record})

@@ -55,3 +55,8 @@ def test_pattern_counts_equal_the_join(people, monkeypatch, table):
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         above, below = plan.split("MapInArrow", 1)
         assert "Join" not in plan and "Aggregate" in above and "record_id" not in above  # only counts leave the tasks
+
+
+def test_certain_pairs_are_counted_from_groups(people):
+    want = people.alias("l").join(people.alias("r"), F.expr("nullif(l.given_name, '') = nullif(r.given_name, '') AND nullif(l.dob, '') = nullif(r.dob, '') AND l.record_id < r.record_id")).count()
+    assert fs._equal_count(people, ["given_name", "dob"]) == want > 0
