@@ -200,18 +200,27 @@ def fit(records: DataFrame, roles: list[str], max_pairs: float = 1e6, tf: bool =
     return Model(roles, m, u, prior, sessions, tf)
 
 
+def weights(model: Model) -> dict[str, list[float]]:
+    """log2 Bayes factor of each level of each role."""
+    return {r: [math.log2(max(1e-12, model.m[r][k]) / max(1e-12, model.u[r][k])) for k in range(_levels(r))] for r in model.roles}
+
+
 def weight_columns(model: Model) -> dict[str, Column]:
     """log2 Bayes factor of each role's level; 0 when missing."""
     out = {}
-    for r in model.roles:
+    for r, bits in weights(model).items():
         w = F.lit(0.0)
-        for k in range(_levels(r)):
-            bits = math.log2(max(1e-12, model.m[r][k]) / max(1e-12, model.u[r][k]))
-            w = F.when(F.col(f"g_{r}") == k, F.lit(bits)).otherwise(w)
+        for k, x in enumerate(bits):
+            w = F.when(F.col(f"g_{r}") == k, F.lit(x)).otherwise(w)
         out[r] = w
     return out
 
 
+def _probability(total: Column) -> Column:
+    odds = F.pow(F.lit(2.0), F.greatest(F.lit(-60.0), F.least(F.lit(60.0), total)))
+    return odds / (1 + odds)
+
+
 def score(pairs: DataFrame, records: DataFrame, model: Model) -> DataFrame:
     """(a, b, prob) of exactly the given pairs; raises on loops and unknown ids.
 
@@ -233,5 +242,17 @@ def score(pairs: DataFrame, records: DataFrame, model: Model) -> DataFrame:
             top = _levels(r) - 1
             w = w + F.when(F.col(f"g_{r}") == top, F.coalesce(F.log2(F.lit(model.u[r][top]) / F.col(f"tf_{r}")), F.lit(0.0))).otherwise(0.0)
         total = total + w
-    odds = F.pow(F.lit(2.0), F.greatest(F.lit(-60.0), F.least(F.lit(60.0), total)))
-    return levels.select("a", "b", (odds / (1 + odds)).alias("prob"))
+    return levels.select("a", "b", _probability(total).alias("prob"))
+
+
+def score_blocks(records: DataFrame, model: Model) -> DataFrame:
+    """``score`` of all match-key pairs, made and scored in the task that writes them."""
+    rows, more = records, {}
+    for r in [r for r in model.roles if model.tf and r in TF_ROLES]:
+        gain = F.coalesce(F.log2(F.lit(model.u[r][_levels(r) - 1]) / F.col("tf")), F.lit(0.0)).cast("string")
+        more[r] = f"tf_{r}"
+        tf = term_frequencies(records, r).select(F.col("value").alias(f"of_{r}"), gain.alias(more[r]))
+        rows = rows.join(tf, F.col(r) == F.col(f"of_{r}"), "left").drop(f"of_{r}")
+    start = math.log2(model.prior / (1 - model.prior))
+    pairs = blockpairs.weighted_rows(rows, {r: COMPARISONS[r] for r in model.roles}, weights(model), more, start)
+    return pairs.select("a", "b", _probability(F.col("bits")).alias("prob"))

@@ -60,3 +60,13 @@ def test_pattern_counts_equal_the_join(people, monkeypatch, table):
 def test_certain_pairs_are_counted_from_groups(people):
     want = people.alias("l").join(people.alias("r"), F.expr("nullif(l.given_name, '') = nullif(r.given_name, '') AND nullif(l.dob, '') = nullif(r.dob, '') AND l.record_id < r.record_id")).count()
     assert fs._equal_count(people, ["given_name", "dob"]) == want > 0
+
+
+def test_block_scores_equal_the_joined_scores(people):
+    model = fs.fit(people, ROLES, 2000)
+    got = fs.score_blocks(people, model)
+    want = fs.score(blocking.candidates(people), people, model)
+    rows = lambda df: sorted(map(tuple, df.select("a", "b", "prob").collect()))
+    assert rows(got) == rows(want)
+    above = got._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    assert "Join" not in above and "Aggregate" not in above and "Repartition" not in above  # pairs are not shuffled
