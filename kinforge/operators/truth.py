@@ -97,10 +97,16 @@ def disagreement_sample(a: DataFrame, b: DataFrame, n: int, seed: int, strata: l
     return sample_of(disagreements(a, b, strata), n, seed, strata)
 
 
-def sample_of(diff: DataFrame, n: int, seed: int, strata: list[str] | None = None) -> DataFrame:
-    """The stratified sample of listed disagreements (a, b, la, lb[, strata])."""
-    diff = diff.withColumn("stratum", F.concat_ws("|", *[F.coalesce(F.col(s).cast("string"), F.lit("<null>")) for s in strata]) if strata else F.lit("all"))
-    counts = {r["stratum"]: r["count"] for r in diff.groupBy("stratum").count().collect()}
+def sample_of(diff: DataFrame, n: int, seed: int, strata: list[str] | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """The stratified sample of listed disagreements (a, b, la, lb[, strata]).
+
+    Where ``sizes`` (strata, n) gives the strata's sizes, ``diff`` needs only hold
+    the ``n`` first of each in hashed order.
+    """
+    name = F.concat_ws("|", *[F.coalesce(F.col(s).cast("string"), F.lit("<null>")) for s in strata]) if strata else F.lit("all")
+    diff = diff.withColumn("stratum", name)
+    sized = diff.groupBy("stratum").agg(F.count("*").alias("n")) if sizes is None else sizes.groupBy(name.alias("stratum")).agg(F.sum("n").alias("n"))
+    counts = {r["stratum"]: r["n"] for r in sized.collect()}
     take = allocate(counts, n) if counts else {}
     quota = F.lit(0)
     weight = F.lit(None).cast("double")
