@@ -13,6 +13,8 @@ from kinforge.session import materialize
 K1, B = 1.5, 0.75
 #: Texts and queries of a tile; each pair of tiles is one group.
 TILE_ROWS, QUERY_ROWS = 1 << 15, 1 << 14
+#: A query's tokens of the longest postings whose sums are kept for the queries after it.
+SHARED = 3
 WORD = r"(?U)\b\w\w+\b"
 
 
@@ -84,28 +86,29 @@ def _best_of_tiles(k: int, drop_zero: bool):
         upto = np.append(0, np.cumsum(pc.list_value_length(asked).to_numpy(zero_copy_only=False)))
         own = pc.index_in(qs, ds).fill_null(-1).to_numpy(zero_copy_only=False)
         out_q, out_d, out_s = [], [], []
-        score, met = np.zeros(len(ds)), np.zeros(len(ds), bool)
-        for i in range(len(qs)):
-            score[:] = 0.0
-            if not drop_zero:
-                met[:] = False
-            rarest, few = -1, len(ds) + 1
-            for t in which[upto[i] : upto[i + 1]]:  # in the order of tokens, so equal texts get equal sums
-                if t >= 0:
-                    at = doc[ends[t] : ends[t + 1]]
-                    score[at] += weight[ends[t] : ends[t + 1]]
-                    if not drop_zero:
-                        met[at] = True
-                    if k < len(at) < few:
-                        rarest, few = t, len(at)
+        # longest postings first; queries that begin with the same ones follow each other and share their sums
+        asks = [t[t >= 0] for t in np.split(which, upto[1:-1])]
+        asks = [t[np.argsort(ends[t] - ends[t + 1], kind="stable")].tolist() for t in asks]
+        sums, have = [np.zeros(len(ds)) for _ in range(SHARED + 1)], []
+        score = np.zeros(len(ds))
+        for i in sorted(range(len(qs)), key=lambda i: asks[i][:SHARED]):
+            lead = asks[i][:SHARED]
+            same = next((j for j, (t, u) in enumerate(zip(have, lead, strict=False)) if t != u), min(len(have), len(lead)))
+            for j in range(same, len(lead)):
+                sums[j + 1][:] = sums[j]
+                _add(sums[j + 1], lead[j], doc, weight, ends)
+            have = lead
+            score[:] = sums[len(lead)]
+            for t in asks[i][SHARED:]:
+                _add(score, t, doc, weight, ends)
+            rarest = next((t for t in reversed(asks[i]) if ends[t + 1] - ends[t] > k), -1)
             if own[i] >= 0:
                 score[own[i]] = -np.inf
-                met[own[i]] = False
             bound = 0.0
             if rarest >= 0:  # k others hold this token, so the k best score no less than they
                 some = score[doc[ends[rarest] : ends[rarest + 1]]]
                 bound = np.partition(some, len(some) - k)[len(some) - k] - 2e-9
-            near = np.flatnonzero(score >= bound) if bound > 0 else np.flatnonzero(score > 0) if drop_zero else np.flatnonzero(met)
+            near = np.flatnonzero(score >= bound) if bound > 0 else np.flatnonzero(score > 0) if drop_zero else _holders(asks[i], doc, ends, own[i])
             if len(near) > k:
                 kth = np.partition(score[near], len(near) - k)[len(near) - k]
                 near = near[score[near] >= kth - 2e-9]  # what may tie once rounded
@@ -121,6 +124,16 @@ def _best_of_tiles(k: int, drop_zero: bool):
     return run
 
 
+def _add(score: np.ndarray, token: int, doc: np.ndarray, weight: np.ndarray, ends: np.ndarray) -> None:
+    score[doc[ends[token] : ends[token + 1]]] += weight[ends[token] : ends[token + 1]]
+
+
+def _holders(tokens: list[int], doc: np.ndarray, ends: np.ndarray, own: int) -> np.ndarray:
+    """Documents but ``own`` with any of the tokens."""
+    found = np.unique(np.concatenate([np.zeros(0, doc.dtype), *[doc[ends[t] : ends[t + 1]] for t in tokens]]))
+    return found[found != own]
+
+
 def candidates(texts: DataFrame, k: int, **options: object) -> DataFrame:
     """Distinct pairs (a, b) of the retrieved neighbours."""
     top = neighbours(texts, k, **options)
