@@ -175,12 +175,7 @@ SELECT k, count(*) AS n_candidates, (SELECT count(*) FROM truth) AS n_true, coun
 def frontier_completeness(spark, sf_dir):
     """Pair completeness of BM25 at matched budgets."""
     rows, texts = _texts(spark, sf_dir)
-    top = materialize(sparse.neighbours(texts, 10), "top")
-    out = None
-    for k in (1, 2, 5, 10):
-        pairs = top.where(F.col("rank") <= k).select(F.least("q", "d").alias("a"), F.greatest("q", "d").alias("b"))
-        part = metrics.blocking_metrics(pairs, rows).withColumn("k", F.lit(k))
-        out = part if out is None else out.unionByName(part)
+    out = metrics.budget_metrics(sparse.neighbours(texts, 10), rows, [1, 2, 5, 10])
     return out.withColumns({c: r6(c) for c in ("pair_completeness", "reduction_ratio")})
 
 

@@ -5,8 +5,9 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from kinforge.operators import sparse
+from kinforge.operators import metrics, sparse
 
 
 def texts_of(spark, seed, n=400):
@@ -64,3 +65,14 @@ def test_blocks_of_no_and_of_one_text(spark, monkeypatch):
     monkeypatch.setattr(sparse, "BLOCKS_FROM", -1)
     none = spark.createDataFrame([], "record_id string, text string")
     assert found(none, 3) == [] and found(spark.createDataFrame([("x", "some words")], "record_id string, text string"), 3) == []
+
+
+def test_budgets_equal_blocking_metrics_of_each(spark):
+    r = random.Random(6)
+    ids = [f"r{i:02d}" for i in range(40)]
+    truth = spark.createDataFrame([(i, None if n == 5 else f"e{n // 3}") for n, i in enumerate(ids)], "record_id string, entity_id string")
+    ranked = spark.createDataFrame([(q, d, rank) for q in ids for rank, d in enumerate(r.sample(ids, 6), 1)], "q string, d string, rank int")
+    got = {row["k"]: tuple(row)[:5] for row in metrics.budget_metrics(ranked, truth, [1, 3, 6]).collect()}  # each budget was joined by itself before
+    for k in (1, 3, 6):
+        pairs = ranked.where(F.col("rank") <= k).select(F.col("q").alias("a"), F.col("d").alias("b"))
+        assert got[k] == tuple(metrics.blocking_metrics(pairs, truth).first())
